@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, suffixes
+from . import minhash, mixing, suffixes
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,36 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_i
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark), width=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark), weights=(1, 2, 3), most=3, seed=0)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+
+
+ORACLE_SQL["op7_mixing"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source
+), share AS (
+  SELECT 0 AS k, sum(source_size)::BIGINT AS rest, sum(w)::BIGINT AS wt FROM s
+  UNION ALL
+  SELECT h.k + 1,
+    (SELECT sum(source_size) FROM s)::BIGINT - 3 * (SELECT coalesce(sum(source_size), 0) FROM s WHERE NOT 3 * source_size * h.wt > h.rest * w)::BIGINT,
+    (SELECT coalesce(sum(w), 0) FROM s WHERE 3 * source_size * h.wt > h.rest * w)::BIGINT
+  FROM share h WHERE h.k < 100 AND h.wt > 0
+), l AS (SELECT rest, wt FROM share ORDER BY k DESC LIMIT 1),
+t AS (
+  SELECT source, source_size,
+    CASE WHEN l.wt > 0 AND 3 * source_size * l.wt > l.rest * w THEN w::DOUBLE * l.rest::DOUBLE / l.wt::DOUBLE ELSE (3 * source_size)::DOUBLE END AS target
+  FROM s, l
+), r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR || ':0'), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""
