@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from .scratch import Scratch
 from .words import batches_of_words, binary, mix, shingles
 
 BINS, BANDS = 128, 32
+#: Members of a bucket that meet those of another chunk in one task.
+CHUNK = 256
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -108,10 +111,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     document whose component is shared. Other columns of docs are not read.
 
     Equal sets form one class (a grouping combined before its shuffle), so a text copied into a
-    third of the rows costs one candidate. Within a band's bucket the first pass compares every
-    class with one pivot, not with each other; links so found are joined into components. Only
-    where a bucket still holds several components does the second pass compare the classes outside
-    its largest component with the rest, so no pair of a bucket goes unseen.
+    third of the rows costs one candidate. Within a band's bucket a first pass compares every class
+    with one pivot, and a second pass compares those that it left unconnected with another; links so
+    found are joined into components. Where a bucket still holds several components, its members
+    outside the largest meet all others of it in chunks of CHUNK by CHUNK, which emit at most one link for
+    each member, so no pair of a bucket goes unseen and none is emitted without a link.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     feats = scratch.keep(source.mapInArrow(_features(k), "doc_id long, n long, digest binary, bands array<long>"), "minhash")
@@ -140,24 +144,77 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     links = scratch.keep(_confirmed(first, sets, percent), "links")
 
     labels = scratch.keep(components(links, scratch), "labels")
-    state = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = state.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("m", "c")).alias("big"), F.sum("m").alias("members"))
-    mixed = mixed.where("parts > 1 and members > 2")
-    rest = scratch.keep(state.join(mixed.select("key", "big"), "key"), "rest")
-    outside = rest.where("c != big").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    second = outside.join(rest, "key").where(f"c != xc and (c = big or id < x) and 100 * least(n, xn) >= {percent} * greatest(n, xn)")
-    second = _ordered(second, "id", "x").join(first, ["a", "b"], "left_anti")
+    rest = scratch.keep(_unsettled(shared.select("key", "id", "n"), labels), "rest")
+    other = F.struct(F.xxhash64("key", "id").alias("h"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
+    second = rest.join(rest.groupBy("key").agg(F.min(other).alias("p")), "key").select("id", "n", "c", "p.*").where(f"c != pivot_c and {fits}")
+    second = scratch.keep(_ordered(second, "id", "pivot").join(first, ["a", "b"], "left_anti"), "pairs")
     more = scratch.keep(_confirmed(second, sets, percent), "links")
-    if more.isEmpty():
-        final = labels
-    else:
-        final = scratch.keep(components(links.union(more), scratch), "labels")
-    scratch.drop(shared, first, sets, links, rest, more)
+    links = links.union(more)
+    if not more.isEmpty():
+        labels = scratch.keep(components(links, scratch), "labels")
+        rest = scratch.keep(_unsettled(rest.select("key", "id", "n"), labels), "rest")
+    last = scratch.keep(_in_chunks(rest, sets, percent), "links")
+    final = labels if last.isEmpty() else scratch.keep(components(links.union(last), scratch), "labels")
+    scratch.drop(shared, first, second, sets, rest)
     named = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = feats.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, n, c, big, mo, mb) of the buckets with members of several components: each member's
+    component, the bucket's largest, and how many members lie outside and inside of it."""
+    state = members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    parts = state.groupBy("key", "c").agg(F.count("*").alias("m"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("m")).where("m > top.m and m > 2")
+    return state.join(parts.select("key", F.col("top.c").alias("big"), F.expr("m - top.m").alias("mo"), F.col("top.m").alias("mb")), "key")
+
+
+def _in_chunks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components, from chunks of a bucket's outside members with
+    chunks of its largest component and with each other."""
+    chunked = rest.selectExpr("key", "id", "c", "c != big as outer", f"cast(ceil(mo / {CHUNK}) as int) as ko", f"cast(ceil(mb / {CHUNK}) as int) as kb").withColumn(
+        "chunk", F.expr("cast(pmod(xxhash64(id), if(outer, ko, kb)) as int)")
+    )
+    with_big = chunked.selectExpr("key", "id", "c", "outer", "false as own", "if(outer, chunk, null) as x", "if(outer, null, chunk) as y", "explode(sequence(0, if(outer, kb, ko) - 1)) as z")
+    with_big = with_big.selectExpr("key", "id", "c", "own", "coalesce(x, z) as x", "coalesce(y, z) as y")
+    with_own = chunked.where("outer and ko > 0").selectExpr("key", "id", "c", "chunk", "explode(sequence(0, ko - 1)) as z")
+    with_own = with_own.selectExpr("key", "id", "c", "true as own", "least(chunk, z) as x", "greatest(chunk, z) as y")
+    rows = with_big.union(with_own).join(sets, "id")
+    return rows.groupBy("key", "own", "x", "y").applyInPandas(_spanning(percent), "a long, b long")
+
+
+def _spanning(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, labels = rows["id"].to_numpy(), rows["c"].to_numpy().copy()
+        if len(np.unique(labels)) < 2:
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+        sizes = np.array([len(x) for x in items])
+        owner = np.repeat(np.arange(len(items)), sizes)
+        _, column, uses = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        shared = uses[column] > 1
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(items), len(items)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, [at, at + 4096])
+            part = np.zeros((len(items), 4096), np.float32)
+            part[owner[a:b], column[a:b] - at] = 1
+            both += part @ part.T
+        both = both.astype(np.int64)
+        linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (both > 0)
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            if labels[i] != labels[j]:
+                out.append((ids[i], ids[j]))
+                labels[labels == labels[j]] = labels[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
