@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, suffixes
+from . import decontaminate, langid, media, minhash, mixing, quality, suffixes
+from .samples import fold
 from .scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +88,54 @@ SELECT doc_id, size, source_size, target,
   (size * (floor(rate) + CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR || ':0'), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+
+
+ORACLE_SQL["op6_decontaminate"] = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+), dg AS (
+  SELECT doc_id, ng, i - 1 AS p, array_to_string(ws[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, greatest(len(ws) - 4, 1) AS ng, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+), b AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM benchmark
+), bg AS (
+  SELECT item_id, greatest(len(ws) - 4, 1) AS nb, array_to_string(ws[i : i + 4], ' ') AS g
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM b WHERE len(ws) > 0)
+), bc AS (SELECT item_id, nb, g, count(*) AS n FROM bg GROUP BY ALL),
+starts AS (
+  SELECT DISTINCT doc_id, item_id, nb, least(nb, ng) AS width, unnest(range(greatest(0, p - nb + 1), least(p, greatest(ng - nb, 0)) + 1)) AS s
+  FROM dg JOIN bc USING (g)
+), wc AS (
+  SELECT t.doc_id, t.item_id, t.nb, t.width, t.s, dg.g, count(*) AS n
+  FROM starts t JOIN dg ON dg.doc_id = t.doc_id AND dg.p BETWEEN t.s AND t.s + t.width - 1 GROUP BY ALL
+), sim AS (
+  SELECT doc_id, item_id, s, sum(least(wc.n, bc.n)) AS common, any_value(wc.nb + wc.width) AS sizes
+  FROM wc JOIN bc USING (item_id, g) GROUP BY doc_id, item_id, s
+), f AS (SELECT doc_id, item_id, s, common / (sizes - common) AS similarity FROM sim WHERE common / (sizes - common) >= 0.8)
+SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity, arg_max(s, (similarity, -s))::BIGINT AS start_word, count(*)::BIGINT AS n_windows
+FROM f GROUP BY doc_id, item_id
+"""
+
+
+@query
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs, folds=4, held=2))
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
+    return quality.scores(docs, model, threshold=0.3).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store_texts(table(spark, sf_dir, "documents")))
