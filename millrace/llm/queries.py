@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, minhash, mixing, quality, suffixes
+from . import decontaminate, langid, media, minhash, mixing, quality, suffixes, warc
 from .samples import fold
 from .scratch import Scratch
 
@@ -139,3 +139,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"), least=1000).drop("target_uri")
+
+
+ORACLE_SQL["op1_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN m.first IS NULL OR m.first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN m.first <> page_id THEN m.first END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
