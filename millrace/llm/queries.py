@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, minhash, mixing, quality, suffixes, warc
+from . import chat, decontaminate, langid, media, minhash, mixing, quality, sharding, suffixes, warc
 from .samples import fold
-from .scratch import Scratch
+from .scratch import Scratch, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -155,3 +155,57 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN m.first <> page_id THEN m.first END AS refers_to
 FROM p LEFT JOIN m USING (payload_digest)
 """
+
+
+@query
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql("""
+        SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
+        FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)
+    """)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    scratch = Scratch(spark)
+    done = scratch.keep(chat.render(chat.paths(chat.chains(rows), scratch, best=1)), "formatted")
+    turn = F.struct("position", "role", "text", "loss")
+    back = chat.parse(done).groupBy("tree").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    said = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    back = back.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        said.alias("said"),
+    )
+    sizes = done.select("tree", F.length("formatted").cast("long").alias("formatted_chars"))
+    both = back.join(sizes, back["conv_id"].eqNullSafe(sizes["tree"]))
+    return both.select("conv_id", "n_turns", "turns_sha256", F.length("said").cast("long").alias("loss_chars"), F.sha2("said", 256).alias("loss_sha256"), "formatted_chars")
+
+
+ORACLE_SQL["op3_chat"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'), chr(10), '&#10;'))
+    + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')) + 24 AS chars FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sharding.shard(table(spark, sf_dir, "documents"), new_path(spark, "shards"), arrivals=8, target_bytes=128 << 20, fanout=4)
+    text = F.coalesce("text", F.lit(""))
+    return made.read().select("doc_id", "source", "arrival", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
+ORACLE_SQL["op5_sharding"] = """
+SELECT doc_id, source, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 8)::INTEGER AS arrival,
+  strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
