@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +146,20 @@ def _search(items: list[tuple[int | None, bytes]], k: int, threshold: float):
     return run
 
 
+def _item_blocks(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The benchmark's items in lists of item_bytes of text."""
+    held: list[tuple[int | None, bytes]] = []
+    size = 0
+    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
+        raw = row[1].encode()
+        if held and size + len(raw) > item_bytes:
+            yield held
+            held, size = [], 0
+        held.append((row[0], raw))
+        size += len(raw)
+    yield held
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_windows) of every document that contains an item.
 
@@ -157,24 +172,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float =
     rows. Other columns are not read. One scan of docs without a shuffle, for each item_bytes of
     benchmark text; an item alone may be larger.
     """
-    held: list[tuple[int | None, bytes]] = []
-    size, out = 0, None
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    schema = "doc_id long, item_id long, similarity double, start_word long, n_windows long"
+    return reduce(DataFrame.union, [source.mapInArrow(_search(items, k, threshold), schema) for items in _item_blocks(benchmark, item_bytes)])
 
-    def search() -> DataFrame:
-        found = source.mapInArrow(_search(list(held), k, threshold), "doc_id long, item_id long, similarity double, start_word long, n_windows long")
-        return found if out is None else out.union(found)
 
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
-        raw = row[1].encode()
-        if held and size + len(raw) > item_bytes:
-            out = search()
-            held, size = [], 0
-        held.append((row[0], raw))
-        size += len(raw)
-    return search() if held or out is None else out
+def _without(items: list[tuple[int | None, bytes]], at: int, k: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(items, k)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i, _, _, hashes in batches_of_words(binary(batch.column(at))):
+                keep[i] = next(index.of_document(hashes, threshold), None) is None
+            yield batch.filter(pa.array(keep))
+
+    return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that contain no benchmark item."""
-    return docs.join(leaks(docs, benchmark, k, threshold).select("doc_id").distinct(), "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of docs that contain no item as leaks() tells it, with all their columns; text is a
+    string. One scan without a shuffle, one step of it for each item_bytes of benchmark text."""
+    for items in _item_blocks(benchmark, item_bytes):
+        docs = docs.mapInArrow(_without(items, docs.columns.index("text"), k, threshold), docs.schema)
+    return docs
