@@ -1,10 +1,276 @@
-"""Queries over the standard tables, one for each operator, with the same query in DuckDB SQL."""
+"""Queries over the standard tables, one for each operator, with the same query in DuckDB SQL.
+
+Each is a pipeline document; what it returns is the DataFrame of one of its nodes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .model import pipeline
+from .plans.run import frames
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+Step = tuple[Any, ...]
+
+
+def table(name: str) -> Step:
+    return (name, "src.file.parquet", {"path": f"{{sf}}/{name}.parquet"})
+
+
+def add(name: str, steps: list[Step], sql: str | None = None, result: str | None = None) -> None:
+    """Registers a query: the output `result` (or the last step's) of a pipeline of steps."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        placed = [(s[0], s[1], {k: v.replace("{sf}", sf_dir) if k == "path" else v for k, v in s[2].items()}, *s[3:]) for s in steps]
+        return frames(spark, pipeline(*placed, name=name))[result or steps[-1][0]]
+
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+ORDERS, CUSTOMER, LINEITEM, EVENTS, NATION, REGION, SUPPLIER, PART = map(table, ("orders", "customer", "lineitem", "events", "nation", "region", "supplier", "part"))
+
+add(
+    "revenue_by_segment",
+    [
+        ORDERS,
+        CUSTOMER,
+        ("recent", "xf.filter", {"predicate": "o_orderdate >= '1998-01-01'"}, "orders"),
+        ("named", "xf.rename", {"columns": {"o_custkey": "custkey"}}),
+        ("who", "xf.derive", {"expressions": "c_custkey AS custkey"}, "customer"),
+        ("joined", "xf.join", {"type": "inner", "keys": ["custkey"]}, {"left": "named", "right": "who"}),
+        ("by_segment", "xf.aggregate", {"aggregations": "count(*) AS orders, count(DISTINCT custkey) AS customers, round(sum(o_totalprice), 2) AS revenue", "group_by": ["c_mktsegment"]}),
+    ],
+    """SELECT c_mktsegment, count(*) AS orders, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS revenue
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= '1998-01-01' GROUP BY c_mktsegment""",
+)
+add("source_parquet", [PART], "SELECT * FROM part")
+add(
+    "filter",
+    [LINEITEM, ("f", "xf.filter", {"predicate": "l_shipdate >= '1997-06-01' AND l_shipdate < '1998-06-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24"})],
+    "SELECT * FROM lineitem WHERE l_shipdate >= '1997-06-01' AND l_shipdate < '1998-06-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
+)
+add("filter_unknown_drops", [LINEITEM, ("f", "xf.filter", {"predicate": "nullif(l_quantity, 1) <> 2"})], "SELECT * FROM lineitem WHERE nullif(l_quantity, 1) <> 2")
+add("select", [CUSTOMER, ("s", "xf.select", {"columns": ["c_mktsegment", "c_custkey"]})], "SELECT c_mktsegment, c_custkey FROM customer")
+add(
+    "derive",
+    [ORDERS, ("d", "xf.derive", {"expressions": "strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority[1] AS p, concat(o_orderstatus, NULL, '/', o_orderpriority) AS tag, regexp_extract(o_orderpriority, '[A-Z]+') AS word".replace("o_orderpriority[1]", "left(o_orderpriority, 1)")})],
+    "SELECT *, strftime(o_orderdate, '%Y-%m') AS month, left(o_orderpriority, 1) AS p, concat(o_orderstatus, NULL, '/', o_orderpriority) AS tag, regexp_extract(o_orderpriority, '[A-Z]+') AS word FROM orders",
+)
+add(
+    "derive_dialect",
+    [
+        EVENTS,
+        (
+            "d",
+            "xf.derive",
+            {
+                "expressions": "props->>'$.k' AS k, date_part('dow', ts) AS dow, date_diff('day', TIMESTAMP '2024-01-01', ts) AS days, list_sum(list_transform([1, 2, user_id], lambda x: x + 1)) AS s, "
+                "regexp_replace(event_type, '[aeiou]', '*', 'g') AS masked, strpos(event_type, 'i') AS at, user_id // 7 AS part, user_id % 7 AS rest, sha256(event_type) AS h, event_type ~ '^p' AS is_p"
+            },
+        ),
+        ("s", "xf.select", {"columns": ["event_id", "k", "dow", "days", "s", "masked", "at", "part", "rest", "h", "is_p"]}),
+    ],
+    """SELECT event_id, props->>'$.k' AS k, date_part('dow', ts)::INTEGER AS dow, date_diff('day', TIMESTAMP '2024-01-01', ts) AS days,
+    list_sum(list_transform([1, 2, user_id], lambda x: x + 1))::DOUBLE AS s, regexp_replace(event_type, '[aeiou]', '*', 'g') AS masked,
+    strpos(event_type, 'i')::INTEGER AS "at", user_id // 7 AS part, user_id % 7 AS rest, sha256(event_type) AS h, regexp_matches(event_type, '^p') AS is_p FROM events""",
+)
+add("rename", [NATION, ("r", "xf.rename", {"columns": {"n_name": "nation", "n_nationkey": "id"}})], "SELECT n_nationkey AS id, n_name AS nation, n_regionkey FROM nation")
+add("cast", [LINEITEM, ("c", "xf.cast", {"columns": {"l_quantity": "BIGINT", "l_extendedprice": "INTEGER", "l_linenumber": "VARCHAR", "l_shipdate": "DATE"}})], "SELECT * REPLACE (l_quantity::BIGINT AS l_quantity, l_extendedprice::INTEGER AS l_extendedprice, l_linenumber::VARCHAR AS l_linenumber, l_shipdate::DATE AS l_shipdate) FROM lineitem")
+add("distinct", [CUSTOMER, ("s", "xf.select", {"columns": ["c_nationkey", "c_mktsegment"]}), ("d", "xf.distinct", {})], "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+add("dedup", [ORDERS, ("d", "xf.dedup", {"keys": ["o_custkey"], "order_by": "o_orderdate DESC, o_orderkey"})], "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) = 1")
+add("dedup_text_descending", [PART, ("d", "xf.dedup", {"keys": ["p_brand"], "order_by": "p_name DESC, p_partkey"})], "SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_name DESC, p_partkey) = 1")
+add("sort_limit", [ORDERS, ("s", "xf.sort", {"by": "o_totalprice DESC, o_orderkey"}), ("l", "xf.limit", {"count": 100, "offset": 10})], "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 10")
+add(
+    "sort_nulls_last",
+    [EVENTS, ("d", "xf.derive", {"expressions": "nullif(user_id % 5, 0) AS g"}), ("w", "xf.window", {"expression": "row_number()", "output_column": "place", "order_by": "g, event_id"}), ("f", "xf.filter", {"predicate": "place > 100"})],
+    "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY g NULLS LAST, event_id) AS place FROM (SELECT *, nullif(user_id % 5, 0) AS g FROM events)) WHERE place > 100",
+)
+for how in ("inner", "left", "right", "full"):
+    add(
+        f"join_{how}",
+        [
+            CUSTOMER,
+            ORDERS,
+            ("c", "xf.derive", {"expressions": "c_custkey AS k"}, "customer"),
+            ("o", "xf.filter", {"predicate": "o_totalprice > 200000"}, "orders"),
+            ("r", "xf.rename", {"columns": {"o_custkey": "k"}}),
+            ("half", "xf.filter", {"predicate": "k % 3 <> 0"}, "c"),
+            ("j", "xf.join", {"type": how, "keys": ["k"]}, {"left": "half", "right": "r"}),
+            ("s", "xf.select", {"columns": ["k", "c_name", "o_orderkey", "o_totalprice"]}),
+        ],
+        f"""SELECT k, c_name, o_orderkey, o_totalprice FROM (SELECT *, c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0)
+        {how} JOIN (SELECT * RENAME (o_custkey AS k) FROM orders WHERE o_totalprice > 200000) USING (k)""",
+    )
+add("join_cross", [NATION, REGION, ("j", "xf.join", {"type": "cross"}, {"left": "nation", "right": "region"})], "SELECT * FROM nation CROSS JOIN region")
+add(
+    "join_condition",
+    [
+        SUPPLIER,
+        NATION,
+        ("j", "xf.join", {"type": "left", "condition": "supplier.s_nationkey = nation.n_nationkey AND supplier.s_acctbal > nation.n_regionkey * 1000"}, {"left": "supplier", "right": "nation"}),
+    ],
+    "SELECT * FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > n_regionkey * 1000",
+)
+add(
+    "aggregate",
+    [
+        LINEITEM,
+        (
+            "a",
+            "xf.aggregate",
+            {
+                "aggregations": "sum(l_quantity)::BIGINT AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n, "
+                "count(DISTINCT l_suppkey) AS suppliers, count(*) FILTER (WHERE l_tax > 0.04) AS taxed, min(l_shipdate) AS first_ship, arg_max(l_orderkey, l_orderkey) AS last_order",
+                "group_by": ["l_returnflag", "l_linestatus"],
+            },
+        ),
+    ],
+    """SELECT l_returnflag, l_linestatus, sum(l_quantity)::BIGINT AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n,
+    count(DISTINCT l_suppkey) AS suppliers, count(*) FILTER (WHERE l_tax > 0.04) AS taxed, min(l_shipdate) AS first_ship, max(l_orderkey) AS last_order FROM lineitem GROUP BY ALL""",
+)
+add("aggregate_all_rows", [ORDERS, ("f", "xf.filter", {"predicate": "o_totalprice < 0"}), ("a", "xf.aggregate", {"aggregations": "count(*) AS n, max(o_orderkey) AS top"})], "SELECT count(*) AS n, max(o_orderkey) AS top FROM orders WHERE o_totalprice < 0")
+add(
+    "window_rank",
+    [ORDERS, ("w", "xf.window", {"expression": "rank()", "output_column": "place", "partition_by": ["o_custkey"], "order_by": "o_totalprice DESC, o_orderkey"}), ("f", "xf.filter", {"predicate": "place <= 3"})],
+    "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3",
+)
+add(
+    "window_running_sum",
+    [EVENTS, ("w", "xf.window", {"expression": "count(*) FILTER (WHERE event_type = 'purchase')", "output_column": "bought", "partition_by": ["user_id"], "order_by": "ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"})],
+    "SELECT *, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bought FROM events",
+)
+add(
+    "window_lag_ignore_nulls",
+    [EVENTS, ("d", "xf.derive", {"expressions": "nullif(event_type, 'view') AS kind"}), ("w", "xf.window", {"expression": "lag(kind IGNORE NULLS)", "output_column": "before", "partition_by": ["user_id"], "order_by": "ts, event_id"})],
+    "SELECT *, lag(kind IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (SELECT *, nullif(event_type, 'view') AS kind FROM events)",
+)
+_KINDS = ["click", "error", "purchase", "signup", "view"]
+add(
+    "pivot",
+    [EVENTS, ("p", "xf.pivot", {"on": ["event_type"], "values": _KINDS, "using": "count(*)", "group_by": ["user_id"]})],
+    "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}" for k in _KINDS) + " FROM events GROUP BY user_id",
+)
+add(
+    "pivot_two_aggregates",
+    [LINEITEM, ("p", "xf.pivot", {"on": ["l_returnflag"], "values": ["A", "N", "R"], "using": "count(*) AS n, max(l_quantity) AS top", "group_by": ["l_linenumber"]})],
+    "SELECT l_linenumber, " + ", ".join(f"count(*) FILTER (WHERE l_returnflag = '{k}') AS {k}_n, max(l_quantity) FILTER (WHERE l_returnflag = '{k}') AS {k}_top" for k in "ANR") + " FROM lineitem GROUP BY l_linenumber",
+)
+add(
+    "unpivot",
+    [LINEITEM, ("s", "xf.select", {"columns": ["l_orderkey", "l_quantity", "l_discount", "l_tax"]}), ("d", "xf.cast", {"columns": {"l_orderkey": "BIGINT"}}), ("n", "xf.sql", {"query": "SELECT l_orderkey, nullif(l_quantity, 1) AS l_quantity, l_discount, l_tax FROM d"}), ("u", "xf.unpivot", {"columns": ["l_quantity", "l_discount", "l_tax"], "name_column": "what", "value_column": "amount"})],
+    "SELECT l_orderkey, what, amount FROM (SELECT l_orderkey, nullif(l_quantity, 1) AS l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (amount FOR what IN (l_quantity, l_discount, l_tax))",
+)
+_CN = ("cn", "xf.sql", {"query": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000"}, "customer")
+_SN = ("sn", "xf.sql", {"query": "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000"}, "supplier")
+_CS, _SS = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000"
+for name, word in (("union", "UNION"), ("intersect", "INTERSECT"), ("except", "EXCEPT")):
+    for every in (True, False):
+        add(f"{name}_all" if every else name, [CUSTOMER, SUPPLIER, _CN, _SN, ("r", f"xf.{name}", {"all": every}, ["cn", "sn"])], f"{_CS} {word} {'ALL' if every else ''} {_SS}")
+add(
+    "union_by_name",
+    [NATION, REGION, ("r", "xf.rename", {"columns": {"r_name": "n_name"}}, "region"), ("u", "xf.union", {"by_name": True}, ["nation", "r"])],
+    "SELECT * FROM nation UNION ALL BY NAME SELECT r_regionkey, r_name AS n_name FROM region",
+)
+add("union_widens_to_text", [NATION, REGION, ("a", "xf.select", {"columns": ["n_nationkey"]}, "nation"), ("b", "xf.select", {"columns": ["r_name"]}, "region"), ("u", "xf.union", {}, ["a", "b"])], "SELECT n_nationkey::VARCHAR AS n_nationkey FROM nation UNION ALL SELECT r_name FROM region")
+add(
+    "sql",
+    [
+        NATION,
+        REGION,
+        (
+            "q",
+            "xf.sql",
+            {"query": "SELECT r.r_name AS \"region name\", n_name, count(*) AS n FROM nation JOIN region r ON n_regionkey = r.r_regionkey GROUP BY ROLLUP (r.r_name, n_name)"},
+            "nation",
+        ),
+    ],
+    'SELECT r.r_name AS "region name", n_name, count(*) AS n FROM nation JOIN region r ON n_regionkey = r.r_regionkey GROUP BY ROLLUP (r.r_name, n_name)',
+)
+add(
+    "sql_semi_anti",
+    [CUSTOMER, ORDERS, ("q", "xf.sql", {"query": "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 UNION ALL SELECT -c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey"}, ["customer", "orders"])],
+    "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 UNION ALL SELECT -c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey",
+)
+_CHECKS: dict[str, tuple[Step, dict[str, Any], str, str]] = {
+    "not_null": (LINEITEM, {"columns": ["q", "l_tax"]}, "q IS NOT NULL AND l_tax IS NOT NULL", "nullif(l_quantity, 1) AS q"),
+    "range": (LINEITEM, {"column": "q", "min": "10", "max": "20.5"}, "q >= 10 AND q <= 20.5", "nullif(l_quantity, 12) AS q"),
+    "regex": (ORDERS, {"column": "p", "pattern": "^[12]-"}, "regexp_matches(p, '^[12]-')", "nullif(o_orderpriority, '2-HIGH') AS p"),
+    "accepted_values": (EVENTS, {"column": "kind", "values": ["click", "view"]}, "kind IN ('click', 'view')", "nullif(event_type, 'view') AS kind"),
+    "expression": (ORDERS, {"predicate": "s = 'F' OR o_totalprice > 100000"}, "s = 'F' OR o_totalprice > 100000", "nullif(o_orderstatus, 'P') AS s"),
+}
+for name, (source, props, test, extra) in _CHECKS.items():
+    steps = [source, ("d", "xf.derive", {"expressions": extra}), ("check", f"qa.{name}", props)]
+    base = f"SELECT * FROM (SELECT *, {extra} FROM {source[0]}) WHERE"
+    add(f"qa_{name}", steps, f"{base} coalesce({test}, false)")
+    add(f"qa_{name}_rejected", steps, f"{base} NOT coalesce({test}, false)", "check.rejected")
+_UNIQUE = [ORDERS, ("d", "xf.derive", {"expressions": "nullif(o_custkey % 1000, 1) AS k"}), ("check", "qa.unique", {"columns": ["k", "o_orderstatus"]})]
+_COPIES = "SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY k, o_orderstatus) AS n FROM (SELECT *, nullif(o_custkey % 1000, 1) AS k FROM orders)) WHERE n"
+add("qa_unique", _UNIQUE, f"{_COPIES} = 1")
+add("qa_unique_rejected", _UNIQUE, f"{_COPIES} > 1", "check.rejected")
+_REFERS = [ORDERS, CUSTOMER, ("known", "xf.filter", {"predicate": "c_mktsegment <> 'BUILDING'"}, "customer"), ("d", "xf.derive", {"expressions": "nullif(o_custkey, 7) AS ck"}, "orders"), ("check", "qa.referential", {"column": "ck", "references": "c_custkey"}, {"left": "d", "right": "known"})]
+_KNOWN = "SELECT * FROM (SELECT *, nullif(o_custkey, 7) AS ck FROM orders) WHERE coalesce(ck IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'), false)"
+add("qa_referential", _REFERS, _KNOWN)
+add("qa_referential_rejected", _REFERS, _KNOWN.replace("WHERE coalesce", "WHERE NOT coalesce"), "check.rejected")
+add("qa_row_count", [NATION, ("c", "qa.row_count", {"min": 25, "max": 25})], "SELECT * FROM nation")
+add("qa_schema_match", [NATION, ("c", "qa.schema_match", {"columns": ["n_name", "n_regionkey"]})], "SELECT * FROM nation")
+add("control_nodes", [REGION, NATION, ("w", "ctl.wait", {"ms": 1}, "region"), ("l", "ctl.log", {"message": "read"}), ("f", "ctl.fail", {"when": "r_name IS NULL", "message": "a region has no name"}), ("b", "ctl.branch", {"predicate": "r_regionkey = 0"}), ("s", "ctl.sequence", {}, {"main": "b", "after": "nation"})], "SELECT * FROM region")
+add("incremental", [("events", "src.file.parquet", {"path": "{sf}/events.parquet"}, None, {"incremental": {"column": "ts", "start": "2024-01-20 00:00:00"}})], "SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
+add("sample_rows", [ORDERS, ("s", "xf.sample", {"size": 100}), ("a", "xf.aggregate", {"aggregations": "count(*) AS n, count(DISTINCT o_orderkey) AS keys"})], "SELECT 100::BIGINT AS n, 100::BIGINT AS keys")
+add("sample_percent", [ORDERS, ("s", "xf.sample", {"size": 10, "unit": "percent"}), ("a", "xf.aggregate", {"aggregations": "count(*) AS n"})], "SELECT round(count(*) * 0.1)::BIGINT AS n FROM orders")
+add("materialize_disk", [LINEITEM, ("f", "xf.filter", {"predicate": "l_quantity > 48"}, None, {"materialize": "disk"}), ("a", "xf.aggregate", {"aggregations": "count(*) AS n", "group_by": ["l_linestatus"]})], "SELECT l_linestatus, count(*) AS n FROM lineitem WHERE l_quantity > 48 GROUP BY 1")
+
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 0 THEN substring(reverse(d), i, 1)::INTEGER * 2 - CASE WHEN substring(reverse(d), i, 1)::INTEGER > 4 THEN 9 ELSE 0 END ELSE substring(reverse(d), i, 1)::INTEGER END)) % 10 = 0"
+_DOCS = ("documents", "src.file.parquet", {"path": "{sf}/documents.parquet"})
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_OCT = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IP = rf"\b(?:{_OCT}\.){{3}}{_OCT}\b|\b(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}\b"
+_CARD = r"\b(?:[0-9][ -]?){12,18}[0-9]\b"
+_SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+_PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?\b[0-9]+(?:[ .-][0-9]+)*\b"
+
+
+def _swapped(value: str, matches: str, token: str) -> str:
+    return f"list_reduce(list_prepend({value}, {matches}), lambda a, m: replace(a, m, {token}))"
+
+
+_CARDS = f"list_filter(regexp_extract_all(t, '{_CARD}'), lambda m: " + _LUHN.replace("d)", "regexp_replace(m, '[^0-9]', '', 'g'))").replace("(d", "(regexp_replace(m, '[^0-9]', '', 'g')") + ")"
+_PHONES = f"list_filter(regexp_extract_all(t, '{_PHONE}'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15 AND regexp_matches(m, '[ .()+-]') AND NOT regexp_matches(m, '^(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}'))"
+add(
+    "redact_tokens",
+    [_DOCS, ("r", "xf.ai.redact", {"columns": ["text"]}), ("s", "xf.select", {"columns": ["doc_id", "text"]})],
+    f"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g'), '{_IP}', '[IP]', 'g') AS t FROM documents),
+    b AS (SELECT doc_id, regexp_replace({_swapped('t', _CARDS, "'[CARD]'")}, '{_SSN}', '[SSN]', 'g') AS t FROM a)
+    SELECT doc_id, {_swapped('t', _PHONES.replace('{{', '{').replace('}}', '}'), "'[PHONE]'")} AS text FROM b""",
+)
+add(
+    "redact_hashes",
+    [_DOCS, ("r", "xf.ai.redact", {"columns": ["text"], "kinds": ["email"], "replacement": "hash"}), ("s", "xf.select", {"columns": ["doc_id", "text"]})],
+    "SELECT doc_id, " + _swapped("text", f"regexp_extract_all(text, '{_EMAIL}')", "'[EMAIL:' || left(sha256(lower(m)), 12) || ']'") + " AS text FROM documents",
+)
+_SPACES = r"regexp_replace({0}, '\s', ' ', 'g')"
+add(
+    "chunk",
+    [("conversations", "src.file.parquet", {"path": "{sf}/conversations.parquet"}), ("c", "xf.ai.chunk", {"column": "text", "size": 200, "overlap": 30, "output": "part"})],
+    r"""WITH RECURSIVE src AS (SELECT *, row_number() OVER () AS rid FROM conversations),
+    c AS (
+      SELECT rid, text AS t, 1::BIGINT AS s, 0::BIGINT AS step FROM src WHERE length(trim(text)) > 0
+      UNION ALL
+      SELECT rid, t, CASE WHEN regexp_matches(substring(t, raw - 1, 1), '\s') THEN raw
+        WHEN strpos(regexp_replace(substring(t, raw, 30), '\s', ' ', 'g'), ' ') > 0 THEN raw + strpos(regexp_replace(substring(t, raw, 30), '\s', ' ', 'g'), ' ') ELSE raw END, step + 1
+      FROM (SELECT rid, t, step, s, s + CASE WHEN strpos(reverse(regexp_replace(substring(t, s, 200), '\s', ' ', 'g')), ' ') BETWEEN 1 AND 169
+        THEN 200 - strpos(reverse(regexp_replace(substring(t, s, 200), '\s', ' ', 'g')), ' ') ELSE 200 END - 30 AS raw FROM c) WHERE s + 199 < length(t)
+    ), k AS (
+      SELECT rid, step, trim(substring(t, s, CASE WHEN s + 199 >= length(t) THEN length(t) - s + 1
+        WHEN strpos(reverse(regexp_replace(substring(t, s, 200), '\s', ' ', 'g')), ' ') BETWEEN 1 AND 169 THEN 200 - strpos(reverse(regexp_replace(substring(t, s, 200), '\s', ' ', 'g')), ' ') ELSE 200 END)) AS part FROM c
+    )
+    SELECT conv_id, turn, role, row_number() OVER (PARTITION BY rid ORDER BY step) - 1 AS part_index, part FROM k JOIN src USING (rid) WHERE part <> ''""",
+)
+add("embed_hashed", [("conversations", "src.file.parquet", {"path": "{sf}/conversations.parquet"}), ("e", "xf.ai.embed", {"column": "text", "dimensions": 16}), ("a", "xf.sql", {"query": "SELECT conv_id, turn, cardinality(embedding) AS n, round(sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 3) AS norm FROM e"})], "SELECT conv_id, turn, 16::INTEGER AS n, 1.0::DOUBLE AS norm FROM conversations")
