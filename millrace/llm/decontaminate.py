@@ -80,7 +80,8 @@ class Index:
 
     def hits(self, grams: np.ndarray, size: int) -> np.ndarray:
         at = np.flatnonzero(self.filter[size][(grams & np.uint64(_FILTER - 1)).astype(np.int64)])
-        return at[np.isin(grams[at], self.sorted[size])] if len(at) else at
+        known = self.sorted[size]
+        return at[known[np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)] == grams[at]]
 
     def of_document(self, hashes: np.ndarray, threshold: float) -> Iterator[tuple[int | None, float, int, int]]:
         """(item_id, similarity, first word, windows) of the items the document contains."""
