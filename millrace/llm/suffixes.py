@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import binary, mix
 
-GRAM, HOT, BLOCK_BYTES, SORT_BYTES = 32, 1000, 16 << 20, 4 << 20
+GRAM, HOT, BLOCK_BYTES, SORT_BYTES = 32, 1000, 8 << 20, 2 << 20
 _STEP = 1 << 16
 _rng = np.random.Generator(np.random.PCG64(77))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -353,7 +353,7 @@ def _sort_bucket(width: int):
         yield again["block"], spans(again, again["place"], again["place"] + width)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = list((contents if rows["kind"].iloc[0] == 1 else windows)(rows))
+        parts = [(np.zeros(0, np.int64), np.zeros(0, _SPAN)), *(contents if rows["kind"].iloc[0] == 1 else windows)(rows)]
         blocks, found = np.concatenate([b for b, _ in parts]), np.concatenate([s for _, s in parts])
         order = np.argsort(blocks, kind="stable")
         blocks, found = blocks[order], found[order]
