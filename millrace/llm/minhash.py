@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import Scratch
-from .words import batches_of_words, binary, mix, shingles
+from .words import batches_of_words, binary, distinct, mix, shingles
 
 BINS, BANDS = 128, 32
 #: Members of a bucket that meet those of another chunk in one task.
@@ -61,7 +61,7 @@ def _features(k: int):
         for batch in batches:
             ids, out = batch.column(0), [[], [], [], []]
             for i, _, _, hashes in batches_of_words(binary(batch.column(1))):
-                items = np.unique(shingles(hashes, k))
+                items = distinct(shingles(hashes, k))
                 out[0].append(i)
                 out[1].append(len(items))
                 out[2].append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
@@ -80,7 +80,7 @@ def _sets(k: int):
             where, sets = [], []
             for i, _, _, hashes in batches_of_words(binary(batch.column(1))):
                 where.append(i)
-                sets.append(np.unique(shingles(hashes, k)).tobytes())
+                sets.append(distinct(shingles(hashes, k)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), pa.array(sets, pa.binary())], ["id", "items"])
 
     return run
@@ -92,7 +92,8 @@ def _confirm(percent: int):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
+                merged = np.sort(np.concatenate((x, y)))
+                both = int(np.count_nonzero(merged[1:] == merged[:-1]))
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

@@ -90,6 +90,17 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(size))
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted. Sorting is faster here than the hash table of np.unique."""
+    out = np.sort(hashes)
+    if len(out) < 2:
+        return out
+    keep = np.empty(len(out), bool)
+    keep[0] = True
+    np.not_equal(out[1:], out[:-1], out=keep[1:])
+    return out[keep]
+
+
 def batches_of_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text of the column: its index, word starts, ends and hashes.
 
