@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, langid, minhash, mixing, sharding
-from millrace.llm.scratch import Scratch, new_path
+from millrace.llm.scratch import Scratch, bounded_batches, new_path
 
 #: A document whose language is less sure than this is rejected, as is one without letters.
 LEAST_SURE = 0.2
@@ -18,16 +18,19 @@ LEAST_SURE = 0.2
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a determined language, by a model fitted on these documents."""
+    bounded_batches(spark)
     return langid.known_only(docs, langid.fit(docs), least=LEAST_SURE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies."""
+    bounded_batches(spark)
     return minhash.one_of_each(docs, Scratch(spark), k=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, threshold=0.8)
 
 

@@ -46,9 +46,10 @@ def _lifts(nodes: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFra
     now = scratch.keep(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "lift")
     done = now.where("up is null").selectExpr("tree", "node", "0L as depth", "total")
     lifts = []
+    largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     while True:
         active = now.where("up is not null")
-        if active.isEmpty():
+        if 1 << len(lifts) > largest or active.isEmpty():  # no path is longer than its tree is large: the rest are cycles
             return lifts, done
         lifts.append(active.select("tree", "node", "up"))
         ends = done.selectExpr("tree", "node", "cast(null as long) as up", "depth", "total")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, media, minhash, mixing, quality, sharding, suffixes, warc
 from .samples import fold
-from .scratch import Scratch, new_path
+from .scratch import Scratch, bounded_batches, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +24,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import delete, new_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.
-
-    It is the session's spark.checkpoint.dir. Where that is unset a local master gets a temporary
-    folder, set for the rest of the session; a cluster gets an error, as its machines share none.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["Scratch", "bounded_batches", "new_path"]
 
 
 class Scratch:
@@ -47,5 +28,9 @@ class Scratch:
         for df in frames:
             path, _ = self.paths.pop(id(df), (None, None))
             if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                delete(self.spark, path)
+
+
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches of texts by their bytes: ten thousand long documents are no batch for one task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -232,7 +232,7 @@ class WarcReader(DataSourceReader):
                 size = 0
             groups[-1].append(path)
             size += n
-        return [_Files(x) for x in groups if x]
+        return [_Files(x) for x in groups]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -274,8 +274,9 @@ class WarcReader(DataSourceReader):
 def _line(name: str, value: Any) -> str:
     """A header line; line ends and the ends' spaces of a value are percent-encoded, as they would be lost."""
     text = str(value).replace("\r", "%0D").replace("\n", "%0A")
-    if text != text.strip():
-        text = "".join(f"%{ord(c):02X}" if c in " \t" else c for c in text)
+    body = text.strip(" \t")
+    lead, tail = text[: len(text) - len(text.lstrip(" \t"))], text[len(text.rstrip(" \t")) :] if body else ""
+    text = "".join(f"%{ord(c):02X}" for c in lead) + body + "".join(f"%{ord(c):02X}" for c in tail)
     return f"{name}: {text}\r\n"
 
 
