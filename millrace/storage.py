@@ -52,11 +52,13 @@ def replace_file(spark: SparkSession, source: str, target: str) -> None:
         other.mkdirs(b.getParent())
     if other.exists(b):
         other.delete(b, True)
-    if fs.getUri().equals(other.getUri()):
-        if fs.rename(a, b):
-            return
-    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, other, b, True, True, spark._jsc.hadoopConfiguration()):
+    moved = fs.getUri().equals(other.getUri()) and fs.rename(a, b)
+    if not moved and not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, other, b, True, True, spark._jsc.hadoopConfiguration()):
         raise OSError(f"{source} cannot be moved to {target}")
+    check = spark._jvm.org.apache.hadoop.fs.Path(b.getParent(), f".{b.getName()}.crc")
+    local = spark._jvm.java.io.File(check.toUri().getPath())
+    if not other.getUri().getScheme() or other.getUri().getScheme() == "file":  # else the file could not be edited
+        local.delete()
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
