@@ -72,6 +72,7 @@ class _Runner:
         self.persisted: list[DataFrame] = []
         self.scratch: list[str] = []
         self.observed: list[tuple[StageReport, str, Observation]] = []
+        self.settled: list[Callable[[bool], None]] = []
         self.deferred: list[tuple[Stage, StageReport, Any, DataFrame]] = []
 
     # --- one stage ---------------------------------------------------------------------------------
@@ -84,6 +85,7 @@ class _Runner:
             **self.given, "names": names, "note": report.notes.append, "held": self._held,
             "position": self.marks.position(stage.id), "track": lambda df, c: self.marks.track(stage.id, df, c),
             "track_offsets": lambda df, p, o, saved: self.marks.track_offsets(stage.id, df, p, o, saved),
+            "set_position": lambda value: self.marks.set(stage.id, value), "settle": self.settled.append,
         }
         return Step(stage.id, stage.component.id, dict(stage.props), self.spark, list(by_port.values()), by_port, context, dict(self.relations))
 
@@ -191,6 +193,7 @@ class _Runner:
                     report.seconds = time.monotonic() - at
             self._finish()
         finally:
+            self._settle(False)
             self.report.seconds = time.monotonic() - began
             for df in self.persisted:
                 df.unpersist()
@@ -198,6 +201,15 @@ class _Runner:
                 delete(self.spark, path)
         return self.report
 
+    def _settle(self, ok: bool) -> None:
+        """Messages on loan from queues: acknowledged after all deliveries, or given back."""
+        while self.settled:
+            settle = self.settled.pop()
+            try:
+                settle(ok)
+            except Exception as e:  # they come again; what was delivered stays delivered
+                self.report.warnings.append(self.mask(f"messages could not be {'acknowledged' if ok else 'given back'}: {_message(e)}"))
+
     def _finish(self) -> None:
         """Deliveries to other systems, then counts and positions, if nothing failed."""
         if not self.report.ok:
@@ -210,6 +222,7 @@ class _Runner:
                 except Exception as e:
                     report.status, report.error = "failed", self.mask(_message(e))
                     raise RunFailed(self.report, report) from e
+            self._settle(True)
             self.report.marks = self.marks.new()
         for report, port, n in self.observed:
             found = _observed(n)
@@ -270,6 +283,7 @@ def preview(spark: SparkSession, pipeline: Pipeline, node: str, limit: int = 100
         rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
         return rows[:limit], df.columns, len(rows) > limit
     finally:
+        runner._settle(False)
         for df in runner.persisted:
             df.unpersist()
         for path in runner.scratch:
@@ -294,6 +308,7 @@ def frames(spark: SparkSession, pipeline: Pipeline, *, resolver: Resolver | None
             runner._once(stage, StageReport(stage.id, stage.component.id))
         except NotTaken:
             lost.add(stage.id)
+    runner._settle(False)  # what came from queues has been read, and goes back to them
     return {n if p == "main" else f"{n}.{p}": df for (n, p), df in runner.frames.items()}
 
 

@@ -39,11 +39,17 @@ class Marks:
     def track_offsets(self, node: str, df: DataFrame, partition: str, offset: str, saved: str | None) -> None:
         self.watched[node] = (df, (partition, offset), saved)
 
+    def set(self, node: str, position: str) -> None:
+        """A position that the source has worked out itself."""
+        self.watched[node] = (None, position, None)
+
     def new(self) -> dict[str, str]:
         """The new positions: the greatest value read, or the old one if nothing was. One aggregate for each source."""
         out = {}
         for node, (df, what, saved) in self.watched.items():
-            if isinstance(what, str):
+            if df is None:
+                out[node] = what
+            elif isinstance(what, str):
                 top = df.agg(F.max(F.col(f"`{what}`"))).first()[0]
                 value = text_of(top) if top is not None else self.position(node)
                 if value is not None:
