@@ -11,7 +11,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from .model import pipeline
-from .plans.run import frames
+from .plans.run import frames, run
+from .storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -274,3 +275,48 @@ add(
     SELECT conv_id, turn, role, row_number() OVER (PARTITION BY rid ORDER BY step) - 1 AS part_index, part FROM k JOIN src USING (rid) WHERE part <> ''""",
 )
 add("embed_hashed", [("conversations", "src.file.parquet", {"path": "{sf}/conversations.parquet"}), ("e", "xf.ai.embed", {"column": "text", "dimensions": 16}), ("a", "xf.sql", {"query": "SELECT conv_id, turn, cardinality(embedding) AS n, round(sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 3) AS norm FROM e"})], "SELECT conv_id, turn, 16::INTEGER AS n, 1.0::DOUBLE AS norm FROM conversations")
+
+
+# --- files written and read back, and what runs report ------------------------------------------------
+
+
+def add_round_trip(name: str, steps: list[Step], sink: str, source: str, end: str, sql: str, sink_props: dict[str, Any] | None = None, source_props: dict[str, Any] | None = None) -> None:
+    """Registers a query that runs a pipeline into a file and returns what a source reads from it."""
+
+    def run_it(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_path(spark, name) + end
+        given = lambda props: {k: v.replace("{path}", path.removeprefix("file://") if "sqlite" in sink else path) for k, v in props.items()} if props else {"path": path}
+        placed = [(s[0], s[1], {k: v.replace("{sf}", sf_dir) if k == "path" else v for k, v in s[2].items()}, *s[3:]) for s in steps]
+        run(spark, pipeline(*placed, ("out", sink, given(sink_props)), name=name), counts="none")
+        return frames(spark, pipeline(("back", source, given(source_props)), name=name))["back"]
+
+    QUERIES[name] = run_it
+    ORACLE_SQL[name] = sql
+
+
+_ODD = ("odd", "xf.derive", {"expressions": "concat('a \"quoted\", ', p_name) AS odd, nullif(p_size, 1) AS size"})
+_ODD_SQL = "SELECT *, concat('a \"quoted\", ', p_name) AS odd, nullif(p_size, 1) AS size FROM part"
+add_round_trip("csv_round_trip", [PART, _ODD], "snk.file.csv", "src.file.csv", ".csv", _ODD_SQL)
+add_round_trip("jsonl_round_trip", [ORDERS], "snk.file.jsonl", "src.file.jsonl", ".jsonl", "SELECT * FROM orders")
+add_round_trip("json_round_trip", [PART, _ODD], "snk.file.json", "src.file.json", ".json", _ODD_SQL)
+add_round_trip("parquet_round_trip", [LINEITEM], "snk.file.parquet", "src.file.parquet", ".parquet", "SELECT * FROM lineitem")
+add_round_trip("excel_round_trip", [ORDERS], "snk.file.excel", "src.file.excel", ".xlsx", "SELECT * FROM orders")
+add_round_trip(
+    "xml_round_trip", [PART, _ODD], "snk.file.xml", "src.file.xml", ".xml", _ODD_SQL.replace("*,", "p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_type, p_size::VARCHAR AS p_size, p_retailprice::VARCHAR AS p_retailprice,").replace("nullif(p_size, 1) AS size", "nullif(part.p_size, 1)::VARCHAR AS size"),
+    {"path": "{path}", "record": "part"}, {"path": "{path}", "record": "part"},
+)
+add_round_trip("sqlite_round_trip", [ORDERS], "snk.db.sqlite", "src.db.sqlite", ".sqlite", "SELECT * FROM orders", {"connection": "{path}", "table": "orders"}, {"connection": "{path}", "table": "orders"})
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of every stage's outputs, as a run reports them."""
+    steps = [ORDERS, ("f", "xf.filter", {"predicate": "o_totalprice > 100000"}), ("check", "qa.regex", {"column": "o_orderpriority", "pattern": "^[12]-"}), ("out", "snk.file.parquet", {"path": new_path(spark, "reported"), "layout": "folder"}), ("rest", "snk.file.parquet", {"path": new_path(spark, "reported"), "layout": "folder"}, "check.rejected")]
+    placed = [(s[0], s[1], {k: v.replace("{sf}", sf_dir) if k == "path" else v for k, v in s[2].items()}, *s[3:]) for s in steps]
+    report = run(spark, pipeline(*placed, name="reported"))
+    return spark.createDataFrame([(s.id, port, n) for s in report.stages for port, n in s.rows.items()], "stage string, port string, rows long")
+
+
+QUERIES["run_report"] = _reported
+ORACLE_SQL["run_report"] = """
+SELECT stage, 'in' AS port, count(*) AS rows FROM (SELECT CASE WHEN regexp_matches(o_orderpriority, '^[12]-') THEN 'out' ELSE 'rest' END AS stage FROM orders WHERE o_totalprice > 100000) GROUP BY stage
+"""
