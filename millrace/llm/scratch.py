@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import delete, new_path
@@ -24,6 +26,18 @@ class Scratch:
         self.paths[id(back)] = (path, back)
         return back
 
+    def keep_bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """As keep(), in buckets by a column: joins on it shuffle the other side only.
+
+        The catalog knows the table only until it has been opened, so nothing is left there.
+        """
+        path, table = new_path(self.spark, name), f"{name}_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+        back = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        self.paths[id(back)] = (path, back)
+        return back
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path, _ = self.paths.pop(id(df), (None, None))

@@ -399,7 +399,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = 100, hot: int
         raise ValueError("width must be at least 100")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    blocks = scratch.keep(source.mapInArrow(_blocks(BLOCK_BYTES), "block long, ids array<long>, sizes array<long>, data binary"), "blocks")
+    packed = source.mapInArrow(_blocks(BLOCK_BYTES), "block long, ids array<long>, sizes array<long>, data binary")
+    blocks = scratch.keep_bucketed(packed, "blocks", "block", buckets)  # both joins on block leave the texts where they are
     hashes = blocks.mapInArrow(_send_hashes(width, buckets), "bucket int, block long, hashes binary, copies binary")
     flags = hashes.groupBy("bucket").applyInPandas(_flag(hot), "block long, bucket int, flags binary")
     flags = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
