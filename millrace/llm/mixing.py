@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Rows of a source among which the draws are spread.
+STRATUM = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -17,7 +19,7 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sized: DataFrame, scratch: Scratch, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(source, source_size, target): one row per source of sized (source, size).
+    """(source, source_size, source_rows, target): one row per source of sized (source, size).
 
     Sources in order of code point, null last, weigh `weights` in turn, and share the total size by
     weight. No target passes `most` times its source's size: the excess is shared out again among
@@ -26,7 +28,7 @@ def targets(sized: DataFrame, scratch: Scratch, weights: Sequence[int] = (1, 2,
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(int(w)) for w in weights])
-    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     rows = scratch.keep(
         rows.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))), "sources"
     )
@@ -38,31 +40,46 @@ def targets(sized: DataFrame, scratch: Scratch, weights: Sequence[int] = (1, 2,
         closed, weight_open = rows.agg(F.coalesce(F.expr(f"sum(if({open_now}, 0, source_size))"), F.lit(0)), F.coalesce(F.expr(f"sum(if({open_now}, weight, 0))"), F.lit(0))).first()
         rest, share = size - most * closed, weight_open
     level = f"if({most} * source_size * {before[1]} > {before[0]} * weight, cast(weight as double) * {rest}D / {share}D, cast({most} * source_size as double))" if share else f"cast({most} * source_size as double)"
-    return rows.select("source", "source_size", F.expr(level).alias("target"))
+    return rows.select("source", "source_size", "source_rows", F.expr(level).alias("target"))
 
 
-def copies(key: Column, rate: Column, seed: int = 0) -> Column:
-    """floor(rate) and one more with the fraction's probability, by a hash of the key and the seed."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    whole = F.floor(rate)
-    return (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("long")
+def _draw(*parts: Column | str) -> Column:
+    """A number from 0 to 1 (exclusive) by a hash of the parts."""
+    text = F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """docs with size, source_size, target and n_copies: how often the mixture takes each row.
 
-    A source's repetition rate is target / source_size; a source without words has rate 0. Rows are
-    not grouped or shuffled by source: the one row per source is joined by broadcast if Spark finds
-    its size below the broadcast threshold and by a sort-merge join, split where skewed, otherwise.
-    Null texts have size 0. A null source is a source. Rows with equal doc_id draw alike. Columns of
-    docs called size, source_size, target or n_copies are replaced.
+    A source's repetition rate is target / source_size; a source without words has rate 0. Each row
+    is taken floor(rate) times, and once more with the fraction's probability, by a hash. The draws
+    are spread over a source's sizes: in strata of about STRATUM rows, in order of size, the k-th row
+    is drawn if floor(k * fraction + u) passes a whole number, u being the stratum's hash from 0 to 1.
+    So each row's probability is the fraction, and the words taken stay within one document's size
+    of the target in each stratum.
+
+    Strata bound what a task orders: a source that holds a third of all rows has as many as it
+    needs. The one row per source is joined by broadcast if Spark finds its size below the broadcast
+    threshold and by a sort-merge join, split where skewed, otherwise.
+
+    Null texts have size 0. A null source is a source. Of rows equal in doc_id and size any may be
+    the one that is drawn. Columns of docs called size, source_size, target or n_copies are replaced.
     """
     sized = docs.drop("size", "source_size", "target", "n_copies").withColumn("size", n_words(F.col("text")))
     per = targets(sized.select(F.col("source").cast("string").alias("source"), "size"), scratch, weights, most)
     per = per.withColumnRenamed("source", "_source")
-    joined = sized.join(per, sized["source"].cast("string").eqNullSafe(per["_source"])).drop("_source")
+    joined = sized.join(per, sized["source"].cast("string").eqNullSafe(per["_source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return joined.withColumn("n_copies", copies(F.col("doc_id"), rate, seed))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    strata = F.ceil(F.col("source_rows") / F.lit(float(STRATUM))).cast("long")
+    drawn = joined.withColumn("_rate", rate).withColumn("_part", F.floor(_draw(key, f":part:{seed}") * strata).cast("long"))
+    order = Window.partitionBy("_source", "_part").orderBy("size", F.md5(F.concat(key, F.lit(f":{seed}"))), key)
+    drawn = drawn.withColumn("_k", F.row_number().over(order))
+    fraction = F.col("_rate") - F.floor("_rate")
+    start = _draw(F.coalesce("_source", F.lit("")), ":", F.col("_part").cast("string"), f":{seed}")
+    extra = F.floor(F.col("_k") * fraction + start) - F.floor((F.col("_k") - 1) * fraction + start)
+    return drawn.withColumn("n_copies", (F.floor("_rate") + extra).cast("long")).drop("_source", "_rate", "_part", "_k", "source_rows")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
