@@ -227,7 +227,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents less every near copy of one with a smaller doc_id in its component."""
+    """The documents less every near copy of one with a smaller doc_id in its component; all columns.
+
+    Rows that share a doc_id are one document and stay or go together; a null doc_id stays.
+    """
     found = near_duplicates(docs, scratch, k, percent)
     gone = found.where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -58,6 +58,29 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# Bytes as hexadecimal digits, as DuckDB takes no substrings of binary values.
+ORACLE_SQL["op8_suffixes"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), w AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)
+), again AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM w) WHERE k > 1
+), marked AS (
+  SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS fresh FROM again
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT doc_id, p, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked) GROUP BY doc_id, k
+), edges AS (
+  SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from FROM spans
+  UNION ALL SELECT d.doc_id, d.n, coalesce(max(s.b), 0) FROM d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id, d.n
+), kept AS (
+  SELECT d.doc_id, string_agg(substr(d.h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY kept_from) AS h FROM edges JOIN d USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(sum(s.b - s.a), 0)::BIGINT AS n_removed, count(s.a)::BIGINT AS n_spans, sha256(unhex(any_value(k.h))) AS kept_sha256
+FROM d JOIN kept k USING (doc_id) LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id, d.n
+"""
+
+
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark), weights=(1, 2, 3), most=3, seed=0)

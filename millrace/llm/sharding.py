@@ -139,7 +139,8 @@ class ShardSet:
 
 
 def shard(docs: DataFrame, root: str, arrivals: int = 8, target_bytes: int = 128 << 20, fanout: int = 4) -> ShardSet:
-    """docs appended in `arrivals` batches by doc_id, and compacted."""
+    """docs appended in `arrivals` batches by doc_id, and compacted. A column `arrival` holds the batch;
+    one of that name in docs is replaced. What was merged is deleted at the end."""
     made = ShardSet(docs.sparkSession, root, target_bytes, fanout)
     made.append(docs.withColumn("arrival", arrival_of(F.col("doc_id"), arrivals)), "arrival")
     made.compact()

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from millrace.llm import suffixes
+from millrace.llm import queries, suffixes
 from millrace.llm.scratch import Scratch
 
 
@@ -84,3 +84,7 @@ def test_ties_of_heads_and_tails_are_told_apart():
     place = np.array([0, 101, 203, 304])
     again = suffixes._repeats(text, np.zeros(4, np.uint64), np.zeros(4, np.int64), place, 100)
     assert again.tolist() == [False, False, True, True]
+
+
+def test_matches_sql(same):
+    same(queries.QUERIES["op8_suffixes"], queries.ORACLE_SQL["op8_suffixes"])
