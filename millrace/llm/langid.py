@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import bounded, fold
+from .samples import bounded, fold, gathered
 from .words import binary
 
 DIMS = 4096
@@ -132,7 +132,8 @@ def fit(docs: DataFrame, per_lang: int = 400, langs: int = 32, folds: int = 4, h
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_buffer()).astype(np.float16).tobytes() for t in binary(batch.column(2))], pa.binary())], ["id", "lang", "x"])
 
-    found = sorted((r[1], r[0], bytes(r[2])) for r in chosen.select(F.col("doc_id").cast("string"), "lang", "text").mapInArrow(run, "id string, lang string, x binary").toLocalIterator())
+    vectors = chosen.select(F.col("doc_id").cast("string"), "lang", "text").mapInArrow(run, "id string, lang string, x binary")
+    found = sorted((r[1], r[0] or "", bytes(r[2])) for r in gathered(vectors, "languages"))
     x = np.array([np.frombuffer(v, np.float16) for _, _, v in found], np.float32).reshape(len(found), DIMS)
     return Model(x, [lang for lang, _, _ in found])
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import bounded, fold
+from .samples import bounded, fold, gathered
 from .words import binary
 
 DICT_BYTES, LEVEL, PIECE = 64 << 10, 3, 2048
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_bytes: in
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * per_label rows of two numbers
     text: dict[tuple[int, bool], list[bytes]] = {(q, part): [] for q in (0, 1) for part in (False, True)}
     size = 0
-    for row in rows.select("doc_id", "quality", "text").where("text is not null").toLocalIterator():
+    for row in gathered(rows.select("doc_id", "quality", "text").where("text is not null"), "labelled"):
         raw = row[2].encode()
         if size + len(raw) <= max_bytes:
             text[row[1], zlib.crc32(f"{row[0]}:part".encode()) % 3 == 0].append(raw)

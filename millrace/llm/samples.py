@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as an empty text."""
@@ -23,3 +27,15 @@ def bounded(rows: DataFrame, label: str, key: str, per_label: int, labels: int)
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r[0], per_label / r[1])])
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
     return rows.where(F.col(label).isNotNull() & (draw < F.coalesce(F.element_at(rate, F.col(label)), F.lit(0.0))))
+
+
+def gathered(rows: DataFrame, name: str) -> Iterator[Row]:
+    """A bounded sample's rows on the driver, a partition at a time.
+
+    They are written first: all tasks look for them at once, and what is then read one after another
+    is a few small files.
+    """
+    scratch = Scratch(rows.sparkSession)
+    kept = scratch.keep(rows, name)
+    yield from kept.toLocalIterator()
+    scratch.drop(kept)
