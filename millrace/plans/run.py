@@ -224,16 +224,21 @@ class _Runner:
                     raise RunFailed(self.report, report) from e
             self._settle(True)
             self.report.marks = self.marks.new()
+        patience = time.monotonic() + 3  # counts arrive a moment after their action; those of unread outputs never do
         for report, port, n in self.observed:
-            found = _observed(n)
+            found = _observed(n, patience)
             if found is not None:
                 report.rows[port] = found
 
 
-def _observed(n: Observation) -> int | None:
-    """An observation's count, if an action has read what it watches."""
+def _observed(n: Observation, until: float) -> int | None:
+    """An observation's count, if an action has read what it watches; waits for it until a time."""
     try:
-        return n.get["n"] if n._jo is not None and n._jo.future().isCompleted() else None
+        while n._jo is not None and not n._jo.future().isCompleted():
+            if time.monotonic() > until:
+                return None
+            time.sleep(0.02)
+        return n.get["n"] if n._jo is not None else None
     except Exception:  # the action ended without its metrics
         return None
 
