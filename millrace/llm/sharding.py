@@ -100,8 +100,8 @@ class ShardSet:
     def compact(self) -> int:
         """Merges every tier of at least `fanout` small shards and returns the version, new if there was one.
 
-        The rows of a tier are dealt evenly over as many files as its bytes fill at the target
-        size, so no key decides a file's size. The merged shards stay on disk for readers of older
+        The rows of a tier go to as many files as its bytes fill at the target size, and no key
+        decides a file's size. The merged shards stay on disk for readers of older
         versions until vacuum().
         """
         while full := [r[0] for r in self.tiers().where(F.col("shards") >= self.fanout).select("tier").orderBy("tier").collect()]:
@@ -112,11 +112,20 @@ class ShardSet:
             size = merged.agg(F.sum("bytes")).first()[0]
             folder = f"{self.root}/data/run-{uuid.uuid4().hex}"
             n = max(1, -(-size // self.target_bytes))
-            self.spark.read.parquet(*paths).repartition(n).write.option("compression", "zstd").parquet(folder)
+            self._dealt(self.spark.read.parquet(*paths), n).write.option("compression", "zstd").parquet(folder)
             kept = now.join(merged.select("path"), "path", "left_anti").select(now.columns)
             self._commit(kept.unionByName(self._shards(folder, version)), version)
         return self.version()
 
+    def _dealt(self, rows: DataFrame, files: int) -> DataFrame:
+        """rows in as many partitions as files are to be written, of about equal size.
+
+        Spark packs small files into scan partitions of maxPartitionBytes. Where the target is no
+        smaller, whole scan partitions go together and nothing is shuffled; otherwise rows are dealt out.
+        """
+        scan = self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(self.spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        return rows.coalesce(files) if self.target_bytes >= scan else rows.repartition(files)
+
     def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
         """The rows of a version; `shard` names a column to hold the path of each row's shard."""
         paths = [r[0] for r in self.manifest(version).select("path").collect()]  # names of shards, not data
