@@ -38,5 +38,4 @@ def _redact_check(node: str, p: dict) -> None:
 def redact(step: Step) -> DataFrame:
     """Personal data in the named columns replaced by tokens, or by hashes of what they denote."""
     must_have(step, "columns", step.df, step["columns"])
-    hashed = step["replacement"] == "hash"
-    return step.df.select(*[fn.redact(col(c), tuple(step["kinds"]), hashed).alias(c) if c in step["columns"] else col(c) for c in step.df.columns])
+    return fn.redact(step.df, step["columns"], tuple(step["kinds"]), step["replacement"] == "hash")
