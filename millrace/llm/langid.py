@@ -87,7 +87,7 @@ class Model:
         machines = []
         for a, b in combinations(names, 2):
             rows = (labels == a) | (labels == b)
-            machines.append(_machine(x[rows], np.where(labels[rows] == a, 1.0, -1.0).astype(np.float32)))
+            machines.append(_machine(x[rows].astype(np.float32), np.where(labels[rows] == a, 1.0, -1.0).astype(np.float32)))
         return names, np.array(machines, np.float32).reshape(len(machines), DIMS + 1)
 
     @staticmethod
@@ -117,16 +117,17 @@ class Model:
         return lang, sure * surer
 
 
-def fit(docs: DataFrame, per_lang: int = 400, langs: int = 32, folds: int = 4, held: int = 2) -> Model:
-    """A model from about per_lang rows of each of the `langs` most frequent languages.
+def fit(docs: DataFrame, per_lang: int = 400, folds: int = 4, held: int = 2) -> Model:
+    """A model from about per_lang rows of every language.
 
     Only rows with a lang and a text whose fold is not `held` are learned from. Features are
-    computed by Spark; per_lang * langs vectors of DIMS floats at most come to the driver. With no
-    such rows the model answers `und`.
+    computed by Spark; about per_lang vectors of DIMS half floats for a language come to the driver,
+    which trains one machine for each two families and each two languages of a family. With no such
+    rows the model answers `und`.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    chosen = bounded(rows, "lang", "doc_id", per_lang, langs)
+    chosen = bounded(rows, "lang", "doc_id", per_lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +135,9 @@ def fit(docs: DataFrame, per_lang: int = 400, langs: int = 32, folds: int = 4, h
 
     vectors = chosen.select(F.col("doc_id").cast("string"), "lang", "text").mapInArrow(run, "id string, lang string, x binary")
     found = sorted((r[1], r[0] or "", bytes(r[2])) for r in gathered(vectors, "languages"))
-    x = np.array([np.frombuffer(v, np.float16) for _, _, v in found], np.float32).reshape(len(found), DIMS)
+    x = np.empty((len(found), DIMS), np.float16)
+    for row, (_, _, v) in zip(x, found, strict=True):
+        row[:] = np.frombuffer(v, np.float16)
     return Model(x, [lang for lang, _, _ in found])
 
 

@@ -15,18 +15,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def bounded(rows: DataFrame, label: str, key: str, per_label: int, labels: int) -> DataFrame:
-    """About per_label rows of each of the most frequent labels, at most `labels` of them.
+def bounded(rows: DataFrame, label: str, key: str, per_label: int, labels: int | None = None) -> DataFrame:
+    """About per_label rows of every label, or of the `labels` most frequent ones if that is given.
 
     Rows are taken by a hash of the key at a rate of per_label over the label's count, so that equal
-    tables give equal samples. One aggregation by label; what comes to the driver is one count for a label.
+    tables give equal samples. One aggregation by label; its rates, a row for a label, are broadcast.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
-    if not counts:
-        return rows.limit(0)
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r[0], per_label / r[1])])
+    given = rows.where(F.col(label).isNotNull())
+    counts = given.groupBy(label).count()
+    if labels is not None:
+        counts = counts.orderBy(F.desc("count"), label).limit(labels)
+    rates = counts.select(label, (F.lit(float(per_label)) / F.col("count")).alias("rate_"))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
-    return rows.where(F.col(label).isNotNull() & (draw < F.coalesce(F.element_at(rate, F.col(label)), F.lit(0.0))))
+    return given.join(F.broadcast(rates), label).where(draw < F.col("rate_")).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def gathered(rows: DataFrame, name: str) -> Iterator[Row]:

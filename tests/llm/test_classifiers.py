@@ -60,6 +60,18 @@ def test_languages_without_labels(spark):
     assert langid.predict(one, langid.fit(one)).first().lang_pred == "xx"
 
 
+def test_every_language_is_learned(spark):
+    langs = sorted(lang for names in langid.FAMILIES.values() for lang in names)
+    assert len(langs) > 32
+    words = {lang: [f"{lang}{chr(97 + j)}{lang[::-1]}" for j in range(8)] for lang in langs}
+    rows = [(100 * n + i, " ".join(words[lang][(i + j) % 8] for j in range(6)), lang) for n, lang in enumerate(langs) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.langs == langs
+    texts = spark.createDataFrame([(n, " ".join(words[lang])) for n, lang in enumerate(langs)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(texts, model).collect()} == dict(enumerate(langs))
+
+
 def test_quality_of_held_out_documents(spark, data, docs):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     got = queries.QUERIES["op10_quality"](spark, data)
