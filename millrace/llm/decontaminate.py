@@ -8,6 +8,10 @@ average with a deviation of 2.9, so RADIUS lies four and a half deviations above
 decided by the exact similarity, the sum of the lesser counts of all shingles over the sum of the
 greater ones.
 
+That deviation holds where no shingle repeats: a repeated one moves all 64 sums at once. So pairs
+whose window or item repeats a shingle are not left to fingerprints; their exact similarity is
+computed for every window that shares a shingle with the item.
+
 Only windows that hold a shingle of an item are fingerprinted: without one the similarity is 0.
 """
 
@@ -59,6 +63,10 @@ class Index:
             for g in grams.tolist():
                 where[min(k, len(hashes))][g].add(len(hashes))
         self.prints = np.array(prints, np.uint8).reshape(len(self.ids), 8)
+        self.size_of = np.array(self.sizes, np.int64)
+        self.bag_sizes = np.array([sum(bag.values()) for bag in self.bags], np.int64)
+        self.repeats = np.array([max(bag.values()) > 1 for bag in self.bags], bool)
+        self.pairs = {gram: self._pairs(gram) for gram in where}
         self.where = {gram: {h: sorted(sizes) for h, sizes in found.items()} for gram, found in where.items()}
         self.sorted, self.filter = {}, {}
         for gram, found in self.where.items():
@@ -69,6 +77,14 @@ class Index:
         self.blocks = [near[:, self.prints[:, b]] for b in range(BLOCKS)]  # value of a block -> items
         self.ones = np.array([bin(a).count("1") for a in range(256)], np.uint8)
 
+    def _pairs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of gram words, sorted, with an item that holds them and how often it does."""
+        items = [i for i, n in enumerate(self.sizes) if min(self.k, n) == gram]
+        grams = np.concatenate([np.fromiter(self.bags[i], np.uint64, len(self.bags[i])) for i in items])
+        counts = np.concatenate([np.fromiter(self.bags[i].values(), np.int64, len(self.bags[i])) for i in items])
+        order = np.argsort(grams, kind="stable")
+        return grams[order], np.repeat(items, [len(self.bags[i]) for i in items])[order], counts[order]
+
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs of fingerprints within RADIUS."""
         found = self.blocks[0][prints[:, 0]]
@@ -101,18 +117,19 @@ class Index:
                 cuts = np.flatnonzero(np.diff(places) > width) + 1
                 for part in np.split(places, cuts):
                     if len(part):
-                        self._windows(grams, part, width, size, threshold, best)
+                        self._windows(grams, part, width, size, gram, threshold, best)
         for item, (similarity, start, windows) in best.items():
             yield self.ids[item], similarity, start, windows
 
-    def _windows(self, grams: np.ndarray, starts: np.ndarray, width: int, size: int, threshold: float, best: dict[int, list]) -> None:
+    def _windows(self, grams: np.ndarray, starts: np.ndarray, width: int, size: int, gram: int, threshold: float, best: dict[int, list]) -> None:
         low = int(starts[0])
         near = grams[low : int(starts[-1]) + width]
+        repeated = self._repeated(grams, near, starts - low, low, width, size, gram, threshold, best)
         sums = np.zeros((len(near) + 1, 64), np.int32)
         np.cumsum(_bits(near), axis=0, out=sums[1:])
         prints = _pack(sums[starts - low + width] - sums[starts - low])
         for w, item in zip(*(x.tolist() for x in self.within(prints)), strict=True):
-            if self.sizes[item] != size:
+            if self.sizes[item] != size or repeated[w] or self.repeats[item]:
                 continue
             start = int(starts[w])
             both, bag = 0, self.bags[item]
@@ -121,13 +138,66 @@ class Index:
                     both += min(n, bag[g])
             similarity = both / (width + sum(bag.values()) - both)
             if similarity >= threshold:
-                old = best.get(item)
-                if old is None:
-                    best[item] = [similarity, start, 1]
-                else:
-                    old[2] += 1
-                    if (similarity, -start) > (old[0], -old[1]):
-                        old[:2] = similarity, start
+                _better(best, item, similarity, start, 1)
+
+    def _repeated(self, grams: np.ndarray, near: np.ndarray, at: np.ndarray, low: int, width: int, size: int, gram: int, threshold: float, best: dict[int, list]) -> np.ndarray:
+        """Which windows of near, at the places given, repeat a shingle; what they, and all windows of
+        items that do, have in common with the items goes to best."""
+        order = np.argsort(near, kind="stable")
+        values = near[order]
+        again = np.flatnonzero(values[1:] == values[:-1])
+        repeated = _covered(order[again + 1], order[again], width, len(near))[at] > 0
+        firsts = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1))
+        known, holders, held = self.pairs[gram]
+        from_, to = (np.searchsorted(known, values[firsts], side) for side in ("left", "right"))
+        times = np.diff(np.append(firsts, len(values)))
+        pair, which = _ranges(from_, to)
+        use = (self.size_of[holders[pair]] == size) & (self.repeats[holders[pair]] | repeated.any())
+        pair, which = pair[use], which[use]
+        if not len(pair):
+            return repeated
+        items, place = np.unique(holders[pair], return_inverse=True)
+        most = np.bincount(place, np.minimum(times[which], held[pair]))  # no window has more in common
+        for n in np.flatnonzero(most / (width + self.bag_sizes[items] - most) >= threshold).tolist():
+            item, mine = int(items[n]), place == n
+            first = firsts[which[mine]]
+            each, owner = _ranges(first, first + times[which[mine]])
+            before = each - held[pair[mine]][owner]  # the occurrence that makes this one too many
+            barred = np.where(before >= first[owner], order[np.maximum(before, 0)], -1)
+            chosen = np.ones(len(at), bool) if self.repeats[item] else repeated
+            both = _covered(order[each], order[each], width, len(near), barred)[at[chosen]]
+            similarity = both / (width + self.bag_sizes[item] - both)
+            found = similarity >= threshold
+            if found.any():
+                top = int(np.argmax(similarity))
+                _better(best, item, float(similarity[top]), low + int(at[chosen][top]), int(found.sum()))
+        return repeated
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after another, and the range each is of."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner] + starts[owner], owner
+
+
+def _covered(ends: np.ndarray, lasts: np.ndarray, width: int, n: int, barred: np.ndarray | int = -1) -> np.ndarray:
+    """For each window start below n: how many of the places `ends` lie in the window if it starts
+    after `barred` and not after `lasts`."""
+    first = np.maximum(ends - width, barred) + 1
+    first = np.maximum(first, 0)
+    use = first <= lasts
+    return np.cumsum(np.bincount(first[use], minlength=n + 1) - np.bincount(lasts[use] + 1, minlength=n + 1))
+
+
+def _better(best: dict[int, list], item: int, similarity: float, start: int, windows: int) -> None:
+    old = best.get(item)
+    if old is None:
+        best[item] = [similarity, start, windows]
+    else:
+        old[2] += windows
+        if (similarity, -start) > (old[0], -old[1]):
+            old[:2] = similarity, start
 
 
 def _search(items: list[tuple[int | None, bytes]], k: int, threshold: float):

@@ -61,6 +61,24 @@ def test_brute_force(spark):
     assert len(want) > 20
 
 
+def test_repeated_shingles(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"t{i}" for i in range(5000)]
+    docs, items = [], []
+    for i in range(16):
+        prose, run = list(rng.choice(vocabulary, 190 + 4 * (i % 4))), 20 + i % 3
+        own, other = prose + ["0"] * run, prose + [f"u{j}" if i % 4 == 1 else "nil" for j in range(run)]
+        if i % 4 == 2:
+            own, other = prose + [f"v{j}" for j in range(run)], other
+        items.append((i, " ".join(own)))
+        docs.append((i, " ".join([*rng.choice(vocabulary, 30), *other, *rng.choice(vocabulary, 9), *["0"] * 40])))
+    items += [(90, "a b " * 12), (91, "a " * 9), (92, "a a a a b")]
+    docs += [(90, "a b " * 30 + "a " * 30), (91, "a b a b a"), (92, "x a a a a b a a a a")]
+    got, want = found(decontaminate.leaks(*tables(spark, docs, items))), brute(docs, items)
+    assert got == {k: (pytest.approx(v[0]), *v[1:]) for k, v in want.items()}
+    assert {(i, i) for i in range(16)} <= want.keys()
+
+
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, ITEM.upper()), (4, "x " * 20000 + ITEM + " y"), (5, ITEM[:40]), (6, "a b"), (None, ITEM)]
     items = [(1, ITEM), (2, None), (3, ""), (4, "a b"), (5, ITEM)]
