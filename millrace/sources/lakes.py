@@ -111,7 +111,8 @@ def metadata_file(spark: SparkSession, path: str, version: str | None) -> str:
 
 
 def read_iceberg_log(spark: SparkSession, path: str, version: str | None, moved: bool) -> DataFrame:
-    """The current snapshot's files by way of its manifests, which are Avro."""
+    """The current snapshot's files by way of its manifests, which are Avro. A snapshot with delete
+    files is refused: their rows would come back."""
     if not has_format(spark, "avro"):
         raise ModuleNotFoundError("Iceberg tables need org.apache.iceberg:iceberg-spark-runtime or org.apache.spark:spark-avro on Spark's class path")
     where = metadata_file(spark, path, version)
@@ -126,7 +127,10 @@ def read_iceberg_log(spark: SparkSession, path: str, version: str | None, moved:
     schema = T.StructType.fromDDL(", ".join(f"`{f['name']}` {_ICEBERG.get(f['type'], f['type'])}" for f in fields))
     if current is None:
         return spark.createDataFrame([], schema)
-    manifests = [place(r[0]) for r in spark.read.format("avro").load(place(current["manifest-list"])).where("content = 0").select("manifest_path").collect()]
+    listed = spark.read.format("avro").load(place(current["manifest-list"])).select("manifest_path", "content").collect()
+    manifests, deletes = ([place(r[0]) for r in listed if (r[1] == 0) == data] for data in (True, False))
+    if deletes and not spark.read.format("avro").load(deletes).where("status != 2").isEmpty():
+        raise NotImplementedError(f"{path} has delete files: the package org.apache.iceberg:iceberg-spark-runtime reads them, without version and allow_moved_paths")
     if not manifests:
         return spark.createDataFrame([], schema)
     entries = spark.read.format("avro").load(manifests).where("status != 2").select("data_file.file_path").collect()

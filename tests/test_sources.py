@@ -14,7 +14,7 @@ from millrace.model import pipeline
 from millrace.plans import RunFailed, run
 from millrace.plans.run import frames
 from millrace.registry import InvalidProperty
-from millrace.sources import brokers, databases, files
+from millrace.sources import brokers, databases, files, lakes
 from millrace.sources.documents import column_letters, column_number, xml_records
 
 
@@ -302,3 +302,29 @@ def test_settings_of_servers():
 def test_missing_packages_are_named(spark, name, props, package):
     with pytest.raises(ModuleNotFoundError, match=package):
         read(spark, name, **props)
+
+
+def test_iceberg_deletes_are_refused(spark, tmp_path, monkeypatch):
+    """Avro files are stood in for by DataFrames, as spark-avro is not here."""
+    spark.range(3).write.parquet(str(tmp_path / "data"))
+    manifests = {
+        "list": spark.createDataFrame([("rows", 0), ("gone", 1)], "manifest_path string, content int"),
+        ("rows",): spark.createDataFrame([(1, (str(tmp_path / "data"),))], "status int, data_file struct<file_path: string>"),
+    }
+
+    class Reader:
+        read = property(lambda self: self)
+        format = lambda self, name: self
+        load = lambda self, at: manifests[at if isinstance(at, str) else tuple(at)]
+        schema = lambda self, s: spark.read.schema(s)
+        createDataFrame = staticmethod(spark.createDataFrame)
+
+    meta = {"location": "/t", "snapshots": [{"snapshot-id": 1, "manifest-list": "list"}], "current-snapshot-id": 1, "current-schema-id": 0, "schemas": [{"schema-id": 0, "fields": [{"name": "id", "type": "long"}]}]}
+    monkeypatch.setattr(lakes, "has_format", lambda *a: True)
+    monkeypatch.setattr(lakes, "metadata_file", lambda *a: "/t/metadata/v1.metadata.json")
+    monkeypatch.setattr(lakes, "read_text", lambda *a: json.dumps(meta))
+    manifests["gone",] = spark.createDataFrame([(1,)], "status int")
+    with pytest.raises(NotImplementedError, match="delete files"):
+        lakes.read_iceberg_log(Reader(), "/t", None, False)
+    manifests["gone",] = spark.createDataFrame([(2,)], "status int")  # a delete file that was itself removed
+    assert lakes.read_iceberg_log(Reader(), "/t", None, False).count() == 3
