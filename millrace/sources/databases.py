@@ -230,14 +230,22 @@ def _one_source(node: str, p: dict) -> None:
 
 
 def _after(step: Step, df: DataFrame) -> DataFrame:
-    """Rows after the saved position of the incremental column, in its order if there is a limit."""
+    """Rows after the saved position of the incremental column, in its order if there is a limit.
+
+    A limit takes all rows that tie with its last value, as the next run starts after that value, and
+    rows without a value, which only a run without a position reads.
+    """
     column = step["incremental_column"]
     if column:
         mark = (step.context or {}).get("position") or step["start"]
         if mark is not None:
             df = df.where(F.col(f"`{column}`") > F.lit(mark).cast(df.schema[column].dataType))
-    if step["max_records"]:
-        df = (df.orderBy(F.col(f"`{column}`")) if column else df).limit(step["max_records"])
+    if step["max_records"] and column:
+        value = F.col(f"`{column}`")
+        last = df.where(value.isNotNull()).orderBy(value).limit(step["max_records"]).agg(F.max(value).alias("last_"))
+        df = df.crossJoin(F.broadcast(last)).where(value.isNull() | (value <= F.col("last_"))).drop("last_").orderBy(value)
+    elif step["max_records"]:
+        df = df.limit(step["max_records"])
     if column and step.context is not None:
         step.context["track"](df, column)
     kinds = {c: spark_type(k) for c, k in (step["columns"] or {}).items()}

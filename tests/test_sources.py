@@ -328,3 +328,23 @@ def test_iceberg_deletes_are_refused(spark, tmp_path, monkeypatch):
         lakes.read_iceberg_log(Reader(), "/t", None, False)
     manifests["gone",] = spark.createDataFrame([(2,)], "status int")  # a delete file that was itself removed
     assert lakes.read_iceberg_log(Reader(), "/t", None, False).count() == 3
+
+
+def test_limited_increments_read_ties_whole(spark):
+    rows = [(i, None if i < 3 else min(i, 9) if i < 25 else i) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, at int").repartition(3)
+    got, sizes, mark = [], [], None
+
+    class Step(dict):
+        context = property(lambda self: {"position": mark, "track": lambda df, c: None})
+        __missing__ = lambda self, key: None
+
+    for _ in range(8):
+        part = databases._after(Step(incremental_column="at", max_records=4), df).collect()
+        if not part:
+            break
+        sizes.append(len(part))
+        got += [tuple(r) for r in part]
+        mark = str(max(r.at for r in part if r.at is not None))
+    assert sorted(got) == rows and sizes[0] == 7 and max(sizes) < 25
+    assert len(databases._after(Step(max_records=4), df).collect()) == 4
