@@ -1,15 +1,20 @@
-"""Lossless WebP (VP8L): a decoder for every feature of the format, and a plain writer.
+"""Lossless WebP (VP8L): a decoder for every feature of the format, and two writers.
 
 decode() reads prefix codes with their groups, back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. encode() writes no transform and flat
-prefix codes of eight bits a sample, which numpy reads back without a loop over the pixels: storage
-of exact bytes at memory speed. Pixels are arrays of shape (height, width, 4), samples R, G, B, A.
+predictor, cross-colour, subtract-green and palette transforms. compress() writes the subtract-green
+transform, back-references, a colour cache and prefix codes made for each image; encode() writes no
+transform and flat codes of eight bits a sample. Pixels are arrays of shape (height, width, 4),
+samples R, G, B, A.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
+from array import array
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -19,6 +24,9 @@ _SIDE = 1 << 14
 #: Distance codes 1 to 120 are pixels nearby: by distance, then by columns, right before left.
 _NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y > 0 or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+_BACKWARD = [int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)]
+#: What compress() writes: the bits of its colour cache, its longest code.
+_CACHE_BITS, _LONGEST = 7, 11
 
 
 class WebPError(ValueError):
@@ -44,34 +52,32 @@ class _Bits:
 
 
 class _Code:
-    """A prefix code: its next symbol by a table over the bits that its longest code takes."""
+    """A prefix code: a table over the bits that its longest code takes, of 16 * symbol + length."""
 
     def __init__(self, lengths: list[int]):
         used = [s for s, n in enumerate(lengths) if n]
         if len(used) <= 1:
-            self.bits, self.table = 0, [(used[0] if used else 0, 0)]
+            self.bits, self.table = 0, [(used[0] if used else 0) << 4]
             return
+        used.sort(key=lengths.__getitem__)
         self.bits = max(lengths)
-        self.table: list[tuple[int, int]] = [(-1, 0)] * (1 << self.bits)
-        code, space = 0, 0
-        for n in range(1, self.bits + 1):
-            for s in used:
-                if lengths[s] == n:
-                    if code >> n:
-                        raise WebPError("a prefix code is overfull")
-                    back = int(f"{code:0{n}b}"[::-1], 2)
-                    for i in range(back, 1 << self.bits, 1 << n):
-                        self.table[i] = (s, n)
-                    code += 1
-                    space += 1 << (self.bits - n)
-            code <<= 1
-        if space != 1 << self.bits:
+        self.table = [0] * (1 << self.bits)
+        code, last = 0, 0
+        for s in used:
+            n = lengths[s]
+            code <<= n - last
+            last = n
+            if code >> n:
+                raise WebPError("a prefix code is overfull")
+            self.table[_BACKWARD[code] >> (15 - n) :: 1 << n] = [s << 4 | n] * (1 << (self.bits - n))
+            code += 1
+        if code != 1 << self.bits:
             raise WebPError("a prefix code is incomplete")
 
     def next(self, bits: _Bits) -> int:
-        symbol, n = self.table[bits.peek(self.bits)]
-        bits.read(n)
-        return symbol
+        found = self.table[bits.peek(self.bits)]
+        bits.read(found & 15)
+        return found >> 4
 
 
 def _read_code(bits: _Bits, size: int) -> _Code:
@@ -89,20 +95,28 @@ def _read_code(bits: _Bits, size: int) -> _Code:
         of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
     code = _Code(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
-    while at < size and left:
+    done, last, table, mask, at = 0, 8, code.table, (1 << code.bits) - 1, bits.at
+    while done < size and left:
         left -= 1
-        n = code.next(bits)
+        word = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        found = table[word & mask]
+        at += found & 15
+        n = found >> 4
         if n < 16:
-            lengths[at] = n
+            lengths[done] = n
             last = n or last
-            at += 1
+            done += 1
             continue
-        value, times = (last, 3 + bits.read(2)) if n == 16 else (0, 3 + bits.read(3)) if n == 17 else (0, 11 + bits.read(7))
-        if at + times > size:
+        word >>= found & 15
+        value, times, extra = (last, 3 + (word & 3), 2) if n == 16 else (0, 3 + (word & 7), 3) if n == 17 else (0, 11 + (word & 127), 7)
+        at += extra
+        if done + times > size:
             raise WebPError("code lengths run over the alphabet")
-        lengths[at : at + times] = [value] * times
-        at += times
+        lengths[done : done + times] = [value] * times
+        done += times
+    bits.at = at
+    if at > 8 * len(bits.data):
+        raise WebPError("the stream ends early")
     return _Code(lengths)
 
 
@@ -128,39 +142,59 @@ def _image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups_of = (_image(bits, _ceil(width, group_bits), _ceil(height, group_bits), False) >> 8) & 0xFFFF
     alphabets = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = [[_read_code(bits, n) for n in alphabets] for _ in range(1 if groups_of is None else int(groups_of.max()) + 1)]
-    cache, cache_shift = [0] * (1 << cache_bits), 32 - cache_bits
-    out: list[int] = []
+    cache, cache_shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
+    tables = [[x for code in group for x in (code.table, (1 << code.bits) - 1)] for group in groups]
+    out, n = array("I"), 0
     total = width * height
-    green, red, blue, alpha, distance = groups[0]
-    while len(out) < total:
+    green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, _, _ = tables[0]
+    distance = groups[0][4]
+    data, at, end, number = bits.data, bits.at, 8 * len(bits.data), int.from_bytes
+    while n < total:
         if groups_of is not None:
-            y, x = divmod(len(out), width)
-            green, red, blue, alpha, distance = groups[groups_of[y >> group_bits, x >> group_bits]]
-        s = green.next(bits)
-        before = len(out)
-        if s < 256:
-            r, b, a = red.next(bits), blue.next(bits), alpha.next(bits)
-            out.append(a << 24 | r << 16 | s << 8 | b)
-        elif s < 280:
-            length = _extended(bits, s - 256)
+            y, x = divmod(n, width)
+            group = int(groups_of[y >> group_bits, x >> group_bits])
+            green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, _, _ = tables[group]
+            distance = groups[group][4]
+        word = number(data[at >> 3 : (at >> 3) + 9], "little") >> (at & 7)
+        g = green[word & green_mask]
+        used = g & 15
+        if g < 4096:
+            word >>= used
+            r = red[word & red_mask]
+            word >>= r & 15
+            b = blue[word & blue_mask]
+            a = alpha[word >> (b & 15) & alpha_mask]
+            at += used + (r & 15) + (b & 15) + (a & 15)
+            out.append(a >> 4 << 24 | r >> 4 << 16 | g >> 4 << 8 | b >> 4)
+            n += 1
+        elif g < 4480:
+            bits.at = at + used
+            length = _extended(bits, (g >> 4) - 256)
             back = _extended(bits, distance.next(bits))
+            at = bits.at
             if back > 120:
                 back -= 120
             else:
                 dx, dy = _NEAR[back - 1]
                 back = max(dx + dy * width, 1)
-            if back > before or before + length > total:
+            if back > n or n + length > total:
                 raise WebPError("a back-reference leaves the image")
-            for _ in range(length):
-                out.append(out[-back])
+            out.extend((out[n - back : n] * -(-length // back))[:length] if back < length else out[n - back : n - back + length])
+            n += length
         else:
-            if s - 280 >= len(cache) or not cache_bits:
+            s = (g >> 4) - 280
+            if s >= len(cache) or not cache_bits:
                 raise WebPError("a colour lies outside the cache")
-            out.append(cache[s - 280])
-        if cache_bits:
-            for argb in out[before:]:
+            for argb in out[cached:]:
                 cache[(0x1E35A7BD * argb & 0xFFFFFFFF) >> cache_shift] = argb
-    return np.array(out, np.uint32).reshape(height, width)
+            cached = n
+            at += used
+            out.append(cache[s])
+            n += 1
+        if at > end:
+            raise WebPError("the stream ends early")
+    bits.at = at
+    return np.frombuffer(out, np.uint32).reshape(height, width)
 
 
 def _split(argb: np.ndarray) -> np.ndarray:
@@ -274,9 +308,6 @@ def decode(data: bytes) -> np.ndarray:
     width, height, version = (size & 0x3FFF) + 1, (size >> 14 & 0x3FFF) + 1, size >> 29
     if version:
         raise WebPError("an unknown version")
-    head, n = _flat_head()
-    if int.from_bytes(body[5 : 5 + (n + 7) // 8], "little") & ((1 << n) - 1) == head:
-        return _flat_pixels(body, 40 + n, width, height)
     bits = _Bits(body, 40)
     undo, full = [], width
     while bits.read(1):
@@ -300,15 +331,6 @@ def decode(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(_split(argb)[..., [1, 2, 3, 0]])
 
 
-def _flat_pixels(body: bytes, at: int, width: int, height: int) -> np.ndarray:
-    n, shift = 4 * width * height, at & 7
-    raw = np.frombuffer(body, np.uint8)[at >> 3 : (at >> 3) + n + 1]
-    if len(raw) < n + bool(shift):
-        raise WebPError("the stream ends early")
-    samples = raw[:n] if not shift else raw[:n] >> np.uint8(shift) | raw[1 : n + 1] << np.uint8(8 - shift)
-    return _REVERSED[samples].reshape(height, width, 4)[..., [1, 0, 2, 3]]
-
-
 def chunk(data: bytes, name: bytes) -> bytes | None:
     """The body of a RIFF file's chunk."""
     at = 12
@@ -335,10 +357,190 @@ def encode(pixels: np.ndarray, extra: dict[bytes, bytes] | None = None) -> bytes
         out[1:] |= samples >> np.uint8(8 - shift)
         out[0] |= head >> (8 * whole)
     body = start + (head & ((1 << (8 * whole)) - 1)).to_bytes(whole, "little") + out.tobytes()
+    return _file(body, extra)
+
+
+def _file(body: bytes, extra: dict[bytes, bytes] | None) -> bytes:
     chunks = b"".join(k + struct.pack("<I", len(v)) + v + b"\0" * (len(v) & 1) for k, v in {b"VP8L": body, **(extra or {})}.items())
     return b"RIFF" + struct.pack("<I", len(chunks) + 4) + b"WEBP" + chunks
 
 
+def _lengths(counts: list[int], limit: int) -> list[int]:
+    """Code lengths by Huffman's algorithm, the counts flattened until none is over the limit."""
+    out = [0] * len(counts)
+    used = [s for s, n in enumerate(counts) if n]
+    weights = [counts[s] for s in used]
+    if len(used) == 1:
+        out[used[0]] = 1
+    while len(used) > 1:
+        heap = [(w, i) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        above = [0] * (2 * len(used) - 1)
+        for new in range(len(used), 2 * len(used) - 1):
+            w, i = heapq.heappop(heap)
+            v, j = heapq.heapreplace(heap, (w + heap[0][0], new))
+            above[i] = above[j] = new
+        depth = [0] * len(above)
+        for i in range(len(above) - 2, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        if max(depth) <= limit:
+            for s, d in zip(used, depth, strict=False):
+                out[s] = d
+            break
+        weights = [w // 2 + 1 for w in weights]
+    return out
+
+
+def _codes(lengths: list[int]) -> list[int]:
+    """The code of each symbol as it stands in the stream, its first bit the least significant."""
+    out, code, last = [0] * len(lengths), 0, 0
+    for s in sorted((s for s, n in enumerate(lengths) if n), key=lengths.__getitem__):
+        n = lengths[s]
+        code <<= n - last
+        last = n
+        out[s] = _BACKWARD[code] >> (15 - n)
+        code += 1
+    return out
+
+
+def _write_code(put: list[tuple[int, int]], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code for the counts; its codes and their lengths."""
+    used = [s for s, n in enumerate(counts) if n] or [0]
+    codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    if len(used) <= 2 and used[-1] < 256:
+        put += [(1, 1), (len(used) - 1, 1), (1, 1), *((s, 8) for s in used)]
+        if len(used) == 2:
+            codes[used[1]] = 1
+            sizes[used] = 1
+        return codes, sizes
+    lengths = _lengths(counts, _LONGEST)
+    tokens: list[tuple[int, int, int]] = []
+    last = 8
+    for n, same in groupby(lengths):
+        run = len(list(same))
+        if n and n != last:
+            tokens.append((n, 0, 0))
+            run, last = run - 1, n
+        while run >= 3:
+            part = min(run, 6 if n else 138)
+            tokens.append((16, part - 3, 2) if n else (17, part - 3, 3) if part <= 10 else (18, part - 11, 7))
+            run -= part
+        tokens += [(n, 0, 0)] * run
+    often = [0] * 19
+    for t, _, _ in tokens:
+        often[t] += 1
+    of_lengths = _lengths(often, 7)
+    put += [(0, 1), (15, 4), *((of_lengths[s], 3) for s in _LENGTH_ORDER), (0, 1)]
+    of_codes = _codes(of_lengths)
+    single = sum(map(bool, of_lengths)) == 1
+    for t, extra, n in tokens:
+        if not single:
+            put.append((of_codes[t], of_lengths[t]))
+        if n:
+            put.append((extra, n))
+    codes[:], sizes[:] = _codes(lengths), lengths
+    return codes, sizes
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """Prefix code, extra bits and their number of a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    high = (value - 1).bit_length() - 1
+    return 2 * high + ((value - 1) >> (high - 1) & 1), (value - 1) & ((1 << (high - 1)) - 1), high - 1
+
+
+@lru_cache(16)
+def _near(width: int) -> dict[int, int]:
+    """The codes of distances to pixels nearby."""
+    return {dx + dy * width: i + 1 for i, (dx, dy) in reversed(list(enumerate(_NEAR))) if dx + dy * width >= 1}
+
+
+def _earlier(keys: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of runs of three pixels or more that occur earlier, from left to right."""
+    out: list[tuple[int, int, int]] = []
+    if len(argb) < 4:
+        return out
+    wide = argb.astype(np.uint64)
+    before = _earlier((wide[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (wide[2:] * np.uint64(0x165667B19E3779F9)))
+    places = np.flatnonzero((before >= 0) & (np.arange(len(before)) - before <= (1 << 20) - 120)).tolist()
+    i = free = 0
+    while (i := bisect_left(places, free, i)) < len(places):
+        at, back = places[i], places[i] - int(before[places[i]])
+        n = min(len(argb) - at, 4096)
+        apart = np.flatnonzero(argb[at : at + n] != argb[at - back : at - back + n])
+        n = int(apart[0]) if len(apart) else n
+        if n >= 3:
+            out.append((at, n, back))
+        free = at + (n if n >= 3 else 1)
+    return out
+
+
+def _stream(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Numbers of so many bits each as bytes, the least significant bit first."""
+    out, rest = [], np.zeros(0, np.uint8)
+    for at in range(0, len(values), 1 << 18):
+        n = sizes[at : at + (1 << 18)]
+        ends = np.cumsum(n)
+        places = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        rest = np.concatenate((rest, (np.repeat(values[at : at + (1 << 18)], n) >> places & 1).astype(np.uint8)))
+        whole = len(rest) & ~7
+        out.append(np.packbits(rest[:whole], bitorder="little").tobytes())
+        rest = rest[whole:]
+    return b"".join(out) + np.packbits(rest, bitorder="little").tobytes()
+
+
+def compress(pixels: np.ndarray, extra: dict[bytes, bytes] | None = None) -> bytes:
+    """A WebP file of the pixels with green subtracted, back-references, a colour cache and prefix
+    codes of its own, with more chunks after the image if given."""
+    height, width, _ = pixels.shape
+    if not (0 < width <= _SIDE and 0 < height <= _SIDE):
+        raise WebPError("an image has 1 to 16384 pixels a side")
+    red, green, blue, alpha = np.ascontiguousarray(pixels.reshape(-1, 4).T)
+    red, blue = red - green, blue - green
+    argb = np.stack((blue, green, red, alpha), axis=1).view("<u4")[:, 0]
+    keys = (argb * np.uint32(0x1E35A7BD)) >> np.uint32(32 - _CACHE_BITS)
+    before = _earlier(keys)
+    symbols = np.where((before >= 0) & (argb[before] == argb), 280 + keys.astype(np.int64), green.astype(np.int64))
+    copies = _copies(argb)
+    use = np.ones(len(argb), bool)
+    near = _near(width)
+    far, lengths = [], []
+    for at, n, back in copies:
+        use[at + 1 : at + n] = False
+        lengths.append(_prefix(n))
+        far.append(_prefix(near.get(back, back + 120)))
+        symbols[at] = 256 + lengths[-1][0]
+    places = np.flatnonzero(use)
+    symbols = symbols[places]
+    plain = symbols < 256
+    samples = [x[places[plain]] for x in (red, blue, alpha)]
+    put = [(1, 1), (2, 2), (0, 1), (1, 1), (_CACHE_BITS, 4), (0, 1)]  # green subtracted, no more transforms, a cache, one group
+    codes = [_write_code(put, np.bincount(x, minlength=n).tolist()) for x, n in ((symbols, 280 + (1 << _CACHE_BITS)), *((x, 256) for x in samples))]
+    of_far = _write_code(put, np.bincount(np.array([x[0] for x in far], np.int64), minlength=40).tolist())
+    values, sizes = np.zeros((2, len(places), 4), np.int64)
+    values[:, 0], sizes[:, 0] = (x[symbols] for x in codes[0])
+    for i, x in enumerate(samples):
+        values[plain, i + 1], sizes[plain, i + 1] = (y[x] for y in codes[i + 1])
+    if copies:
+        at = np.searchsorted(places, [x[0] for x in copies])
+        _, values[at, 1], sizes[at, 1] = np.array(lengths).T
+        kinds, values[at, 3], sizes[at, 3] = np.array(far).T
+        values[at, 2], sizes[at, 2] = of_far[0][kinds], of_far[1][kinds]
+    head = np.array(put, np.int64)
+    start = struct.pack("<BI", 0x2F, (width - 1) | (height - 1) << 14 | 1 << 28)
+    return _file(start + _stream(np.concatenate((head[:, 0], values.reshape(-1))), np.concatenate((head[:, 1], sizes.reshape(-1)))), extra)
+
+
 def pack(payload: bytes) -> bytes:
     """A file that holds the payload, of a positive multiple of 64 bytes, in rows of samples."""
     width = 16
@@ -349,7 +551,7 @@ def pack(payload: bytes) -> bytes:
     row = 4 * width
     over = -len(payload) % row
     pixels = np.frombuffer(payload + bytes(over), np.uint8).reshape(-1, width, 4)
-    return encode(pixels, {b"PLEN": struct.pack("<Q", len(payload))} if over else None)
+    return compress(pixels, {b"PLEN": struct.pack("<Q", len(payload))} if over else None)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, bytes]:

@@ -107,6 +107,28 @@ def test_payloads(n):
     assert webp.unpack(webp.pack(payload))[1] == payload
 
 
+def test_payloads_are_stored_by_the_whole_method(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(3, 9, 200)]
+    text = b" ".join(words[i] for i in rng.integers(0, 200, 900))
+    payload = text + bytes(-len(text) % 64) + text[:640] + bytes(640)
+    data = webp.pack(payload)
+    calls = []
+    for name in ("_image", "_add_green", "_extended"):
+        monkeypatch.setattr(webp, name, lambda *a, f=getattr(webp, name), name=name: (calls.append(name), f(*a))[1])
+    assert webp.unpack(data)[1] == payload
+    assert set(calls) == {"_image", "_add_green", "_extended"} and len(data) < 0.95 * len(payload)
+    bits = webp._Bits(webp.chunk(data, b"VP8L"), 40)
+    assert [bits.read(n) for n in (1, 2, 1, 1, 4)] == [1, 2, 0, 1, webp._CACHE_BITS]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 500])
+def test_compressed_pictures(n):
+    for colours in (None, 1, 2, 5, 200):
+        p = picture(n, 16, n, colours)
+        assert (webp.decode(webp.compress(p)) == p).all()
+
+
 def test_damaged_files():
     data = webp.encode(picture())
     for bad in (b"", data[:30], b"RIFX" + data[4:], data[:20] + b"\x00" + data[21:], data[:-40]):
