@@ -43,11 +43,11 @@ _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 
-def features(text: bytes) -> np.ndarray:
-    data = _FOLD[np.frombuffer(text, np.uint8)].astype(np.uint32)
+def features(text: bytes | memoryview) -> np.ndarray:
+    raw = np.frombuffer(text, np.uint8)
     counts = np.zeros(DIMS, np.int64)
-    for at in range(0, len(data), 1 << 20):
-        part = data[at : at + (1 << 20) + 3]
+    for at in range(0, len(raw), 1 << 20):
+        part = _FOLD[raw[at : at + (1 << 20) + 3]].astype(np.uint32)
         if len(part) < 4:
             part = np.concatenate((part, np.full(4 - len(part), 32, np.uint32)))
         three = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16)
@@ -58,6 +58,16 @@ def features(text: bytes) -> np.ndarray:
     return out / max(float(np.linalg.norm(out)), 1e-9)
 
 
+def has_letter(text: bytes | memoryview) -> bool:
+    """Whether a text in UTF-8 holds a letter; it is decoded only if no ASCII letter is found."""
+    raw = np.frombuffer(text, np.uint8)
+    for at in range(0, len(raw), 1 << 16):
+        part = _FOLD[raw[at : at + (1 << 16)]]
+        if ((part != 32) & (part < 128)).any():
+            return True
+    return _LETTER.search(bytes(text).decode("utf-8", "replace")) is not None
+
+
 def _machine(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 300) -> np.ndarray:
     """Weights and bias of a linear machine for y in -1, 1, each class weighing as much as the other."""
     x = np.concatenate((x, np.ones((len(x), 1), np.float32)), axis=1)
@@ -108,10 +118,11 @@ class Model:
         best = max(range(len(names)), key=lambda i: (votes[i], total[i]))
         return names[best], float(least[best])
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+    def predict(self, text: bytes | memoryview | None) -> tuple[str, float]:
+        """The language of a text in UTF-8 and how sure it is."""
+        if not text or not self.langs or not has_letter(text):
             return UNDETERMINED, 0.0
-        x = features(text.encode())
+        x = features(text)
         family, sure = self._choose(self.of_families, x)
         lang, surer = self._choose(self.of_langs[family], x)
         return lang, sure * surer
@@ -150,20 +161,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t) for t in batch.column(1).to_pylist()]
+            found = [model.predict(memoryview(t.as_buffer()) if t.is_valid else None) for t in binary(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def known_only(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The documents whose language is determined with a score above least; all columns of docs."""
-    names = docs.columns
+    """The documents whose language is determined with a score above least; all columns of docs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
-        for batch in batches:
-            keep = [score > least for _, score in (model.predict(t) for t in batch.column(at).to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    Null and empty texts and texts without a letter go. Rows with equal texts stay or go together.
+    Only the text is sent to Python and only a flag comes back; no shuffle.
+    """
+
+    def sure(text: pa.Array) -> pa.Array:
+        return pa.array([model.predict(memoryview(t.as_buffer()) if t.is_valid else None)[1] > least for t in binary(text)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(sure, "boolean")(F.col("text").cast("string")))

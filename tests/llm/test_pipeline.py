@@ -42,7 +42,7 @@ def test_stages_and_columns(stages):
 def test_language(stages):
     before, after = stages[0]
     model = langid.fit(before)
-    want = {i for i, t in texts(before) if model.predict(t)[1] > pipeline.LEAST_SURE}
+    want = {i for i, t in texts(before) if model.predict(t.encode())[1] > pipeline.LEAST_SURE}
     assert {i for i, _ in texts(after)} == want
     assert len(want) > 0.98 * before.count()
 
