@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Rows of a source among which the draws are spread.
-STRATUM = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -18,70 +16,70 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with `k`, their number from 0 in order of source, null last: numbered within ranges of
+    sources, and lifted by the ranges before. What one task numbers is a range; what is summed up
+    in order is one row for each range."""
+    ranges = scratch.keep(rows.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    order = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
+    return ranges.join(before, "part").withColumn("k", F.row_number().over(order) - 1 + F.col("before")).drop("part", "before")
+
+
 def targets(sized: DataFrame, scratch: Scratch, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(source, source_size, source_rows, target): one row per source of sized (source, size).
+    """(source, source_size, target): one row per source of sized (source, size).
 
     Sources in order of code point, null last, weigh `weights` in turn, and share the total size by
     weight. No target passes `most` times its source's size: the excess is shared out again among
     the other sources by weight, until none is above. Works on one row per source; each round of
     sharing is one aggregation of that table, and every round but the last closes a source.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(int(w)) for w in weights])
-    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    rows = scratch.keep(
-        rows.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))), "sources"
-    )
+    rows = _numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")), scratch)
+    rows = scratch.keep(rows.select("source", "source_size", F.element_at(cycle, (F.pmod("k", F.lit(len(weights))) + 1).cast("int")).alias("weight")), "sources")
     size, weight = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    above = lambda rest, share: f"cast({most} * source_size as decimal(20)) * cast({share} as decimal(18)) > cast({rest} as decimal(20)) * cast(weight as decimal(18))"
     rest, share, before = size, weight, None
     while (rest, share) != before and share:
         before = rest, share
-        open_now = f"{most} * source_size * {share} > {rest} * weight"
+        open_now = above(rest, share)
         closed, weight_open = rows.agg(F.coalesce(F.expr(f"sum(if({open_now}, 0, source_size))"), F.lit(0)), F.coalesce(F.expr(f"sum(if({open_now}, weight, 0))"), F.lit(0))).first()
         rest, share = size - most * closed, weight_open
-    level = f"if({most} * source_size * {before[1]} > {before[0]} * weight, cast(weight as double) * {rest}D / {share}D, cast({most} * source_size as double))" if share else f"cast({most} * source_size as double)"
-    return rows.select("source", "source_size", "source_rows", F.expr(level).alias("target"))
+    level = f"if({above(*before)}, cast(weight as double) * {rest}D / {share}D, cast({most} * source_size as double))" if share else f"cast({most} * source_size as double)"
+    return rows.select("source", "source_size", F.expr(level).alias("target"))
 
 
-def _draw(*parts: Column | str) -> Column:
-    """A number from 0 to 1 (exclusive) by a hash of the parts."""
-    text = F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def draw(doc_id: Column, seed: int) -> Column:
+    """A number from 0 to 1 (exclusive) by a hash of the id and the seed; a null id counts as an empty text."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
-    """docs with size, source_size, target and n_copies: how often the mixture takes each row.
+    """(row, size, source_size, target, n_copies), one for each row of docs, which is the struct `row`.
 
     A source's repetition rate is target / source_size; a source without words has rate 0. Each row
-    is taken floor(rate) times, and once more with the fraction's probability, by a hash. The draws
-    are spread over a source's sizes: in strata of about STRATUM rows, in order of size, the k-th row
-    is drawn if floor(k * fraction + u) passes a whole number, u being the stratum's hash from 0 to 1.
-    So each row's probability is the fraction, and the words taken stay within one document's size
-    of the target in each stratum.
-
-    Strata bound what a task orders: a source that holds a third of all rows has as many as it
-    needs. The one row per source is joined by broadcast if Spark finds its size below the broadcast
-    threshold and by a sort-merge join, split where skewed, otherwise.
-
-    Null texts have size 0. A null source is a source. Of rows equal in doc_id and size any may be
-    the one that is drawn. Columns of docs called size, source_size, target or n_copies are replaced.
+    is taken floor(rate) times, and once more with the fraction as its probability: if the hash of its
+    doc_id and the seed, a number from 0 to 1, is below it. So a row's copies depend on its own id, its
+    source's rate and the seed alone, equal tables give equal mixtures, and rows with the same id and
+    source are drawn alike. A source of n rows comes as near to its target as n independent draws do.
+
+    The rows of docs are scanned twice, for the sizes of the sources and for the draws, and are not
+    shuffled for them: the one row per source is joined by broadcast if Spark finds its size below
+    the broadcast threshold, and otherwise by a sort-merge join that splits skewed sources.
+
+    Null texts have size 0. A null source is a source. Columns of docs may have any names.
     """
-    sized = docs.drop("size", "source_size", "target", "n_copies").withColumn("size", n_words(F.col("text")))
-    per = targets(sized.select(F.col("source").cast("string").alias("source"), "size"), scratch, weights, most)
-    per = per.withColumnRenamed("source", "_source")
-    joined = sized.join(per, sized["source"].cast("string").eqNullSafe(per["_source"]))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    per = targets(given.select("source", "size"), scratch, weights, most).withColumnRenamed("source", "of")
+    joined = given.join(per, given["source"].eqNullSafe(per["of"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    strata = F.ceil(F.col("source_rows") / F.lit(float(STRATUM))).cast("long")
-    drawn = joined.withColumn("_rate", rate).withColumn("_part", F.floor(_draw(key, f":part:{seed}") * strata).cast("long"))
-    order = Window.partitionBy("_source", "_part").orderBy("size", F.md5(F.concat(key, F.lit(f":{seed}"))), key)
-    drawn = drawn.withColumn("_k", F.row_number().over(order))
-    fraction = F.col("_rate") - F.floor("_rate")
-    start = _draw(F.coalesce("_source", F.lit("")), ":", F.col("_part").cast("string"), f":{seed}")
-    extra = F.floor(F.col("_k") * fraction + start) - F.floor((F.col("_k") - 1) * fraction + start)
-    return drawn.withColumn("n_copies", (F.floor("_rate") + extra).cast("long")).drop("_source", "_rate", "_part", "_k", "source_rows")
+    extra = (draw(F.col("row.doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    return joined.select("row", "size", "source_size", "target", (F.floor(rate) + extra).alias("n_copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each row n_copies times."""
-    return mixed.where("n_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).drop("_copy")
+    """The columns of the rows that were mixed, each row n_copies times."""
+    copies = mixed.where("n_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy"))
+    return copies.select("row.*")

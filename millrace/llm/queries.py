@@ -84,14 +84,14 @@ FROM d JOIN kept k USING (doc_id) LEFT JOIN spans s USING (doc_id) GROUP BY d.do
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark), weights=(1, 2, 3), most=3, seed=0)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
 ORACLE_SQL["op7_mixing"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source
 ), share AS (
   SELECT 0 AS k, sum(source_size)::BIGINT AS rest, sum(w)::BIGINT AS wt FROM s
   UNION ALL
@@ -101,20 +101,16 @@ WITH RECURSIVE d AS (
   FROM share h WHERE h.k < 100 AND h.wt > 0
 ), l AS (SELECT rest, wt FROM share ORDER BY k DESC LIMIT 1),
 t AS (
-  SELECT source, source_size, source_rows,
+  SELECT source, source_size,
     CASE WHEN l.wt > 0 AND 3 * source_size * l.wt > l.rest * w THEN w::DOUBLE * l.rest::DOUBLE / l.wt::DOUBLE ELSE (3 * source_size)::DOUBLE END AS target
   FROM s, l
 ), r AS (
-  SELECT d.doc_id, d.size, d.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    floor(('0x' || substr(md5(doc_id::VARCHAR || ':part:0'), 1, 8))::BIGINT / 4294967296.0 * ceil(t.source_rows / 1000))::BIGINT AS part
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+    ('0x' || substr(md5(doc_id::VARCHAR || ':0'), 1, 8))::BIGINT / 4294967296.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), k AS (
-  SELECT *, row_number() OVER (PARTITION BY source, part ORDER BY size, md5(doc_id::VARCHAR || ':0'), doc_id::VARCHAR) AS k, rate - floor(rate) AS f,
-    ('0x' || substr(md5(coalesce(source, '') || ':' || part || ':0'), 1, 8))::BIGINT / 4294967296.0 AS u
-  FROM r
 )
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + floor(k * f + u) - floor((k - 1) * f + u)))::BIGINT AS taken
-FROM k
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INTEGER))::BIGINT AS taken
+FROM r
 """
 
 
