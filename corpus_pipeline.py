@@ -36,12 +36,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that each source's words come near its target."""
-    return mixing.emit(mixing.mix(docs, Scratch(spark))).select(docs.columns)
+    return mixing.emit(mixing.mix(docs, Scratch(spark)))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the compacted shards, with the arrival and the shard of each."""
-    return sharding.shard(docs, new_path(spark, "shards")).read(shard="shard")
+    """The rows of the compacted shards, with the arrival and the shard of each: columns `arrival` and
+    `shard`, with an underscore after the name where documents have a column of that name."""
+    arrival, shard = sharding.free_name(docs, "arrival"), sharding.free_name(docs, "shard")
+    return sharding.shard(docs, new_path(spark, "shards"), arrival=arrival).read(shard=shard)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminated), ("mix", mixed), ("shard", sharded)]
