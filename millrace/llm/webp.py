@@ -1,32 +1,25 @@
-"""Lossless WebP (VP8L): a decoder for every feature of the format, and two writers.
+"""Lossless WebP (VP8L): a decoder of single files for every feature of the format.
 
-decode() reads prefix codes with their groups, back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. compress() writes the subtract-green
-transform, back-references, a colour cache and prefix codes made for each image; encode() writes no
-transform and flat codes of eight bits a sample. Pixels are arrays of shape (height, width, 4),
-samples R, G, B, A.
+It reads prefix codes with their groups, back-references and the colour cache, and inverts the
+predictor, cross-colour, subtract-green and palette transforms. Pixels are arrays of shape (height,
+width, 4), samples R, G, B, A. webp_batch reads and writes many small images at once.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 from array import array
-from bisect import bisect_left
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 
 #: Fixed values of the format.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-_SIDE = 1 << 14
 #: Distance codes 1 to 120 are pixels nearby: by distance, then by columns, right before left.
 _NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y > 0 or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 _BACKWARD = [int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)]
-#: What compress() writes: the bits of its colour cache, its longest code.
-_CACHE_BITS, _LONGEST = 7, 11
+#: The multiplier of the colour cache's hash. Fixed value of the format.
+CACHE_HASH = 0x1E35A7BD
 
 
 class WebPError(ValueError):
@@ -44,27 +37,25 @@ class _Bits:
         return (int.from_bytes(self.data[first : first + 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
-        out = self.peek(n)
-        self.at += n
+        at = self.at
+        self.at = at + n
         if self.at > 8 * len(self.data):
             raise WebPError("the stream ends early")
-        return out
+        return (int.from_bytes(self.data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)) & ((1 << n) - 1)
 
 
 class _Code:
-    """A prefix code: a table over the bits that its longest code takes, of 16 * symbol + length."""
+    """A prefix code of symbols and their lengths: a table over the bits that its longest code takes,
+    of 16 * symbol + length."""
 
-    def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        if len(used) <= 1:
-            self.bits, self.table = 0, [(used[0] if used else 0) << 4]
+    def __init__(self, symbols: list[int], lengths: list[int]):
+        if len(symbols) <= 1:
+            self.bits, self.table = 0, [(symbols[0] if symbols else 0) << 4]
             return
-        used.sort(key=lengths.__getitem__)
         self.bits = max(lengths)
         self.table = [0] * (1 << self.bits)
         code, last = 0, 0
-        for s in used:
-            n = lengths[s]
+        for n, s in sorted(zip(lengths, symbols, strict=True)):
             code <<= n - last
             last = n
             if code >> n:
@@ -80,44 +71,68 @@ class _Code:
         return found >> 4
 
 
-def _read_code(bits: _Bits, size: int) -> _Code:
-    lengths = [0] * size
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
-        for s in symbols:
-            if s >= size:
-                raise WebPError("a symbol lies outside its alphabet")
-            lengths[s] = 1
-        return _Code(lengths)
+def read_lengths(bits: _Bits, size: int) -> tuple[list[int], list[int]]:
+    """The symbols that a prefix code of the stream has, in order, and the lengths of their codes."""
+    word = bits.peek(19)
+    if word & 1:  # one symbol, of one bit or eight, or two
+        wide = 8 if word & 4 else 1
+        symbols = [word >> 3 & ((1 << wide) - 1)]
+        if word & 2:
+            symbols = sorted({*symbols, word >> (3 + wide) & 255})
+        bits.read(3 + wide + (8 if word & 2 else 0))
+        if max(symbols) >= size:
+            raise WebPError("a symbol lies outside its alphabet")
+        return symbols, [1] * len(symbols)
+    bits.read(1)
     of_lengths = [0] * 19
     for i in range(4 + bits.read(4)):
         of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
-    code = _Code(of_lengths)
+    code = _token_code(tuple(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    done, last, table, mask, at = 0, 8, code.table, (1 << code.bits) - 1, bits.at
+    symbols, lengths = [], []
+    done, last, table, mask, at, data, number = 0, 8, code.table, (1 << code.bits) - 1, bits.at, bits.data, int.from_bytes
     while done < size and left:
         left -= 1
-        word = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        word = number(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
         found = table[word & mask]
-        at += found & 15
-        n = found >> 4
+        n, used = found >> 4, found & 15
         if n < 16:
-            lengths[done] = n
-            last = n or last
+            at += used
+            if n:
+                symbols.append(done)
+                lengths.append(n)
+                last = n
             done += 1
             continue
-        word >>= found & 15
-        value, times, extra = (last, 3 + (word & 3), 2) if n == 16 else (0, 3 + (word & 7), 3) if n == 17 else (0, 11 + (word & 127), 7)
-        at += extra
-        if done + times > size:
-            raise WebPError("code lengths run over the alphabet")
-        lengths[done : done + times] = [value] * times
+        word >>= used
+        if n == 16:
+            times = 3 + (word & 3)
+            at += used + 2
+            symbols += range(done, done + times)
+            lengths += [last] * times
+        elif n == 17:
+            times = 3 + (word & 7)
+            at += used + 3
+        else:
+            times = 11 + (word & 127)
+            at += used + 7
         done += times
+        if done > size:
+            raise WebPError("code lengths run over the alphabet")
     bits.at = at
-    if at > 8 * len(bits.data):
+    if at > 8 * len(data):
         raise WebPError("the stream ends early")
-    return _Code(lengths)
+    return symbols, lengths
+
+
+@lru_cache(64)
+def _token_code(lengths: tuple[int, ...]) -> _Code:
+    used = [s for s, n in enumerate(lengths) if n]
+    return _Code(used, [lengths[s] for s in used])
+
+
+def _read_code(bits: _Bits, size: int) -> _Code:
+    return _Code(*read_lengths(bits, size))
 
 
 def _extended(bits: _Bits, prefix: int) -> int:
@@ -186,7 +201,7 @@ def _image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
             if s >= len(cache) or not cache_bits:
                 raise WebPError("a colour lies outside the cache")
             for argb in out[cached:]:
-                cache[(0x1E35A7BD * argb & 0xFFFFFFFF) >> cache_shift] = argb
+                cache[(CACHE_HASH * argb & 0xFFFFFFFF) >> cache_shift] = argb
             cached = n
             at += used
             out.append(cache[s])
@@ -225,10 +240,24 @@ def _predicted(mode: int, left, top, top_left, top_right):
     return [clamp(m + int((m - c) / 2)) for m, c in zip(half, top_left, strict=True)]
 
 
-def _unpredict(argb: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
+def unpredict(argb: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
     height, width = argb.shape
-    flat = _split(argb).reshape(-1, 4).tolist()
-    kinds = ((modes >> 8) & 15).tolist()
+    kinds = (modes >> 8) & 15
+    only = int(kinds.flat[0]) if (kinds == kinds.flat[0]).all() else -1
+    if only in (0, 1, 2, 14, 15):  # sums along rows or columns
+        out = _split(argb).copy()
+        out[:1, 0, 0] += 255
+        out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+        if only == 2:
+            out = np.cumsum(out, axis=0, dtype=np.uint8)
+        else:
+            out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+            if only == 1:
+                out[1:] = np.cumsum(out[1:], axis=1, dtype=np.uint8)
+            else:
+                out[1:, 1:, 0] += 255
+        return out.view(">u4")[..., 0].astype(np.uint32)
+    flat, kinds = _split(argb).reshape(-1, 4).tolist(), kinds.tolist()
     for i, residue in enumerate(flat):
         y, x = divmod(i, width)
         if y == 0:
@@ -272,31 +301,9 @@ def _unindex(argb: np.ndarray, table: np.ndarray, width_bits: int, width: int) -
     return colours[index]
 
 
-@lru_cache(1)
-def _flat_head() -> tuple[int, int]:
-    """The bits between size and pixels of an image without transforms whose codes are flat, and their number."""
-    out: list[int] = []
-    put = lambda value, n: out.extend(value >> i & 1 for i in range(n))
-    put(0, 3)  # no transform, no colour cache, one group of codes
-    for size in (280, 256, 256, 256):
-        put(0, 1)
-        put(8, 4)  # twelve code lengths follow, in the format's order: 18 and 8 take two bits, 16 takes one
-        for s in _LENGTH_ORDER[:12]:
-            put({18: 2, 8: 2, 16: 1}.get(s, 0), 3)
-        put(0, 1)
-        put(1, 2)  # an 8
-        for times in [6] * 42 + [3]:
-            put(0, 1)
-            put(times - 3, 2)
-        if size == 280:
-            put(3, 2)  # zeros
-            put(24 - 11, 7)
-    put(1, 4)  # distances: the one symbol 0
-    return sum(b << i for i, b in enumerate(out)), len(out)
-
-
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a WebP file with a VP8L image."""
+def opened(data: bytes) -> tuple[_Bits, int, int, list]:
+    """A WebP file with a VP8L image up to its pixels: the stream, the width of the pixels in it, the
+    height, and the transforms to undo, the last first."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise WebPError("not a WebP file")
     body = chunk(data, b"VP8L")
@@ -309,9 +316,11 @@ def decode(data: bytes) -> np.ndarray:
     if version:
         raise WebPError("an unknown version")
     bits = _Bits(body, 40)
-    undo, full = [], width
+    undo = []
     while bits.read(1):
         kind = bits.read(2)
+        if kind in [x[0] for x in undo]:
+            raise WebPError("a transform comes twice")
         if kind < 2:
             size_bits = bits.read(3) + 2
             part = _image(bits, _ceil(width, size_bits), _ceil(height, size_bits), False)
@@ -324,13 +333,22 @@ def decode(data: bytes) -> np.ndarray:
             width_bits = 3 if n_colours <= 2 else 2 if n_colours <= 4 else 1 if n_colours <= 16 else 0
             undo.append((kind, table, width_bits, width))
             width = _ceil(width, width_bits)
-    argb = _image(bits, width, height, True)
-    for kind, part, number, at_width in reversed(undo):
-        argb = _unpredict(argb, part, number) if kind == 0 else _uncross(argb, part, number) if kind == 1 else _add_green(argb) if kind == 2 else _unindex(argb, part, number, at_width)
-    assert argb.shape == (height, full)
+    return bits, width, height, undo[::-1]
+
+
+def undone(argb: np.ndarray, undo: list) -> np.ndarray:
+    """Pixels as samples R, G, B, A, after the transforms are undone."""
+    for kind, part, number, width in undo:
+        argb = unpredict(argb, part, number) if kind == 0 else _uncross(argb, part, number) if kind == 1 else _add_green(argb) if kind == 2 else _unindex(argb, part, number, width)
     return np.ascontiguousarray(_split(argb)[..., [1, 2, 3, 0]])
 
 
+def decode(data: bytes) -> np.ndarray:
+    """The pixels of a WebP file with a VP8L image."""
+    bits, width, height, undo = opened(data)
+    return undone(_image(bits, width, height, True), undo)
+
+
 def chunk(data: bytes, name: bytes) -> bytes | None:
     """The body of a RIFF file's chunk."""
     at = 12
@@ -340,223 +358,3 @@ def chunk(data: bytes, name: bytes) -> bytes | None:
             return data[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     return None
-
-
-def encode(pixels: np.ndarray, extra: dict[bytes, bytes] | None = None) -> bytes:
-    """A WebP file of the pixels, with more chunks after the image if given."""
-    height, width, _ = pixels.shape
-    if not (0 < width <= _SIDE and 0 < height <= _SIDE):
-        raise WebPError("an image has 1 to 16384 pixels a side")
-    head, n = _flat_head()
-    start = struct.pack("<BI", 0x2F, (width - 1) | (height - 1) << 14 | 1 << 28)
-    samples = _REVERSED[pixels[..., [1, 0, 2, 3]].reshape(-1)]
-    whole, shift = n >> 3, n & 7
-    out = np.zeros(len(samples) + bool(shift), np.uint8)
-    out[: len(samples)] = samples << np.uint8(shift)
-    if shift:
-        out[1:] |= samples >> np.uint8(8 - shift)
-        out[0] |= head >> (8 * whole)
-    body = start + (head & ((1 << (8 * whole)) - 1)).to_bytes(whole, "little") + out.tobytes()
-    return _file(body, extra)
-
-
-def _file(body: bytes, extra: dict[bytes, bytes] | None) -> bytes:
-    chunks = b"".join(k + struct.pack("<I", len(v)) + v + b"\0" * (len(v) & 1) for k, v in {b"VP8L": body, **(extra or {})}.items())
-    return b"RIFF" + struct.pack("<I", len(chunks) + 4) + b"WEBP" + chunks
-
-
-def _lengths(counts: list[int], limit: int) -> list[int]:
-    """Code lengths by Huffman's algorithm, the counts flattened until none is over the limit."""
-    out = [0] * len(counts)
-    used = [s for s, n in enumerate(counts) if n]
-    weights = [counts[s] for s in used]
-    if len(used) == 1:
-        out[used[0]] = 1
-    while len(used) > 1:
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        above = [0] * (2 * len(used) - 1)
-        for new in range(len(used), 2 * len(used) - 1):
-            w, i = heapq.heappop(heap)
-            v, j = heapq.heapreplace(heap, (w + heap[0][0], new))
-            above[i] = above[j] = new
-        depth = [0] * len(above)
-        for i in range(len(above) - 2, -1, -1):
-            depth[i] = depth[above[i]] + 1
-        if max(depth) <= limit:
-            for s, d in zip(used, depth, strict=False):
-                out[s] = d
-            break
-        weights = [w // 2 + 1 for w in weights]
-    return out
-
-
-def _codes(lengths: list[int]) -> list[int]:
-    """The code of each symbol as it stands in the stream, its first bit the least significant."""
-    out, code, last = [0] * len(lengths), 0, 0
-    for s in sorted((s for s, n in enumerate(lengths) if n), key=lengths.__getitem__):
-        n = lengths[s]
-        code <<= n - last
-        last = n
-        out[s] = _BACKWARD[code] >> (15 - n)
-        code += 1
-    return out
-
-
-def _write_code(put: list[tuple[int, int]], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Writes a code for the counts; its codes and their lengths."""
-    used = [s for s, n in enumerate(counts) if n] or [0]
-    codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-    if len(used) <= 2 and used[-1] < 256:
-        put += [(1, 1), (len(used) - 1, 1), (1, 1), *((s, 8) for s in used)]
-        if len(used) == 2:
-            codes[used[1]] = 1
-            sizes[used] = 1
-        return codes, sizes
-    lengths = _lengths(counts, _LONGEST)
-    tokens: list[tuple[int, int, int]] = []
-    last = 8
-    for n, same in groupby(lengths):
-        run = len(list(same))
-        if n and n != last:
-            tokens.append((n, 0, 0))
-            run, last = run - 1, n
-        while run >= 3:
-            part = min(run, 6 if n else 138)
-            tokens.append((16, part - 3, 2) if n else (17, part - 3, 3) if part <= 10 else (18, part - 11, 7))
-            run -= part
-        tokens += [(n, 0, 0)] * run
-    often = [0] * 19
-    for t, _, _ in tokens:
-        often[t] += 1
-    of_lengths = _lengths(often, 7)
-    put += [(0, 1), (15, 4), *((of_lengths[s], 3) for s in _LENGTH_ORDER), (0, 1)]
-    of_codes = _codes(of_lengths)
-    single = sum(map(bool, of_lengths)) == 1
-    for t, extra, n in tokens:
-        if not single:
-            put.append((of_codes[t], of_lengths[t]))
-        if n:
-            put.append((extra, n))
-    codes[:], sizes[:] = _codes(lengths), lengths
-    return codes, sizes
-
-
-def _prefix(value: int) -> tuple[int, int, int]:
-    """Prefix code, extra bits and their number of a length or distance."""
-    if value <= 4:
-        return value - 1, 0, 0
-    high = (value - 1).bit_length() - 1
-    return 2 * high + ((value - 1) >> (high - 1) & 1), (value - 1) & ((1 << (high - 1)) - 1), high - 1
-
-
-@lru_cache(16)
-def _near(width: int) -> dict[int, int]:
-    """The codes of distances to pixels nearby."""
-    return {dx + dy * width: i + 1 for i, (dx, dy) in reversed(list(enumerate(_NEAR))) if dx + dy * width >= 1}
-
-
-def _earlier(keys: np.ndarray) -> np.ndarray:
-    """For each place the last one before it with the same key, or -1."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    out = np.full(len(keys), -1, np.int64)
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
-def _copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of runs of three pixels or more that occur earlier, from left to right."""
-    out: list[tuple[int, int, int]] = []
-    if len(argb) < 4:
-        return out
-    wide = argb.astype(np.uint64)
-    before = _earlier((wide[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (wide[2:] * np.uint64(0x165667B19E3779F9)))
-    places = np.flatnonzero((before >= 0) & (np.arange(len(before)) - before <= (1 << 20) - 120)).tolist()
-    i = free = 0
-    while (i := bisect_left(places, free, i)) < len(places):
-        at, back = places[i], places[i] - int(before[places[i]])
-        n = min(len(argb) - at, 4096)
-        apart = np.flatnonzero(argb[at : at + n] != argb[at - back : at - back + n])
-        n = int(apart[0]) if len(apart) else n
-        if n >= 3:
-            out.append((at, n, back))
-        free = at + (n if n >= 3 else 1)
-    return out
-
-
-def _stream(values: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Numbers of so many bits each as bytes, the least significant bit first."""
-    out, rest = [], np.zeros(0, np.uint8)
-    for at in range(0, len(values), 1 << 18):
-        n = sizes[at : at + (1 << 18)]
-        ends = np.cumsum(n)
-        places = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-        rest = np.concatenate((rest, (np.repeat(values[at : at + (1 << 18)], n) >> places & 1).astype(np.uint8)))
-        whole = len(rest) & ~7
-        out.append(np.packbits(rest[:whole], bitorder="little").tobytes())
-        rest = rest[whole:]
-    return b"".join(out) + np.packbits(rest, bitorder="little").tobytes()
-
-
-def compress(pixels: np.ndarray, extra: dict[bytes, bytes] | None = None) -> bytes:
-    """A WebP file of the pixels with green subtracted, back-references, a colour cache and prefix
-    codes of its own, with more chunks after the image if given."""
-    height, width, _ = pixels.shape
-    if not (0 < width <= _SIDE and 0 < height <= _SIDE):
-        raise WebPError("an image has 1 to 16384 pixels a side")
-    red, green, blue, alpha = np.ascontiguousarray(pixels.reshape(-1, 4).T)
-    red, blue = red - green, blue - green
-    argb = np.stack((blue, green, red, alpha), axis=1).view("<u4")[:, 0]
-    keys = (argb * np.uint32(0x1E35A7BD)) >> np.uint32(32 - _CACHE_BITS)
-    before = _earlier(keys)
-    symbols = np.where((before >= 0) & (argb[before] == argb), 280 + keys.astype(np.int64), green.astype(np.int64))
-    copies = _copies(argb)
-    use = np.ones(len(argb), bool)
-    near = _near(width)
-    far, lengths = [], []
-    for at, n, back in copies:
-        use[at + 1 : at + n] = False
-        lengths.append(_prefix(n))
-        far.append(_prefix(near.get(back, back + 120)))
-        symbols[at] = 256 + lengths[-1][0]
-    places = np.flatnonzero(use)
-    symbols = symbols[places]
-    plain = symbols < 256
-    samples = [x[places[plain]] for x in (red, blue, alpha)]
-    put = [(1, 1), (2, 2), (0, 1), (1, 1), (_CACHE_BITS, 4), (0, 1)]  # green subtracted, no more transforms, a cache, one group
-    codes = [_write_code(put, np.bincount(x, minlength=n).tolist()) for x, n in ((symbols, 280 + (1 << _CACHE_BITS)), *((x, 256) for x in samples))]
-    of_far = _write_code(put, np.bincount(np.array([x[0] for x in far], np.int64), minlength=40).tolist())
-    values, sizes = np.zeros((2, len(places), 4), np.int64)
-    values[:, 0], sizes[:, 0] = (x[symbols] for x in codes[0])
-    for i, x in enumerate(samples):
-        values[plain, i + 1], sizes[plain, i + 1] = (y[x] for y in codes[i + 1])
-    if copies:
-        at = np.searchsorted(places, [x[0] for x in copies])
-        _, values[at, 1], sizes[at, 1] = np.array(lengths).T
-        kinds, values[at, 3], sizes[at, 3] = np.array(far).T
-        values[at, 2], sizes[at, 2] = of_far[0][kinds], of_far[1][kinds]
-    head = np.array(put, np.int64)
-    start = struct.pack("<BI", 0x2F, (width - 1) | (height - 1) << 14 | 1 << 28)
-    return _file(start + _stream(np.concatenate((head[:, 0], values.reshape(-1))), np.concatenate((head[:, 1], sizes.reshape(-1)))), extra)
-
-
-def pack(payload: bytes) -> bytes:
-    """A file that holds the payload, of a positive multiple of 64 bytes, in rows of samples."""
-    width = 16
-    while len(payload) > 4 * width * _SIDE:
-        width *= 2
-    if width > _SIDE:
-        raise WebPError("an image holds at most a gibibyte")
-    row = 4 * width
-    over = -len(payload) % row
-    pixels = np.frombuffer(payload + bytes(over), np.uint8).reshape(-1, width, 4)
-    return compress(pixels, {b"PLEN": struct.pack("<Q", len(payload))} if over else None)
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
-    """The pixels, and the payload that pack() stored in them."""
-    pixels = decode(data)
-    size = chunk(data, b"PLEN")
-    payload = pixels.tobytes()
-    return pixels, payload if size is None else payload[: struct.unpack("<Q", size)[0]]
