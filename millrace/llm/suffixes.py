@@ -1,27 +1,29 @@
 """Removal of repeated passages, exact to the byte, by blockwise suffix sorting.
 
 Removed is every byte of a `width`-byte string that also starts earlier in the corpus (a smaller
-doc_id, or an earlier place in the same document). Strings of the corpus are never all shuffled:
+doc_id, or an earlier place in the same document). Suffixes of the corpus are never all shuffled:
 
 1. Every window of `width` bytes owns one of its places, the leftmost least hash of GRAM bytes in
    it. Equal windows own the same place and the same hash, so a window whose hash occurs once in the
    corpus repeats nothing. Blocks of documents send their hashes, and get back one flag for each.
 2. Around each flagged place a block sends the bytes of the windows that own it, once for each
-   distinct content. The copies within the block are settled there and then.
-3. Contents meet by hash, in as many buckets as there are shuffle partitions, and each bucket is
-   sorted by its suffixes: by 32 first and 40 last bytes, and where these tie by the ranks of
-   samples at a difference cover modulo 31, which hold the 64 bytes between at one place for any two
-   residues. The earliest of equal windows stays.
-
-Places of a hash with more than `hot` copies are sent window by window under a digest of 128 bits
-instead, each block's copies merged first, so a passage in a third of all documents spreads over all
-buckets.
+   distinct content. Copies of a whole content within the block are settled there and then.
+3. Contents meet by hash in buckets. In each, a difference cover modulo 31 samples the text, and the
+   samples are ranked by their bytes beforehand. Then one suffix bucket after another (the windows of some
+   places) is sorted: by 32 first bytes, and where these tie by the samples' ranks, which for any two
+   suffixes stand at a common distance of 30 at most, and the last bytes. Suffixes next to each other with a
+   common prefix of `width` bytes are equal; the earliest of them in the corpus stays.
+
+Places with more than `hot` copies are sent window by window, each distinct one of a block once and to a
+bucket of its own hash, so a passage in a third of all documents spreads over all buckets. There they
+are sorted and compared by their bytes like all others, a batch at a time against those found so far.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,15 +36,20 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import binary, mix
 
-GRAM, HOT, BLOCK_BYTES, SORT_BYTES = 32, 1000, 8 << 20, 2 << 20
+GRAM, HOT, BLOCK_BYTES, SORT_BYTES = 32, 1000, 8 << 20, 4 << 20
+#: Bytes of corpus for each bucket: what a bucket's task holds are the contents around flagged places of so much text.
+BUCKET_BYTES = 128 << 20
 _STEP = 1 << 16
 _rng = np.random.Generator(np.random.PCG64(77))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _LOW = np.uint64(0xFFFFFF)
 #: A perfect difference set: every residue modulo 31 is the difference of two of its members.
 MODULUS, COVER = 31, (0, 1, 3, 8, 12, 18)
+#: For two residues the least distance at which both have a sample; for one, the distance to its next sample.
 _SHIFT = np.array([[next(d for d in range(MODULUS) if (a + d) % MODULUS in COVER and (b + d) % MODULUS in COVER) for b in range(MODULUS)] for a in range(MODULUS)])
-_HEAD, _TAIL, _RANKED = (0, 8, 16, 24), (60, 68, 76, 84, 92), 64
+_NEXT = np.diagonal(_SHIFT)
+_SAMPLED = np.isin(np.arange(MODULUS), COVER)
+_HEAD = 32
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -53,16 +60,24 @@ def _restore(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _tie(text: bytes) -> int:
+    """What orders documents of the same id: equal texts are alike, so reruns agree."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
 def _blocks(block_bytes: int):
     """Documents packed into rows: ids and sizes in bytes, in order of doc_id, and the compressed text."""
 
-    def pack(at: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        held.sort(key=lambda x: x[0])
+    def pack(at: int, held: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+        ranked = sorted((i is None, i or 0, _tie(x), x) for i, x in held)
         block = (TaskContext.get().partitionId() << 32) + at
         return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([[len(x) for _, x in held]], pa.list_(pa.int64())), pa.array([_squeeze(b"".join(x for _, x in held))], pa.binary())],
-            ["block", "ids", "sizes", "data"],
-        )
+            [
+                pa.array([block], pa.int64()), pa.array([[None if none else i for none, i, _, _ in ranked]], pa.list_(pa.int64())), pa.array([[len(x) for *_, x in ranked]], pa.list_(pa.int64())),
+                pa.array([_squeeze(b"".join(x for *_, x in ranked))], pa.binary()), pa.array([sum(len(x) for *_, x in ranked)], pa.int64()),
+            ],
+            ["block", "ids", "sizes", "data", "bytes"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, at = [], 0, 0
@@ -164,14 +179,36 @@ def _flag(hot: int):
     return run
 
 
-_RECORD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("block", "<i8"), ("at", "<i4"), ("place", "<i8"), ("left", "<i4"), ("windows", "<i4")])
-_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("block", "<i8"), ("at", "<i4"), ("place", "<i8")])
+_RECORD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("block", "<i8"), ("at", "<i4"), ("place", "<i8"), ("left", "<i4"), ("windows", "<i4")])
 _SPAN = np.dtype([("at", "<i4"), ("first", "<i8"), ("end", "<i8")])
 
 
+def _corpus_order(records: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys of np.lexsort: the document, then the place in it."""
+    return records["place"], records["at"], records["block"], records["tie"], records["doc"]
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number that sorts as they do."""
+    return np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of ranges of so many places, and the range each is of."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner], owner
+
+
 def _send_contents(width: int, buckets: int):
     """Rows (kind, bucket, block, data): 0 the spans settled here, 1 contents around places, 2 windows of hot places."""
 
+    def packed(kind: int, block: int, records: np.ndarray, contents: list[bytes]):
+        bucket = (records["hash"] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(part):
+                yield kind, int(bucket[part[0]]), block, _squeeze(len(part).to_bytes(8, "little") + records[part].tobytes() + b"".join(contents[i] for i in part.tolist()))
+
     def of_block(block: int, ids, starts, ends, text: np.ndarray, flags: dict[int, bytes]):
         anchors = Anchors(text, ends, width)
         hashes, index, _, bounds = anchors.by_bucket(buckets)
@@ -180,51 +217,57 @@ def _send_contents(width: int, buckets: int):
             flag[bounds[b] : bounds[b + 1]] = np.frombuffer(_restore(x), np.uint8)
         flag = flag[index]
         raw = text.tobytes()
-        spans: list[tuple[int, int, int]] = []
+        ties: dict[int, int] = {}
+
+        def records(docs: np.ndarray, first: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(docs), _RECORD)
+            for d in np.unique(docs).tolist():
+                if d not in ties:
+                    ties[d] = _tie(raw[starts[d] : ends[d]])
+            out["at"], out["block"], out["doc"] = docs, block, ids[docs]
+            out["tie"] = [ties[d] for d in docs.tolist()]
+            out["place"] = first - starts[docs]
+            return out
+
+        spans: list[np.ndarray] = []
         found = np.flatnonzero(flag == 1)
         docs = np.searchsorted(ends, anchors.first[found], "right")
         seen: set[tuple[int, bytes]] = set()
-        keep, contents = [], []
-        for n, place, first, last, d in zip(range(len(found)), anchors.place[found].tolist(), anchors.first[found].tolist(), anchors.last[found].tolist(), docs.tolist(), strict=True):
+        keep, contents, again = [], [], []
+        for n, place, first, last in zip(range(len(found)), anchors.place[found].tolist(), anchors.first[found].tolist(), anchors.last[found].tolist(), strict=True):
             content = raw[first : last + width]
             key = (place - first, content)
             if key in seen:
-                spans.append((d, first - starts[d], last + width - starts[d]))
+                again.append(n)
             else:
                 seen.add(key)
                 keep.append(n)
                 contents.append(content)
-        keep = np.array(keep, np.int64)
-        at = found[keep] if len(keep) else keep
-        out = np.zeros(len(at), _RECORD)
-        out["hash"], out["at"], out["block"] = anchors.hash[at], docs[keep] if len(keep) else [], block
-        out["doc"], out["place"] = ids[out["at"]], anchors.first[at] - starts[out["at"]]
-        out["left"], out["windows"] = anchors.place[at] - anchors.first[at], anchors.last[at] - anchors.first[at] + 1
-        bucket = (out["hash"] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            if len(part):
-                yield 1, int(bucket[part[0]]), block, _squeeze(len(part).to_bytes(8, "little") + out[part].tobytes() + b"".join(contents[i] for i in part.tolist()))
-
-        known: set[bytes] = set()
-        windows = []
-        for n in np.flatnonzero(flag == 2).tolist():
-            d = int(np.searchsorted(ends, anchors.first[n], "right"))
-            for p in range(int(anchors.first[n]), int(anchors.last[n]) + 1):
-                digest = hashlib.blake2b(raw[p : p + width], digest_size=16).digest()
-                if digest in known:
-                    spans.append((d, p - int(starts[d]), p + width - int(starts[d])))
-                else:
-                    known.add(digest)
-                    windows.append((int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little"), ids[d], block, d, p - starts[d]))
-        hot = np.array(windows, _WINDOW)
-        bucket = (hot["a"] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            if len(part):
-                yield 2, int(bucket[part[0]]), block, _squeeze(hot[part].tobytes())
-        if spans:
-            yield 0, 0, block, _squeeze(_united(np.array(spans, _SPAN)).tobytes())
+        gone = found[again]
+        spans.append(_spans(docs[again], anchors.first[gone] - starts[docs[again]], anchors.last[gone] + width - starts[docs[again]]))
+        at = found[keep]
+        out = records(docs[keep], anchors.first[at])
+        out["hash"], out["left"], out["windows"] = anchors.hash[at], anchors.place[at] - anchors.first[at], anchors.last[at] - anchors.first[at] + 1
+        yield from packed(1, block, out, contents)
+
+        hot = np.flatnonzero(flag == 2)
+        place, _ = _spread(anchors.first[hot], anchors.last[hot] - anchors.first[hot] + 1)
+        if len(place):
+            space = np.concatenate((text, np.zeros(8, np.uint8)))
+            digest = _hash_of(space, place, width)
+            docs = np.searchsorted(ends, place, "right")
+            order = np.argsort(digest, kind="stable")
+            same = np.concatenate(([False], digest[order][1:] == digest[order][:-1]))
+            head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+            same &= _equal(space, place[head], place[order], width)
+            gone, keep = order[same], np.sort(order[~same])
+            spans.append(_spans(docs[gone], place[gone] - starts[docs[gone]], place[gone] - starts[docs[gone]] + width))
+            out = records(docs[keep], place[keep])
+            out["hash"], out["windows"] = digest[keep], 1
+            yield from packed(2, block, out, [raw[p : p + width] for p in place[keep].tolist()])
+        all_spans = np.concatenate(spans)
+        if len(all_spans):
+            yield 0, 0, block, _squeeze(_united(all_spans).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,6 +280,32 @@ def _send_contents(width: int, buckets: int):
     return run
 
 
+def _spans(at: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), _SPAN)
+    out["at"], out["first"], out["end"] = at, first, end
+    return out
+
+
+def _steps(start: int, end: int) -> list[int]:
+    """Where to read words that cover the bytes from start to end, at least eight."""
+    return [*range(start, end - 8, 8), end - 8]
+
+
+def _hash_of(text: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    words, out = _words(text), np.zeros(len(places), np.uint64)
+    for j in _steps(0, width):
+        out = (out ^ words[places + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return mix(out)
+
+
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    words, out = _words(text), np.ones(len(a), bool)
+    for j in _steps(0, width):
+        out &= words[a + j] == words[b + j]
+    return out
+
+
 def _united(spans: np.ndarray) -> np.ndarray:
     """The same bytes in as few spans as possible."""
     spans = spans[np.lexsort((spans["first"], spans["at"]))]
@@ -250,116 +319,211 @@ def _united(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cover_ranks(words: np.ndarray, samples: np.ndarray) -> np.ndarray:
-    """Ranks of the 64-byte strings at the samples, equal for equal strings."""
-    columns = [words[samples + j] for j in range(0, _RANKED, 8)]
-    order = np.lexsort(columns)
-    differs = np.zeros(len(samples), bool)
-    for c in columns:
-        differs[1:] |= c[order][1:] != c[order][:-1]
-    ranks = np.empty(len(samples), np.int64)
-    ranks[order] = np.cumsum(differs)
-    return ranks
+class Ranks:
+    """Ranks of the samples of a text at a difference cover, by the bytes from each of them: `width` less
+    the largest distance between a suffix and its sample, so that no rank looks beyond a suffix's width."""
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, width: int):
+        self.words, self.width = _words(text), width
+        near = np.zeros(len(text) + 1, np.int32)
+        np.add.at(near, starts, 1)
+        np.add.at(near, np.minimum(starts + MODULUS, len(text)), -1)
+        samples = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        samples = samples[_SAMPLED[samples % MODULUS]]
+        columns = [self.words[samples + j].astype(np.uint64) for j in _steps(0, width - MODULUS + 1)]
+        order = np.lexsort(columns[::-1])
+        differs = np.zeros(len(samples), bool)
+        for c in columns:
+            differs[1:] |= c[order][1:] != c[order][:-1]
+        self.at = np.zeros(len(text), np.int32)
+        self.at[samples[order]] = np.cumsum(differs)
+        self.tails = _steps(width - MODULUS + 1, width)
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 for pairs of suffixes with equal first _HEAD bytes."""
+        shift = _SHIFT[a % MODULUS, b % MODULUS]
+        x, y = self.at[a + shift], self.at[b + shift]
+        out = (x > y).astype(np.int8) - (x < y)
+        for j in self.tails:
+            x, y = self.words[a + j], self.words[b + j]
+            out = np.where(out == 0, (x > y).astype(np.int8) - (x < y), out)
+        return out
 
 
-def _repeats(text: np.ndarray, group: np.ndarray, offset: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
-    """Which windows, given in corpus order, equal an earlier one of their group and offset.
+def sorted_suffixes(text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at `starts` by their first `width` bytes, equal ones as they are given,
+    and which of them, in that order, have those bytes in common with the one before.
 
-    place: where in text each window starts.
+    text must go on for width + 8 bytes after each start. Suffixes with the same first bytes and the same
+    residue modulo 31 are ordered by the rank of the sample at the same distance from both. Where suffixes
+    of several residues tie, each residue's run is merged with the next by binary searches that compare
+    any two suffixes at the distance at which both have a sample.
     """
-    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
-    ends = [*_HEAD, *(x + width - 100 for x in _TAIL)]
-    key = mix(group * np.uint64(1024) + offset.astype(np.uint64))
-    for j in ends:
-        key = mix(key ^ words[place + j])
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    repeated = np.zeros(len(place), bool)
-    head = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(order)), 0))
-    tied = np.flatnonzero(np.concatenate(([False], same)))
-    while len(tied):
-        x, y = order[head[tied]], order[tied]
-        equal = (group[x] == group[y]) & (offset[x] == offset[y])
-        for j in ends:
-            equal &= words[place[x] + j] == words[place[y] + j]
-        shift = _SHIFT[place[x] % MODULUS, place[y] % MODULUS]
-        for extra in range(0, width - 100 + 1, 1 if width == 100 else 32):
-            extra = min(extra, width - 100)
-            samples, index = np.unique(np.concatenate((place[x] + shift + extra, place[y] + shift + extra)), return_inverse=True)
-            ranks = _cover_ranks(words, samples)[index]
-            equal &= ranks[: len(x)] == ranks[len(x) :]
-        repeated[y[equal]] = True
-        left = tied[~equal]
+    if not len(starts):
+        return starts, np.zeros(0, bool)
+    ranks = Ranks(text, starts, width)
+    heads = [ranks.words[starts + j].astype(np.uint64) for j in range(0, _HEAD, 8)]
+    tails = [ranks.words[starts + j].astype(np.uint64) for j in ranks.tails]
+    residue = starts % MODULUS
+    order = np.lexsort((*tails[::-1], ranks.at[starts + _NEXT[residue]], residue, *heads[::-1]))
+    tied = np.ones(len(order), bool)
+    tied[0] = False
+    for h in heads:
+        tied[1:] &= h[order][1:] == h[order][:-1]
+    order = _merged(ranks, starts, order, tied)
+    equal = np.zeros(len(order), bool)
+    at = np.flatnonzero(tied)
+    equal[at] = ranks.compare(starts[order[at - 1]], starts[order[at]]) == 0
+    return order, equal
+
+
+def _merged(ranks: Ranks, starts: np.ndarray, order: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """order, with the runs of a residue each merged within groups of tied suffixes."""
+    group = np.cumsum(~tied)
+    residue = starts[order] % MODULUS
+    new = ~tied | np.concatenate(([True], residue[1:] != residue[:-1]))  # where a run begins
+    while True:
+        begins = np.flatnonzero(new)
+        ends = np.append(begins[1:], len(order))
+        of_group = group[begins]
+        number = np.arange(len(begins)) - np.searchsorted(of_group, of_group)
+        left = np.flatnonzero((number % 2 == 0) & np.append(of_group[1:] == of_group[:-1], False))
         if not len(left):
-            break
-        first = np.concatenate(([True], head[left][1:] != head[left][:-1]))  # the first that differs heads the others
-        head[left] = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
-        tied = left[~first]
-    return repeated
-
-
-def _sort_bucket(width: int):
-    def contents(rows: pd.DataFrame) -> Iterator[np.ndarray]:
-        records, texts = [], []
-        for blob in rows["data"]:
-            raw = _restore(blob)
-            n = int.from_bytes(raw[:8], "little")
-            part = np.frombuffer(raw, _RECORD, n, 8)
-            cuts = np.cumsum(part["windows"].astype(np.int64) + width - 1) + 8 + n * _RECORD.itemsize
-            records.append(part)
-            texts += [raw[a:b] for a, b in zip([8 + n * _RECORD.itemsize, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
-        records = np.concatenate(records)
-        order = np.lexsort((records["place"], records["at"], records["block"], records["doc"], records["hash"]))
-        records = records[order]
-        bounds = np.concatenate(([0], np.flatnonzero(np.diff(records["hash"])) + 1, [len(records)]))
-        held, size = [], 0
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a > 1:  # one suffix bucket: the places of one hash
-                held += range(a, b)
-                size += sum(len(texts[order[i]]) for i in range(a, b))
-            if held and (size > SORT_BYTES or b == len(records)):
-                yield from sort(records[held], [texts[order[i]] for i in held])
-                held, size = [], 0
-        if held:
-            yield from sort(records[held], [texts[order[i]] for i in held])
-
-    def sort(records: np.ndarray, texts: list[bytes]) -> Iterator[np.ndarray]:
-        seen, keep, gone = set(), [], []
-        for i, key in enumerate(zip(records["hash"].tolist(), records["left"].tolist(), texts, strict=True)):
-            (gone if key in seen else keep).append(i)
-            seen.add(key)
-        out = records[gone]
-        yield out["block"], spans(out, out["place"], out["place"] + out["windows"] - 1 + width)
-        records, texts = records[keep], [texts[i] for i in keep]
-        text = np.frombuffer(b"".join(texts) + bytes(width), np.uint8)
-        starts = np.cumsum([0, *map(len, texts[:-1])])
-        n = records["windows"].astype(np.int64)
-        owner = np.repeat(np.arange(len(records)), n)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        again = _repeats(text, records["hash"][owner], records["left"][owner] - step, starts[owner] + step, width)
-        owner, step = owner[again], step[again]
+            return order
+        out = order.copy()
+        moved = []
+        for mine, other, ties_first in ((left, left + 1, True), (left + 1, left, False)):
+            at, owner = _spread(begins[mine], (ends - begins)[mine])
+            low, high = begins[other][owner].copy(), ends[other][owner].copy()
+            while len(open_ := np.flatnonzero(low < high)):
+                middle = (low[open_] + high[open_]) // 2
+                sign = ranks.compare(starts[order[middle]], starts[order[at[open_]]])
+                before = sign < 0 if ties_first else sign <= 0
+                low[open_[before]] = middle[before] + 1
+                high[open_[~before]] = middle[~before]
+            moved.append((at, at - begins[mine][owner] + low - begins[other][owner] + begins[left][owner]))
+        for at, to in moved:
+            out[to] = order[at]
+        order = out
+        new[begins[left + 1]] = False
+
+
+def _laid_out(left: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """Where each content begins in a bucket's text so that its place is a multiple of MODULUS, as equal
+    windows then have equal residues; and the size of the text."""
+    before = -(-left // MODULUS) * MODULUS
+    room = before + -(-(sizes - left) // MODULUS) * MODULUS
+    ends = np.cumsum(room)
+    return ends - room + before - left, int(ends[-1] if len(ends) else 0) + width + 8
+
+
+def _repeated(records: np.ndarray, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(content, window in it) of every window that equals an earlier one, the contents being in corpus order."""
+    sizes = records["windows"].astype(np.int64) + width - 1
+    begins, size = _laid_out(records["left"].astype(np.int64), sizes, width)
+    text = np.zeros(size, np.uint8)
+    to, _ = _spread(begins, sizes)
+    text[to] = np.frombuffer(b"".join(texts), np.uint8)
+    starts, owner = _spread(begins, records["windows"].astype(np.int64))
+    digest = _hash_of(text, starts, width)
+    ordered = np.sort(digest)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return owner[:0], starts[:0]
+    mine = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, digest), len(twice) - 1)] == digest)  # others repeat nothing
+    order, equal = sorted_suffixes(text, starts[mine], width)
+    again = mine[order[equal]]
+    return owner[again], starts[again] - begins[owner[again]]
+
+
+def _unpacked(blobs: Iterable[bytes], width: int) -> tuple[np.ndarray, list[bytes]]:
+    records, texts = [], []
+    for blob in blobs:
+        raw = _restore(blob)
+        n = int.from_bytes(raw[:8], "little")
+        part = np.frombuffer(raw, _RECORD, n, 8)
+        cuts = np.cumsum(part["windows"].astype(np.int64) + width - 1) + 8 + n * _RECORD.itemsize
+        records.append(part)
+        texts += [raw[a:b] for a, b in zip([8 + n * _RECORD.itemsize, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+    return np.concatenate(records) if records else np.zeros(0, _RECORD), texts
+
+
+def _settled(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(blocks, spans) of what repeats among contents around places: one suffix bucket of about
+    SORT_BYTES after another, all contents of a place in the same."""
+    records, texts = _unpacked(blobs, width)
+    order = np.lexsort((*_corpus_order(records), records["hash"]))
+    records = records[order]
+    bounds = np.concatenate(([0], np.flatnonzero(np.diff(records["hash"])) + 1, [len(records)]))
+    held, size = [], 0
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a > 1:
+            held += range(a, b)
+            size += sum(len(texts[order[i]]) for i in range(a, b))
+        if held and (size > SORT_BYTES or b == len(records)):
+            yield from _of_places(records[held], [texts[order[i]] for i in held], width)
+            held, size = [], 0
+    if held:
+        yield from _of_places(records[held], [texts[order[i]] for i in held], width)
+
+
+def _of_places(records: np.ndarray, texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    seen, keep, gone = set(), [], []  # copies of a whole content first
+    for i, key in enumerate(zip(records["hash"].tolist(), records["left"].tolist(), texts, strict=True)):
+        (gone if key in seen else keep).append(i)
+        seen.add(key)
+    out = records[gone]
+    yield out["block"], _spans(out["at"], out["place"], out["place"] + out["windows"] - 1 + width)
+    in_order = np.lexsort(_corpus_order(records[keep]))
+    records, texts = records[keep][in_order], [texts[keep[i]] for i in in_order.tolist()]
+    owner, step = _repeated(records, texts, width)
+    hit = records[owner]
+    yield hit["block"], _spans(hit["at"], hit["place"] + step, hit["place"] + step + width)
+
+
+def _settled_hot(blobs: Iterable[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As _settled(), for single windows: a batch at a time with the earliest of each found so far."""
+    records, texts = np.zeros(0, _RECORD), []
+    held, size = [], 0
+
+    def settle():
+        nonlocal records, texts
+        more, added = _unpacked(held, width)
+        records, texts = np.concatenate((records, more)), texts + added
+        order = np.lexsort(_corpus_order(records))
+        records, texts = records[order], [texts[i] for i in order.tolist()]
+        owner, _ = _repeated(records, texts, width)
         hit = records[owner]
-        yield hit["block"], spans(hit, hit["place"] + step, hit["place"] + step + width)
-
-    def spans(records: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(records), _SPAN)
-        out["at"], out["first"], out["end"] = records["at"], first, end
-        return out
-
-    def windows(rows: pd.DataFrame) -> Iterator[np.ndarray]:
-        found = np.concatenate([np.frombuffer(_restore(x), _WINDOW) for x in rows["data"]])
-        found = found[np.lexsort((found["place"], found["at"], found["block"], found["doc"], found["b"], found["a"]))]
-        again = found[1:][(found["a"][1:] == found["a"][:-1]) & (found["b"][1:] == found["b"][:-1])]
-        yield again["block"], spans(again, again["place"], again["place"] + width)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.zeros(0, np.int64), np.zeros(0, _SPAN)), *(contents if rows["kind"].iloc[0] == 1 else windows)(rows)]
-        blocks, found = np.concatenate([b for b, _ in parts]), np.concatenate([s for _, s in parts])
+        keep = np.setdiff1d(np.arange(len(records)), owner)
+        records, texts = records[keep], [texts[i] for i in keep.tolist()]
+        return hit["block"], _spans(hit["at"], hit["place"], hit["place"] + width)
+
+    for blob in blobs:
+        held.append(blob)
+        size += zstandard.frame_content_size(blob)
+        if size > SORT_BYTES:
+            yield settle()
+            held, size = [], 0
+    if held:
+        yield settle()
+
+
+def _sort_buckets(width: int):
+    """Rows (block, data) of the spans that repeat, from rows of contents in order of kind and bucket."""
+
+    def spans_of(kind: int, blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, _SPAN)), *(_settled(list(blobs), width) if kind == 1 else _settled_hot(blobs, width))]
+        blocks, found = np.concatenate([b for b, _ in parts]), np.concatenate([x for _, x in parts])
         order = np.argsort(blocks, kind="stable")
         blocks, found = blocks[order], found[order]
         cuts = np.flatnonzero(np.diff(blocks)) + 1
-        pieces = np.split(found, cuts) if len(found) else []
-        return pd.DataFrame({"block": blocks[np.concatenate(([0], cuts))] if len(found) else np.zeros(0, np.int64), "data": [_squeeze(_united(x).tobytes()) for x in pieces]})
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[np.concatenate(([0], cuts))], pa.int64()), pa.array([_squeeze(_united(x).tobytes()) for x in np.split(found, cuts)], pa.binary())], ["block", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k.as_py(), b.as_py(), d.as_buffer().to_pybytes()) for batch in batches for k, b, d in zip(*batch.columns, strict=True))
+        for (kind, _), same in groupby(rows, key=lambda r: r[:2]):
+            yield from spans_of(kind, (d for _, _, d in same))
 
     return run
 
@@ -387,25 +551,28 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = 100, hot: int = HOT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = 100, hot: int = HOT, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), one row per row of docs; kept is the remaining bytes.
 
     n_spans counts the maximal removed runs. Null and empty texts have no bytes and lose none; texts
-    under `width` bytes lose none. Rows with the same doc_id are separate documents, in the order of
-    the tables' blocks; a null doc_id comes after all others. Other columns are not read. kept may
+    under `width` bytes lose none. Rows with the same doc_id are separate documents, in an order by a
+    hash of their texts; a null doc_id comes after all others. Other columns are not read. kept may
     end within a code point of UTF-8, as matches are of bytes. width is at least 100.
     """
     if width < 100:
         raise ValueError("width must be at least 100")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    packed = source.mapInArrow(_blocks(BLOCK_BYTES), "block long, ids array<long>, sizes array<long>, data binary")
-    blocks = scratch.keep_bucketed(packed, "blocks", "block", buckets)  # both joins on block leave the texts where they are
-    hashes = blocks.mapInArrow(_send_hashes(width, buckets), "bucket int, block long, hashes binary, copies binary")
+    packed = source.mapInArrow(_blocks(BLOCK_BYTES), "block long, ids array<long>, sizes array<long>, data binary, bytes long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = scratch.keep_bucketed(packed, "blocks", "block", parts)  # both joins on block leave the texts where they are
+    buckets = max(parts, -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes))
+    hashes = blocks.select("block", "ids", "sizes", "data").mapInArrow(_send_hashes(width, buckets), "bucket int, block long, hashes binary, copies binary")
     flags = hashes.groupBy("bucket").applyInPandas(_flag(hot), "block long, bucket int, flags binary")
     flags = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
     sent = blocks.join(flags, "block", "left").select("block", "ids", "sizes", "data", "flags")
     sent = scratch.keep(sent.mapInArrow(_send_contents(width, buckets), "kind int, bucket int, block long, data binary"), "contents")
-    spans = sent.where("kind > 0").groupBy("kind", "bucket").applyInPandas(_sort_bucket(width), "block long, data binary")
+    met = sent.where("kind > 0").select("kind", "bucket", "data").repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    spans = met.mapInArrow(_sort_buckets(width), "block long, data binary")
     spans = spans.union(sent.where("kind = 0").select("block", "data")).groupBy("block").agg(F.collect_list("data").alias("spans"))
     return blocks.join(spans, "block", "left").select("block", "ids", "sizes", "data", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

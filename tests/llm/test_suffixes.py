@@ -82,9 +82,63 @@ def test_ties_of_heads_and_tails_are_told_apart():
     a, b = b"h" * 40 + b"1" + b"t" * 59, b"h" * 40 + b"2" + b"t" * 59
     text = np.frombuffer(b"".join([a, b"\0", b, b"\0\0", a, b"\0", b]) + bytes(100), np.uint8)
     place = np.array([0, 101, 203, 304])
-    again = suffixes._repeats(text, np.zeros(4, np.uint64), np.zeros(4, np.int64), place, 100)
-    assert again.tolist() == [False, False, True, True]
+    order, equal = suffixes.sorted_suffixes(text, place, 100)
+    assert order.tolist() == [0, 2, 1, 3] and equal.tolist() == [False, True, False, True]
 
 
 def test_matches_sql(same):
     same(queries.QUERIES["op8_suffixes"], queries.ORACLE_SQL["op8_suffixes"])
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("width", [100, 117])
+def test_a_bucket_is_in_order_of_its_suffixes(seed, width):
+    """All starts, few letters and long ties, so that suffixes of many residues tie."""
+    rng = np.random.default_rng(seed)
+    unit = rng.integers(0, 2 + seed % 3, int(rng.integers(1, 200)), dtype=np.uint8)
+    parts = [np.tile(unit, 3), rng.integers(0, 3, 300, dtype=np.uint8), np.tile(unit, 2), np.zeros(150, np.uint8), unit]
+    text = np.concatenate((*parts, np.zeros(width + 8, np.uint8)))
+    starts = rng.permutation(len(text) - width - 8)[: int(rng.integers(1, 900))]
+    raw = text.tobytes()
+    want = sorted(range(len(starts)), key=lambda i: raw[starts[i] : starts[i] + width])
+    order, equal = suffixes.sorted_suffixes(text, starts, width)
+    suffix = lambda i: raw[starts[i] : starts[i] + width]
+    assert [suffix(i) for i in order.tolist()] == [suffix(i) for i in want]
+    same = [False] + [suffix(a) == suffix(b) for a, b in zip(want, want[1:], strict=False)]
+    assert equal.tolist() == same
+
+
+def test_ranks_are_made_before_and_settle_ties():
+    text = np.concatenate([np.tile(np.arange(50, dtype=np.uint8), 20), np.zeros(108, np.uint8)])
+    starts = np.arange(0, 900, 7)
+    ranks = suffixes.Ranks(text, starts, 100)
+    raw = text.tobytes()
+    for a, b in zip(starts.tolist(), starts[::-1].tolist(), strict=True):
+        if raw[a : a + 32] == raw[b : b + 32]:
+            x, y = raw[a : a + 100], raw[b : b + 100]
+            assert ranks.compare(np.array([a]), np.array([b]))[0] == (x > y) - (x < y)
+
+
+def test_hot_windows_are_settled_a_batch_at_a_time(monkeypatch):
+    """The earliest of equal windows stays whatever the order in which blocks come."""
+    rng = np.random.default_rng(2)
+    windows = [rng.integers(97, 99, 100, dtype=np.uint8).tobytes() for _ in range(5)]
+    windows.append(windows[0][:60] + b"!" + windows[0][61:])
+    rows = [(d, int(rng.integers(0, 6))) for d in rng.permutation(200).tolist()]
+    blobs = []
+    for d, w in rows:
+        r = np.zeros(1, suffixes._RECORD)
+        r["doc"], r["block"], r["windows"], r["hash"] = d, d, 1, w
+        blobs.append(suffixes._squeeze((1).to_bytes(8, "little") + r.tobytes() + windows[w]))
+    monkeypatch.setattr(suffixes, "SORT_BYTES", 1000)
+    gone = sorted(int(b) for blocks, _ in suffixes._settled_hot(blobs, 100) for b in blocks)
+    first = {w: min(d for d, x in rows if x == w) for w in range(6)}
+    assert gone == sorted(d for d, w in rows if d != first[w])
+
+
+def test_repeated_ids_have_one_order(spark):
+    """Rows of the same id are told apart by their texts, not by where the scan finds them."""
+    passage = "the same passage in several documents, well over a hundred bytes long so that it is removed from all but one of them. "
+    rows = [(7, passage + "one"), (7, passage + "two"), (7, passage + "three"), (None, passage), (7, passage + "one")]
+    found = [result(spark, [rows[i] for i in order]) if None not in [rows[i][0] for i in order] else None for order in ([0, 1, 2, 4], [4, 2, 1, 0], [1, 0, 4, 2])]
+    assert found[0] == found[1] == found[2] and sum(r[2] == 0 for r in found[0]) == 1
