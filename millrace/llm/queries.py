@@ -116,7 +116,7 @@ FROM r
 
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark), k=5, threshold=0.8)
 
 
 ORACLE_SQL["op6_decontaminate"] = rf"""
