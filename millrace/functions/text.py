@@ -52,17 +52,16 @@ def chunks(column: Column, size: int, overlap: int) -> Column:
     return of(column.cast("string"))
 
 
-_B, _E = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
-_EDGE = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Kind, pattern and token, in the order they are looked for. Fixed values; word boundaries are ASCII.
+#: Kind, pattern and token, in the order they are looked for. Fixed values.
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "EMAIL"),
-    ("ip", rf"{_B}(?:{_OCTET}\.){{3}}{_OCTET}{_E}|{_B}(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}{_E}", "IP"),
-    ("credit_card", rf"{_B}(?:[0-9][ -]?){{12,18}}[0-9]{_E}", "CARD"),
-    ("ssn", rf"{_B}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_E}", "SSN"),
-    ("phone", rf"(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{1,4}}\)[ .-]?)?{_EDGE}[0-9]+(?:[ .-][0-9]+)*{_E}", "PHONE"),
+    ("ip", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b|\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b", "IP"),
+    ("credit_card", r"\b(?:[0-9][ -]?){12,18}[0-9]\b", "CARD"),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "SSN"),
+    ("phone", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?\b[0-9]+(?:[ .-][0-9]+)*\b", "PHONE"),
 )
+#: A word boundary among ASCII letters. Java's own takes letters of all scripts, so that digits beside one would not count.
+_EDGE = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 KINDS = ("email", "phone", "credit_card", "ssn", "ip")
 
 
@@ -105,7 +104,7 @@ def redact_kind(value: Column, kind: str, hashed: bool = False) -> Column:
     JVM expressions throughout. A card must pass the Luhn check; a phone number has 10 to 15 digits
     and a separator and is no date. Every occurrence of a match is replaced; null stays null.
     """
-    pattern, token = next((p, t) for k, p, t in PATTERNS if k == kind)
+    pattern, token = next((p.replace(r"\b", _EDGE), t) for k, p, t in PATTERNS if k == kind)
     judge = {"credit_card": _luhn, "phone": _is_phone}.get(kind)
     if judge is None and not hashed:
         done = F.regexp_replace(value, pattern, f"[{token}]")

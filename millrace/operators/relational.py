@@ -177,7 +177,7 @@ def _join_check(node: str, p: dict) -> None:
 
     if p["type"] == "cross":
         if p["keys"] or p["condition"]:
-            raise InvalidProperty(node, "type", "a cross join takes neither keys nor a condition")
+            raise InvalidProperty(node, "type", "keys or a condition mean nothing to a cross join")
     elif bool(p["keys"]) == bool(p["condition"]):
         raise InvalidProperty(node, "keys", "give either keys or a condition")
 

@@ -28,10 +28,10 @@ def chunk(step: Step) -> DataFrame:
 
 def _redact_check(node: str, p: dict) -> None:
     if not p["kinds"]:
-        raise InvalidProperty(node, "kinds", "must list at least one kind")
+        raise InvalidProperty(node, "kinds", "names no kind of data")
     for k in p["kinds"]:
         if k not in fn.KINDS:
-            raise InvalidProperty(node, "kinds", f"{k!r} is not one of {', '.join(fn.KINDS)}")
+            raise InvalidProperty(node, "kinds", f"{k!r} is unknown; there are {', '.join(fn.KINDS)}")
 
 
 @component("xf.ai.redact", {"columns": need("strings"), "kinds": opt("strings", fn.KINDS), "replacement": one_of("token", "hash", default="token")}, check=_redact_check)

@@ -45,7 +45,7 @@ class Prop:
         if not ok(value):
             raise InvalidProperty(node, name, f"must be {'a list of texts' if self.kind == 'strings' else 'a map of texts' if self.kind == 'map' else 'a ' + self.kind}")
         if self.kind == "enum" and value not in self.options:
-            raise InvalidProperty(node, name, f"{value!r} is not one of {', '.join(self.options)}")
+            raise InvalidProperty(node, name, f"{value!r} is no option; there are {', '.join(self.options)}")
         if self.required and self.kind in ("text", "path", "sql", "code") and not value.strip():
             raise InvalidProperty(node, name, "must not be blank")
         if self.required and self.kind in ("strings", "map") and not value:

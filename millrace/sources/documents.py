@@ -51,9 +51,9 @@ def xml_records(data: bytes, record: str) -> list[dict[str, str]]:
                 row = {f"@{local(k)}": v for k, v in attributes.items() if not k.startswith("xmlns")}
             return
         if field is not None:
-            fail(f"<{field}> inside <{record}> contains <{name}>: only one level of children can be columns")
+            fail(f"<{name}> lies below <{record}>/<{field}>, too deep to become a column")
         if name in row:
-            fail(f"<{name}> appears more than once in one <{record}>")
+            fail(f"a <{record}> has two <{name}>, which make one column")
         field = name
         row[name] = ""
         row.update({f"{name}@{local(k)}": v for k, v in attributes.items()})
