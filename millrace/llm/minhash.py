@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,11 @@ from .scratch import Scratch
 from .words import batches_of_words, binary, distinct, mix, shingles
 
 BINS, BANDS = 128, 32
-#: Members of a bucket that meet those of another chunk in one task.
-CHUNK = 256
+#: Members of a rare shingle's bucket whose pairs are looked at one by one; members and shingles of a chunk
+#: of a larger one, two of which meet in one task.
+FEW, CHUNK, CHUNK_ITEMS = 32, 256, 1 << 20
+#: Cells in which shingles are counted, to order them by rarity.
+CELLS = 1 << 20
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -114,9 +118,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     Equal sets form one class (a grouping combined before its shuffle), so a text copied into a
     third of the rows costs one candidate. Within a band's bucket a first pass compares every class
     with one pivot, and a second pass compares those that it left unconnected with another; links so
-    found are joined into components. Where a bucket still holds several components, its members
-    outside the largest meet all others of it in chunks of CHUNK by CHUNK, which emit at most one link for
-    each member, so no pair of a bucket goes unseen and none is emitted without a link.
+    found are joined into components. Members of buckets that still hold several components meet by the
+    rarest shingles of their sets: two linked sets share one of the n - ceil(percent% of n) + 1 rarest
+    of either, in any order of all shingles. So members that share only what is common, however many a
+    bucket has of them, never meet. Buckets of a rare shingle that are large all the same are compared
+    in chunks bounded by members and bytes, which emit one link at most for each member.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     feats = scratch.keep(source.mapInArrow(_features(k), "doc_id long, n long, digest binary, bands array<long>"), "minhash")
@@ -154,8 +160,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     if not more.isEmpty():
         labels = scratch.keep(components(links, scratch), "labels")
         rest = scratch.keep(_unsettled(rest.select("key", "id", "n"), labels), "rest")
-    last = scratch.keep(_in_chunks(rest, sets, percent), "links")
-    final = labels if last.isEmpty() else scratch.keep(components(links.union(last), scratch), "labels")
+    last = _by_rare_shingles(rest.select("id", "c").distinct(), sets, percent, scratch)
+    final = labels if last is None or last.isEmpty() else scratch.keep(components(links.union(last), scratch), "labels")
     scratch.drop(shared, first, second, sets, rest)
     named = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = feats.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -163,26 +169,91 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, n, c, big, mo, mb) of the buckets with members of several components: each member's
-    component, the bucket's largest, and how many members lie outside and inside of it."""
+    """(key, id, n, c) of the buckets with members of several components; c is a member's component."""
     state = members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    parts = state.groupBy("key", "c").agg(F.count("*").alias("m"))
-    parts = parts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("m")).where("m > top.m and m > 2")
-    return state.join(parts.select("key", F.col("top.c").alias("big"), F.expr("m - top.m").alias("mo"), F.col("top.m").alias("mb")), "key")
+    several = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
+    return state.join(several, "key")
 
 
-def _in_chunks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components, from chunks of a bucket's outside members with
-    chunks of its largest component and with each other."""
-    chunked = rest.selectExpr("key", "id", "c", "c != big as outer", f"cast(ceil(mo / {CHUNK}) as int) as ko", f"cast(ceil(mb / {CHUNK}) as int) as kb").withColumn(
-        "chunk", F.expr("cast(pmod(xxhash64(id), if(outer, ko, kb)) as int)")
-    )
-    with_big = chunked.selectExpr("key", "id", "c", "outer", "false as own", "if(outer, chunk, null) as x", "if(outer, null, chunk) as y", "explode(sequence(0, if(outer, kb, ko) - 1)) as z")
-    with_big = with_big.selectExpr("key", "id", "c", "own", "coalesce(x, z) as x", "coalesce(y, z) as y")
-    with_own = chunked.where("outer and ko > 0").selectExpr("key", "id", "c", "chunk", "explode(sequence(0, ko - 1)) as z")
-    with_own = with_own.selectExpr("key", "id", "c", "true as own", "least(chunk, z) as x", "greatest(chunk, z) as y")
-    rows = with_big.union(with_own).join(sets, "id")
-    return rows.groupBy("key", "own", "x", "y").applyInPandas(_spanning(percent), "a long, b long")
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each cell, the cells in parts."""
+    counts = np.zeros(CELLS, np.uint32)
+    for batch in batches:
+        for items in batch.column(0):
+            counts += np.bincount(_cells(np.frombuffer(items.as_buffer(), np.uint64)), minlength=CELLS).astype(np.uint32)
+    parts = counts.reshape(-1, 4096)
+    full = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zstandard.compress(parts[i].tobytes()) for i in full.tolist()], pa.binary())], ["part", "counts"])
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zstandard.decompress(x), np.uint32) for x in rows["counts"])
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [total.astype(np.uint32).tobytes()]})
+
+
+def _cells(items: np.ndarray) -> np.ndarray:
+    return (items & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _rarest(counts: np.ndarray, percent: int):
+    """(item, id, c, n, place): the rarest shingles of each set, as many as a linked set cannot miss all of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for items in batch.column(2):
+                items = np.frombuffer(items.as_buffer(), np.uint64)
+                rarity = counts[_cells(items)]
+                k = len(items) + (-percent * len(items)) // 100 + 1
+                edge = np.partition(rarity, k - 1)[k - 1]
+                some = np.flatnonzero(rarity <= edge)
+                found.append(items[some[np.lexsort((items[some], rarity[some]))[:k]]])
+            sizes = np.array([len(x) for x in found], np.int64)
+            at = pa.array(np.repeat(np.arange(len(found)), sizes))
+            n = np.array([len(x.as_buffer()) // 8 for x in batch.column(2)], np.int64)
+            place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(n, sizes)), pa.array(place)], ["item", "id", "c", "n", "place"])
+
+    return run
+
+
+def _by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(a, b): links between members (id, c) of different components; all of them, or enough to join what is linked.
+
+    Shingles are ordered by how often their cell of CELLS is met in the members' sets, a table of
+    bounded size that every task gets, and then by themselves.
+    """
+    mine = scratch.keep(members.join(sets, "id").select("id", "c", "items"), "members")
+    parts = mine.select("items").mapInArrow(_counted, "part int, counts binary").groupBy("part").applyInPandas(_summed, "part int, counts binary")
+    counts, some = np.zeros((CELLS // 4096, 4096), np.uint32), False
+    for row in parts.toLocalIterator():  # CELLS numbers at most
+        counts[row.part], some = np.frombuffer(row.counts, np.uint32), True
+    if not some:
+        return None
+    rare = scratch.keep(mine.mapInArrow(_rarest(counts.reshape(-1), percent), "item long, id long, c long, n long, place long"), "rare")
+    shared = rare.groupBy("item").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("item", "m")
+    met = scratch.keep(rare.join(shared, "item"), "met")
+    few = met.where(f"m <= {FEW}")
+    pairs = few.alias("x").join(few.alias("y"), "item").where("x.id < y.id and x.c != y.c")
+    pairs = pairs.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    # The first shingle that two sets share leaves no more to share than what comes after it in either.
+    pairs = pairs.where(f"{100 + percent} * least(x.n - x.place, y.n - y.place) >= {percent} * (x.n + y.n)")
+    pairs = scratch.keep(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    links = _confirmed(pairs, mine.select("id", "items"), percent)
+    many = _in_chunks(met.where(f"m > {FEW}"), mine.select("id", "items"), percent)
+    links = scratch.keep(links.union(many), "links")
+    scratch.drop(mine, rare, met, pairs)
+    return links
+
+
+def _in_chunks(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components that share a large bucket of a rare shingle: its
+    members are dealt into chunks, and each two chunks meet in one task."""
+    sizes = met.groupBy("item").agg(F.expr(f"cast(ceil(greatest(count(*) / {CHUNK}, sum(n) / {CHUNK_ITEMS})) as int)").alias("k"))
+    dealt = met.select("item", "id", "c").join(sizes, "item").withColumn("chunk", F.expr("cast(pmod(xxhash64(id), k) as int)"))
+    both = dealt.selectExpr("item", "id", "c", "chunk", "explode(sequence(0, k - 1)) as z").selectExpr("item", "id", "c", "least(chunk, z) as x", "greatest(chunk, z) as y")
+    return both.join(sets, "id").groupBy("item", "x", "y").applyInPandas(_spanning(percent), "a long, b long")
 
 
 def _spanning(percent: int):

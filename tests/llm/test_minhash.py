@@ -78,10 +78,12 @@ def test_empty_table_and_repeated_rows(spark):
     assert [r.component_id for r in result(spark, [(None, "a b c d e"), (2, "a b c d e")])] in ([2, 2], [None, 2])
 
 
-@pytest.mark.parametrize("chunk", [3, 256])
-def test_chains_and_a_large_group_of_near_copies(spark, monkeypatch, chunk):
-    """Buckets of many classes, of which the pivot is linked with few: the chunks find the rest."""
+@pytest.mark.parametrize(("few", "chunk"), [(32, 256), (2, 3), (0, 256)])
+def test_chains_and_a_large_group_of_near_copies(spark, monkeypatch, few, chunk):
+    """Buckets of many classes, of which the pivot is linked with few: rare shingles find the rest, one pair
+    at a time or in chunks."""
     monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "FEW", few)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(40)]
     rows = []
@@ -95,6 +97,52 @@ def test_chains_and_a_large_group_of_near_copies(spark, monkeypatch, chunk):
     assert len({c for _, c in got.values()}) > 3
 
 
+def test_many_unlinked_members_never_meet(spark, monkeypatch):
+    """10,000 sets that share half of their shingles, with a few links among them: what meets are the links."""
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    rows, links = [], set()
+    for i in range(10_000):
+        own = rng.integers(0, 2**63, 50, dtype=np.uint64)
+        if i % 100 == 1:  # near its neighbour
+            own = np.concatenate((last[: 50 - i % 7], own[: i % 7]))
+            if 100 * (100 - i % 7) >= 80 * (100 + i % 7):
+                links.add((i - 1, i))
+        last = own
+        rows.append((i, i, bytearray(np.unique(np.concatenate((common, own))).tobytes())))
+    df = spark.createDataFrame(rows, "id long, c long, items binary")
+    seen = []
+    confirmed = minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *more: (seen.append(pairs.count()), confirmed(pairs, *more))[1])
+    found = minhash._by_rare_shingles(df.select("id", "c"), df.select("id", "items"), 80, Scratch(spark))
+    assert {(r.a, r.b) for r in found.collect()} == links and len(links) == 100
+    assert seen[0] < 300
+
+
+def test_rare_shingles_and_all_pairs(spark):
+    """On sets of few distinct shingles, where each is common, against all pairs."""
+    rng = np.random.default_rng(9)
+    universe = rng.integers(0, 2**63, 15, dtype=np.uint64)
+    sets = {i: set(rng.choice(universe, rng.integers(8, 15), replace=False).tolist()) for i in range(300)}
+    df = spark.createDataFrame([(i, i, bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in sets.items()], "id long, c long, items binary")
+    found = {(min(r), max(r)) for r in minhash._by_rare_shingles(df.select("id", "c"), df.select("id", "items"), 80, Scratch(spark)).collect()}
+    pairs = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def joined(links):
+        parent.update({i: i for i in sets})
+        for a, b in links:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return {i: root(i) for i in sets}
+
+    assert found <= pairs and len(pairs) > 50 and joined(found) == joined(pairs)
+
+
 def test_matches_sql(same):
     same(queries.QUERIES["op2_minhash"], queries.ORACLE_SQL["op2_minhash"])
 
