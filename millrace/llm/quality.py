@@ -1,10 +1,9 @@
 """Quality scores from compression: which labelled text helps more to compress a document.
 
 Two zstandard dictionaries are built, from text labelled good and from text labelled bad. A document
-is compressed with each; the difference of its two compressed sizes, over their sum, goes through a
-logistic curve fitted on labelled documents that neither dictionary has seen. The curve also knows
-the share of its length that the document keeps when compressed: text that repeats itself without
-end compresses alike, and almost to nothing, with either dictionary.
+is compressed with each; the difference of its two compressed sizes goes through a logistic curve fitted
+on labelled documents that neither dictionary has seen. The difference is normalised by the root of the
+text's length: it is a sum over the text's pieces, whose deviation grows as the root of their number.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ from .samples import bounded, fold, gathered
 from .words import binary
 
 DICT_BYTES, LEVEL, PIECE = 64 << 10, 3, 2048
+#: Added to a text's length, as a frame has a size of its own.
+SHORT = 50
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
@@ -40,42 +41,41 @@ class Sizes:
     def __init__(self, good: bytes, bad: bytes):
         self.by = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_checksum=False, write_dict_id=False) if x else zstandard.ZstdCompressor(level=LEVEL) for x in (good, bad)]
 
-    def measures(self, text: bytes) -> tuple[float, float]:
-        """(bad - good) / (bad + good), positive where the good dictionary helps more, and the
-        logarithm of the mean compressed share of the length."""
+    def difference(self, text: bytes) -> float:
+        """bad - good over the root of the length (and SHORT bytes), positive where the good dictionary helps more."""
         good, bad = (len(c.compress(text)) for c in self.by)
-        return (bad - good) / (bad + good), math.log((good + bad) / (2 * len(text) + 32))
+        return (bad - good) / math.sqrt(len(text) + SHORT)
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    slopes: tuple[float, float]
+    slope: float
     offset: float
 
     def score(self, sizes: Sizes, text: bytes) -> float:
-        a, b = sizes.measures(text)
-        return 1 / (1 + math.exp(-min(max(self.slopes[0] * a + self.slopes[1] * b + self.offset, -30), 30)))
+        return 1 / (1 + math.exp(-min(max(self.slope * sizes.difference(text) + self.offset, -30), 30)))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], float]:
-    """Slopes and offset of a logistic regression, by Newton steps, with Platt's targets."""
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic regression, by Newton steps, with Platt's targets."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    rows = np.concatenate((x, np.ones((len(x), 1))), axis=1)
-    w = np.zeros(3)
+    rows = np.stack((x, np.ones(len(x))), axis=1)
+    w = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        step = np.linalg.solve(rows.T @ (rows * (p * (1 - p))[:, None]) + 1e-6 * np.eye(3), rows.T @ (target - p) - 1e-6 * w)
+        step = np.linalg.solve(rows.T @ (rows * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), rows.T @ (target - p) - 1e-6 * w)
         w += np.clip(step, -20, 20)
         if np.abs(step).max() < 1e-9:
             break
-    return (float(w[0]), float(w[1])), float(w[2])
+    return float(w[0]), float(w[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_bytes: int = 48 << 20, folds: int = 5, held: int = 0) -> Model:
-    """A model from about per_label documents of either label, no more than max_bytes of text.
+    """A model from about per_label documents of either label, no more than max_bytes of text, in order
+    of a hash of the document.
 
     Only rows whose fold is not `held` are learned from. Rows of null quality or doc_id teach
     nothing; a document labelled twice is taken with both labels. Without labels, or with one label
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_bytes: in
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * per_label rows of two numbers
     text: dict[tuple[int, bool], list[bytes]] = {(q, part): [] for q in (0, 1) for part in (False, True)}
     size = 0
-    for row in gathered(rows.select("doc_id", "quality", "text").where("text is not null"), "labelled"):
+    for row in gathered(rows.select("doc_id", "quality", "text").where("text is not null"), "labelled", F.xxhash64("doc_id", "text"), "doc_id", "quality"):
         raw = row[2].encode()
         if size + len(raw) <= max_bytes:
             text[row[1], zlib.crc32(f"{row[0]}:part".encode()) % 3 == 0].append(raw)
@@ -100,8 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_bytes: in
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(good, bad, (0.0, 0.0), float(np.log(share / (1 - share))))
-    x = np.array([sizes.measures(t) for q in (0, 1) for t in text[q, True]])
+        return Model(good, bad, 0.0, float(np.log(share / (1 - share))))
+    x = np.array([sizes.difference(t) for q in (0, 1) for t in text[q, True]])
     return Model(good, bad, *_curve(x, y))
 
 

@@ -30,13 +30,13 @@ def bounded(rows: DataFrame, label: str, key: str, per_label: int, labels: int |
     return given.join(F.broadcast(rates), label).where(draw < F.col("rate_")).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
-def gathered(rows: DataFrame, name: str) -> Iterator[Row]:
-    """A bounded sample's rows on the driver, a partition at a time.
+def gathered(rows: DataFrame, name: str, *order: Column | str) -> Iterator[Row]:
+    """A bounded sample's rows on the driver, a partition at a time, in an order if one is given.
 
     They are written first: all tasks look for them at once, and what is then read one after another
     is a few small files.
     """
     scratch = Scratch(rows.sparkSession)
     kept = scratch.keep(rows, name)
-    yield from kept.toLocalIterator()
+    yield from (kept.orderBy(*order) if order else kept).toLocalIterator()
     scratch.drop(kept)
