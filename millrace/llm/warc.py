@@ -1,6 +1,6 @@
 """Web archives (WARC 1.1) as a Spark data source, for reading and writing.
 
-Reading plans whole files into partitions of about PARTITION_BYTES. A record's header is parsed
+Reading plans whole files into partitions of about PARTITION_BYTES, and writing begins a new file there. A record's header is parsed
 first; predicates on the record type and the other header columns are pushed down and decided
 there. The payload of a record is only decompressed if the record is wanted and the schema asks for
 a payload column: otherwise the reader seeks to the next record, by Content-Length in plain files
@@ -81,6 +81,13 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
+def _length(headers: dict[str, str]) -> int:
+    text = headers.get("content-length", "")
+    if not text.isdecimal():
+        raise ValueError(f"a WARC record has no valid Content-Length: {text!r}")
+    return int(text)
+
+
 class _Record:
     """One record: its header, and its block when asked for."""
 
@@ -105,7 +112,7 @@ def _plain_records(file: BinaryIO) -> Iterator[_Record]:
             head += more
         lead = len(head[:end]) - len(head[:end].lstrip(b"\r\n"))
         headers = _headers(head[lead:end])
-        start, length = at + end + 4, int(headers["content-length"])
+        start, length = at + end + 4, _length(headers)
 
         def block(start: int = start, length: int = length) -> bytes:
             file.seek(start)
@@ -131,53 +138,61 @@ def _member_size(start: bytes) -> int | None:
     return None
 
 
+class _Inflating:
+    """A gzip member from its start: what it holds, piece by piece, and where it ends."""
+
+    def __init__(self, file: BinaryIO, at: int):
+        file.seek(at)
+        self.file, self.at, self.fed, self.rest, self.inflate = file, at, 0, b"", zlib.decompressobj(31)
+
+    def read(self) -> bytes:
+        """The next piece, of 64 KiB at most; empty at the end."""
+        while not self.inflate.eof:
+            data = self.rest or self.file.read(1 << 14)
+            if not data:
+                raise ValueError("a gzip member ends early")
+            self.fed += 0 if self.rest else len(data)
+            out = self.inflate.decompress(data, 1 << 16)
+            self.rest = self.inflate.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+    def end(self) -> int:
+        while self.read():
+            pass
+        return self.at + self.fed - len(self.inflate.unused_data)
+
+
 def _gzip_records(file: BinaryIO) -> Iterator[_Record]:
+    """The records of a file of gzip members. A member is inflated once: as far as its header, further if
+    the block is asked for, and to its end, with nothing kept, if it does not tell its length."""
     size, at = file.size(), 0
     while at < size:
         file.seek(at)
-        raw = file.read(4096)
-        member = _member_size(raw)
-        inflate = zlib.decompressobj(31)
-        plain = inflate.decompress(raw, 65536)
+        member = _member_size(file.read(4096))
+        source = _Inflating(file, at)
+        plain = b""
         while b"\r\n\r\n" not in plain:
-            more = inflate.unconsumed_tail or file.read(4096)
+            more = source.read()
             if not more:
                 raise ValueError("a WARC header has no end")
-            plain += inflate.decompress(more, 65536)
+            plain += more
         end = plain.find(b"\r\n\r\n")
         headers = _headers(plain[:end])
-        length, got = int(headers["content-length"]), plain[end + 4 :]
 
-        def block(inflate=inflate, got=got, length=length) -> bytes:
-            parts, n, tail = [got], len(got), inflate.unconsumed_tail
+        def block(source=source, got=plain[end + 4 :], length=_length(headers)) -> bytes:
+            parts, n = [got], len(got)
             while n < length:
-                piece = inflate.decompress(tail or file.read(1 << 16))
-                tail = b""
-                if not piece and inflate.eof:
+                piece = source.read()
+                if not piece:
                     raise ValueError("a WARC record ends early")
                 parts.append(piece)
                 n += len(piece)
             return b"".join(parts)[:length]
 
-        record = _Record(headers, block)
-        if member is not None:
-            yield record
-            at += member
-            continue
-        # Without the length the member has to be inflated to its end, but nothing of it is kept.
-        body: list[bytes] = []
-        record._block = lambda: body[0]
-        body.append(block())
-        yield record
-        file.seek(at)
-        skip, used = zlib.decompressobj(31), 0
-        while not skip.eof:
-            piece = file.read(1 << 16)
-            if not piece:
-                return
-            skip.decompress(piece)
-            used += len(piece) - len(skip.unused_data)
-        at += used
+        yield _Record(headers, block)
+        at = at + member if member is not None else source.end()
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, dict[str, str]]:
@@ -322,7 +337,7 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.compressed = options.get("compression", "gzip") != "none"
-        self.file_bytes = int(options.get("filebytes", 1 << 30))
+        self.file_bytes = int(options.get("filebytes", PARTITION_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         files, root = _file_system(self.path)

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,62 @@ def test_members_without_lengths(tmp_path):
     assert got == [(f"<{i}>", bytes([65 + i]) * 100000) for i in range(3)]
 
 
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, path):
+        self.file, self.n = open(path, "rb"), 0
+        self.length = self.file.seek(0, 2)
+
+    def size(self):
+        return self.length
+
+    def seek(self, at):
+        self.file.seek(at)
+
+    def read(self, n):
+        data = self.file.read(n)
+        self.n += len(data)
+        return data
+
+
+def test_members_without_lengths_are_inflated_once(tmp_path, monkeypatch):
+    """As in most archives: nothing of an unwanted block is kept, and no byte is inflated twice."""
+    noise = random.Random(3).randbytes(400_000)
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(gzip.compress(warc.encode_record({"record_type": "response", "record_id": f"<{i}>", "payload": noise, "payload_digest": "00" * 20})) for i in range(4)))
+    file, pieces = Counted(path), []
+    read = warc._Inflating.read
+    monkeypatch.setattr(warc._Inflating, "read", lambda self: (pieces.append(x := read(self)), x)[1])
+    got = []
+    for r in warc._gzip_records(file):
+        got.append(len(warc.payload_of(r.headers, r.block())[0]) if r.headers["warc-record-id"] == "<2>" else None)
+    assert got == [None, None, 400_000, None]
+    assert sum(map(len, pieces)) < 4 * 401_000 and max(map(len, pieces)) <= 1 << 16
+    assert file.n < 1.1 * file.length
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+@pytest.mark.parametrize("length", ["", "Content-Length: -1\r\n", "Content-Length: many\r\n"])
+def test_a_record_without_a_length_is_an_error(tmp_path, compressed, length):
+    from pyarrow import fs
+
+    data = f"WARC/1.1\r\nWARC-Type: resource\r\n{length}\r\nblock\r\n\r\n".encode()
+    path = tmp_path / "x.warc"
+    path.write_bytes(gzip.compress(data) if compressed else data)
+    with fs.LocalFileSystem().open_input_file(str(path)) as f, pytest.raises(ValueError, match="Content-Length"):
+        list((warc._gzip_records if compressed else warc._plain_records)(f))
+
+
+def test_a_cut_archive_is_an_error(tmp_path):
+    from pyarrow import fs
+
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(gzip.compress(warc.encode_record({"record_type": "response", "payload": b"abc" * 9999, "payload_digest": "00" * 20}))[:-30])
+    with fs.LocalFileSystem().open_input_file(str(path)) as f, pytest.raises(ValueError, match="ends early"):
+        list(warc._gzip_records(f))
+
+
 def test_files_are_grouped_into_partitions(written):
     reader, path = written("g", fileBytes="1")
     assert reader.option("partitionBytes", "1").load(path).rdd.getNumPartitions() == 4
