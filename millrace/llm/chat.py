@@ -94,7 +94,8 @@ def render(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     control string but the template's own is left, and unescape() gives them back. Null roles and
     texts are empty. loss_turns tells for each turn whether it is under the loss mask; loss_spans
     gives the masked characters of `formatted` as (start from 0, length): the escaped text of each
-    turn of loss_role, without markers.
+    turn of loss_role, without markers. A path is one row, so all of it, escaped, has to fit a string
+    of Spark (2 GB) and its turns one task; a longer conversation is an error.
     """
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     parts = turns.select("tree", "leaf", "rank", "position", F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"), F.concat(F.lit(OPEN), F.replace(role, F.lit("\n"), F.lit("&#10;")), F.lit("\n")).alias("head"), text.alias("body"))
@@ -109,6 +110,11 @@ def render(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
 
 
+def masked(formatted: str, spans: str) -> Column:
+    """The text of a conversation under its loss mask: the characters of the spans, unescaped, one after another."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(F.col(formatted), s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+
+
 def parse(formatted: DataFrame) -> DataFrame:
     """(tree, leaf, position, role, text, loss) of each turn, read from `formatted` alone; `loss` is
     the turn's place in loss_turns."""

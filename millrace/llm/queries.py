@@ -190,16 +190,14 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     scratch = Scratch(spark)
     done = scratch.keep(chat.render(chat.paths(chat.chains(rows), scratch, best=1)), "formatted")
-    turn = F.struct("position", "role", "text", "loss")
+    turn = F.struct("position", "role", "text")
     back = chat.parse(done).groupBy("tree").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     back = back.select(
         F.col("tree").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        said.alias("said"),
     )
-    sizes = done.select("tree", F.length("formatted").cast("long").alias("formatted_chars"))
+    sizes = done.select("tree", chat.masked("formatted", "loss_spans").alias("said"), F.length("formatted").cast("long").alias("formatted_chars"))
     both = back.join(sizes, back["conv_id"].eqNullSafe(sizes["tree"]))
     return both.select("conv_id", "n_turns", "turns_sha256", F.length("said").cast("long").alias("loss_chars"), F.sha2("said", 256).alias("loss_sha256"), "formatted_chars")
 
