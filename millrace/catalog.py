@@ -244,7 +244,7 @@ def _swapped(name: str, source: str, token: str) -> str:
 add(
     "redact_tokens",
     [_DOCS, ("r", "xf.ai.redact", {"columns": ["text"]}), ("s", "xf.select", {"columns": ["doc_id", "text"]})],
-    f"""WITH RECURSIVE net AS (
+    rf"""WITH RECURSIVE net AS (
       SELECT doc_id, regexp_replace(regexp_replace(text, '{_SHAPES["email"]}', '[EMAIL]', 'g'), '{_SHAPES["ip"]}', '[IP]', 'g') AS t FROM documents
     ), numbers AS (
       SELECT doc_id, k, m, reverse(regexp_replace(m, '\D', '', 'g')) AS d
