@@ -5,15 +5,20 @@ Each is a pipeline document; what it returns is the DataFrame of one of its node
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import catalog_remote
 from .functions.text import PATTERNS
 from .model import pipeline
-from .plans.run import frames, run
-from .storage import new_path
+from .plans.compile import compile_pipeline
+from .plans.lineage import lineage
+from .plans.run import frames, preview, run
+from .storage import list_files, new_path, replace_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -154,6 +159,27 @@ add(
     [EVENTS, ("d", "xf.derive", {"expressions": "nullif(event_type, 'view') AS kind"}), ("w", "xf.window", {"expression": "lag(kind IGNORE NULLS)", "output_column": "before", "partition_by": ["user_id"], "order_by": "ts, event_id"})],
     "SELECT *, lag(kind IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (SELECT *, nullif(event_type, 'view') AS kind FROM events)",
 )
+add(
+    "aggregate_statistics",
+    [LINEITEM, ("a", "xf.aggregate", {"aggregations": "quantile_cont(l_quantity, 0.25) AS low, median(l_quantity) AS middle, quantile_disc(l_quantity, 0.9) AS high, mode(l_linestatus) AS usual, list_sort(list(DISTINCT l_returnflag)) AS flags, string_agg(DISTINCT l_returnflag, '') AS joined, arg_min(l_shipdate, l_orderkey * 10 + l_linenumber) AS first_ship, bool_or(l_tax > 0.07) AS taxed, round(stddev_samp(l_quantity), 6) AS spread", "group_by": ["l_linenumber"]}), ("s", "xf.sql", {"query": "SELECT l_linenumber, low, middle, high, cardinality(flags) AS flags, length(joined) AS joined, taxed, spread FROM a"})],
+    "SELECT l_linenumber, quantile_cont(l_quantity, 0.25) AS low, median(l_quantity) AS middle, quantile_disc(l_quantity, 0.9) AS high, count(DISTINCT l_returnflag)::INTEGER AS flags, length(string_agg(DISTINCT l_returnflag, ''))::INTEGER AS joined, bool_or(l_tax > 0.07) AS taxed, round(stddev_samp(l_quantity), 6) AS spread FROM lineitem GROUP BY l_linenumber",
+)
+for name, sets in (("rollup", "ROLLUP (l_returnflag, l_linestatus)"), ("cube", "CUBE (l_returnflag, l_linestatus)"), ("grouping_sets", "GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())")):
+    _SETS = f"SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS whole, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY {sets}"
+    add(name, [LINEITEM, ("q", "xf.sql", {"query": _SETS})], _SETS.replace("grouping(l_returnflag)", "grouping(l_returnflag)::TINYINT"))
+for name, call, order in (
+    ("window_ntile", "ntile(4)", "o_totalprice, o_orderkey"),
+    ("window_percent_rank", "percent_rank()", "o_totalprice, o_orderkey"),
+    ("window_first_value", "first_value(o_orderkey)", "o_totalprice DESC, o_orderkey"),
+    ("window_nth_value", "nth_value(o_orderkey, 2)", "o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"),
+    ("window_moving_max", "max(o_totalprice)", "o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING"),
+    ("window_lead", "lead(o_orderkey, 1, -1)", "o_orderdate, o_orderkey"),
+):
+    add(
+        name,
+        [ORDERS, ("w", "xf.window", {"expression": call, "output_column": "seen", "partition_by": ["o_custkey"], "order_by": order}), ("s", "xf.select", {"columns": ["o_orderkey", "seen"]})],
+        f"SELECT o_orderkey, {call} OVER (PARTITION BY o_custkey ORDER BY {order}) AS seen FROM orders".replace("ntile(4) OVER", "(ntile(4) OVER").replace("ORDER BY o_totalprice, o_orderkey) AS seen", "ORDER BY o_totalprice, o_orderkey))::INTEGER AS seen" if name == "window_ntile" else "ORDER BY o_totalprice, o_orderkey) AS seen"),
+    )
 _KINDS = ["click", "error", "purchase", "signup", "view"]
 add(
     "pivot",
@@ -337,3 +363,53 @@ QUERIES["run_report"] = _reported
 ORACLE_SQL["run_report"] = """
 SELECT stage, 'in' AS port, count(*) AS rows FROM (SELECT CASE WHEN regexp_matches(o_orderpriority, '^[12]-') THEN 'out' ELSE 'rest' END AS stage FROM orders WHERE o_totalprice > 100000) GROUP BY stage
 """
+
+
+def _previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a preview of a node shows, with no sink run."""
+    steps = [("nation", "src.file.parquet", {"path": f"{sf_dir}/nation.parquet"}), ("f", "xf.filter", {"predicate": "n_regionkey = 2"}), ("out", "snk.file.parquet", {"path": new_path(spark, "previewed")})]
+    rows, columns, _ = preview(spark, pipeline(*steps, name="previewed"), "f")
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], "n_nationkey int, n_name string, n_regionkey int")
+
+
+def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of a pipeline and what it reads and writes outside."""
+    steps = [("nation", "src.file.parquet", {"path": "nation.parquet"}), ("check", "qa.not_null", {"columns": ["n_name"]}), ("out", "snk.file.parquet", {"path": "out"}), ("rest", "snk.file.csv", {"path": "rest"}, "check.rejected")]
+    found = lineage(compile_pipeline(pipeline(*steps, name="lineage")))
+    edges = [(e["source"], e["output"], e["target"]) for e in found["edges"]]
+    outside = [(x["path"], x["direction"], x["node"]) for x in found["external"]]
+    return spark.createDataFrame([*edges, *outside], "origin string, kind string, target string")
+
+
+def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a Delta table of three commits (parts added, one of them rewritten), read from its log."""
+    root = new_path(spark, "delta")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    fields = orders.schema.jsonValue()
+    commits: list[list[dict[str, Any]]] = [[{"metaData": {"id": "orders", "schemaString": json.dumps(fields), "partitionColumns": ["o_orderstatus"]}}], [], []]
+
+    def put(commit: int, rows: DataFrame, status: str, part: str) -> list[str]:
+        rows.where(F.col("o_orderstatus") == status).drop("o_orderstatus").write.parquet(f"{root}/{part}")
+        paths = [f"{part}/{x.rsplit('/', 1)[-1]}" for x in list_files(spark, f"{root}/{part}/part-*")]
+        commits[commit] += [{"add": {"path": p, "partitionValues": {"o_orderstatus": status}, "size": 1, "dataChange": True}} for p in paths]
+        return paths
+
+    for status in ("F", "O"):
+        old = put(0, orders, status, f"first-{status}")
+    put(1, orders, "P", "second")
+    commits[2] += [{"remove": {"path": p}} for p in old]  # open orders again, without the cheap ones
+    put(2, orders.where("o_totalprice > 50000"), "O", "third")
+    for i, actions in enumerate(commits):
+        made = new_path(spark, "commit")
+        spark.createDataFrame([(json.dumps(a),) for a in actions], "value string").coalesce(1).write.text(made)
+        replace_file(spark, list_files(spark, f"{made}/part-*")[0], f"{root}/_delta_log/{i:020d}.json")
+    return frames(spark, pipeline(("back", "src.lake.delta", {"path": root}), name="delta"))["back"]
+
+
+QUERIES |= {"preview": _previewed, "lineage": _lineage, "delta_log": _delta, **catalog_remote.QUERIES}
+ORACLE_SQL |= {
+    "preview": "SELECT * FROM nation WHERE n_regionkey = 2",
+    "lineage": "SELECT * FROM (VALUES ('nation', 'main', 'check'), ('check', 'main', 'out'), ('check', 'rejected', 'rest'), ('nation.parquet', 'reads', 'nation'), ('out', 'writes', 'out'), ('rest', 'writes', 'rest')) AS t(origin, kind, target)",
+    "delta_log": "SELECT * FROM orders WHERE o_orderstatus <> 'O' OR o_totalprice > 50000",
+    **catalog_remote.ORACLE_SQL,
+}
