@@ -97,8 +97,13 @@ add("dedup_text_descending", [PART, ("d", "xf.dedup", {"keys": ["p_brand"], "ord
 add("sort_limit", [ORDERS, ("s", "xf.sort", {"by": "o_totalprice DESC, o_orderkey"}), ("l", "xf.limit", {"count": 100, "offset": 10})], "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 10")
 add(
     "sort_nulls_last",
-    [EVENTS, ("d", "xf.derive", {"expressions": "nullif(user_id % 5, 0) AS g"}), ("w", "xf.window", {"expression": "row_number()", "output_column": "place", "order_by": "g, event_id"}), ("f", "xf.filter", {"predicate": "place > 100"})],
-    "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY g NULLS LAST, event_id) AS place FROM (SELECT *, nullif(user_id % 5, 0) AS g FROM events)) WHERE place > 100",
+    [EVENTS, ("d", "xf.derive", {"expressions": "nullif(user_id % 5, 0) AS g"}), ("s", "xf.sort", {"by": "g, event_id"}), ("l", "xf.limit", {"count": 1000000, "offset": 100})],
+    "SELECT * FROM (SELECT *, nullif(user_id % 5, 0) AS g FROM events) ORDER BY g NULLS LAST, event_id OFFSET 100",
+)
+add(
+    "sort_nulls_first_descending",
+    [EVENTS, ("d", "xf.derive", {"expressions": "nullif(user_id % 5, 0) AS g"}), ("s", "xf.sort", {"by": "g DESC NULLS FIRST, event_id DESC"}), ("l", "xf.limit", {"count": 500})],
+    "SELECT * FROM (SELECT *, nullif(user_id % 5, 0) AS g FROM events) ORDER BY g DESC NULLS FIRST, event_id DESC LIMIT 500",
 )
 for how in ("inner", "left", "right", "full"):
     add(

@@ -191,9 +191,9 @@ def write_jsonl(step: Step):
     return lambda df: deliver(step, plain_times(df), lambda d, p: d.write.mode("overwrite").option("ignoreNullFields", False).json(p))
 
 
-@component("snk.file.json", _SINK)
+@component("snk.file.json", {k: v for k, v in _SINK.items() if k != "layout"})
 def write_json(step: Step):
-    """A file with one JSON array of objects."""
+    """A file with one JSON array of objects, which one task writes; snk.file.jsonl writes folders."""
 
     def write(df: DataFrame, path: str) -> None:
         lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))

@@ -19,6 +19,10 @@ from ..registry import Step, component, need, opt
 from ..storage import exists, list_files, read_text
 
 
+#: Reader features of Delta under which a table's files read as they are. Deletion vectors and column mapping are looked for by themselves.
+_DELTA_FEATURES = {"deletionVectors", "columnMapping", "timestampNtz", "vacuumProtocolCheck"}
+
+
 def has_format(spark: SparkSession, name: str) -> bool:
     try:
         spark.read.format(name)
@@ -43,7 +47,7 @@ def delta_files(spark: SparkSession, root: str, version: int | None = None) -> t
         raise FileNotFoundError(f"{root} is not a Delta table")
     start = max((v for v, _ in points), default=-1)
     action = "struct<path: string, partitionValues: map<string, string>, deletionVector: struct<storageType: string>>"
-    schema = f"add {action}, remove struct<path: string>, metaData struct<schemaString: string, partitionColumns: array<string>>, protocol struct<minReaderVersion: int, readerFeatures: array<string>>"
+    schema = f"add {action}, remove struct<path: string>, metaData struct<schemaString: string, partitionColumns: array<string>, configuration: map<string, string>>, protocol struct<minReaderVersion: int, readerFeatures: array<string>>"
     parts = []
     if commits := [x for v, x in numbered if v > start]:
         rows = spark.read.schema(schema).json(commits)
@@ -54,6 +58,12 @@ def delta_files(spark: SparkSession, root: str, version: int | None = None) -> t
     meta = log_rows.where("metaData IS NOT NULL").agg(F.max_by("metaData", "version")).first()[0]
     if meta is None:
         raise ValueError(f"{root}: the log holds no schema")
+    protocol = log_rows.where("protocol IS NOT NULL").agg(F.max_by("protocol", "version")).first()[0]
+    needs = sorted(set((protocol["readerFeatures"] if protocol else None) or []) - _DELTA_FEATURES)
+    if ((meta["configuration"] or {}).get("delta.columnMapping.mode") or "none") != "none":
+        needs.append("columnMapping")
+    if needs:
+        raise NotImplementedError(f"{root} needs {', '.join(needs)}: the package io.delta:delta-spark reads it")
     actions = log_rows.where("add IS NOT NULL OR remove IS NOT NULL").select(F.coalesce("add.path", "remove.path").alias("path"), F.struct("version", F.col("add").isNotNull().alias("live"), "add").alias("last"))
     last = actions.groupBy("path").agg(F.max_by("last", F.struct("last.version", "last.live")).alias("last")).where("last.live")
     live = last.select("path", F.col("last.add.partitionValues").alias("values"), F.col("last.add.deletionVector").alias("vector"))

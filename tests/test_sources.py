@@ -142,6 +142,10 @@ def test_delta(spark, tmp_path):
     assert read(spark, "src.lake.delta", path=str(root), version=0).count() == 20
     with pytest.raises(FileNotFoundError):
         read(spark, "src.lake.delta", path=str(tmp_path))
+    for n, (action, feature) in enumerate([({"protocol": {"minReaderVersion": 3, "readerFeatures": ["timestampNtz", "typeWidening"]}}, "typeWidening"), ({"metaData": {"id": "x", "schemaString": schema, "partitionColumns": ["day"], "configuration": {"delta.columnMapping.mode": "name"}}}, "columnMapping")]):
+        (log / f"{2 + n:020d}.json").write_text(json.dumps(action))
+        with pytest.raises(NotImplementedError, match=feature):
+            read(spark, "src.lake.delta", path=str(root))
 
 
 @pytest.fixture
