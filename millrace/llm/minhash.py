@@ -232,7 +232,8 @@ def _by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int, scratch
     if not some:
         return None
     rare = scratch.keep(mine.mapInArrow(_rarest(counts.reshape(-1), percent), "item long, id long, c long, n long, place long"), "rare")
-    shared = rare.groupBy("item").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("item", "m")
+    chunks = F.expr(f"cast(ceil(greatest(count(*) / {CHUNK}, sum(n) / {CHUNK_ITEMS})) as int)")
+    shared = rare.groupBy("item").agg(F.count("*").alias("m"), chunks.alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("item", "m", "k")
     met = scratch.keep(rare.join(shared, "item"), "met")
     few = met.where(f"m <= {FEW}")
     pairs = few.alias("x").join(few.alias("y"), "item").where("x.id < y.id and x.c != y.c")
@@ -249,9 +250,8 @@ def _by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int, scratch
 
 def _in_chunks(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components that share a large bucket of a rare shingle: its
-    members are dealt into chunks, and each two chunks meet in one task."""
-    sizes = met.groupBy("item").agg(F.expr(f"cast(ceil(greatest(count(*) / {CHUNK}, sum(n) / {CHUNK_ITEMS})) as int)").alias("k"))
-    dealt = met.select("item", "id", "c").join(sizes, "item").withColumn("chunk", F.expr("cast(pmod(xxhash64(id), k) as int)"))
+    members are dealt into k chunks, and each two chunks meet in one task."""
+    dealt = met.select("item", "id", "c", "k").withColumn("chunk", F.expr("cast(pmod(xxhash64(id), k) as int)"))
     both = dealt.selectExpr("item", "id", "c", "chunk", "explode(sequence(0, k - 1)) as z").selectExpr("item", "id", "c", "least(chunk, z) as x", "greatest(chunk, z) as y")
     return both.join(sets, "id").groupBy("item", "x", "y").applyInPandas(_spanning(percent), "a long, b long")
 
