@@ -179,8 +179,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles fall into each cell, the cells in parts."""
     counts = np.zeros(CELLS, np.uint32)
     for batch in batches:
-        for items in batch.column(0):
-            counts += np.bincount(_cells(np.frombuffer(items.as_buffer(), np.uint64)), minlength=CELLS).astype(np.uint32)
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]
+        if items:
+            counts += np.bincount(_cells(np.concatenate(items)), minlength=CELLS).astype(np.uint32)
     parts = counts.reshape(-1, 4096)
     full = np.flatnonzero(parts.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zstandard.compress(parts[i].tobytes()) for i in full.tolist()], pa.binary())], ["part", "counts"])
