@@ -15,12 +15,12 @@ from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..registry import Step, component, need, one_of, opt
-from ..storage import Counted, delete, hadoop, list_files, new_path, replace_file
+from ..storage import Counted, delete, hadoop, joined, list_files, new_path, replace_file
 from .apis import read_staged, staged
 from .files import MODES, in_file_order, refuse_existing
 
@@ -108,31 +108,27 @@ def read_xml(step: Step) -> DataFrame:
     return in_file_order(df, list_files(step.spark, f"{path}/part-*"))
 
 
-def xml_text(rows: Iterator[Any], columns: list[str], root: str, record: str) -> Iterator[str]:
-    """The lines of the file that xml_records reads back."""
-    yield f'<?xml version="1.0" encoding="UTF-8"?>\n<{root}>\n'
-    children = [c for c in columns if "@" not in c]
-    attributes = {c: [k for k in columns if k.startswith(f"{c}@")] for c in ["", *children]}
-    for row in rows:
-        values = row.asDict()
+def xml_lines(df: DataFrame, record: str) -> DataFrame:
+    """A column `value` with the element of each row, as xml_records reads it back; expressions only."""
+    texts = {f.name: _xml_value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
 
-        def of(owner: str, values: dict[str, Any] = values) -> str:
-            return "".join(f" {k.split('@', 1)[1]}={quoteattr(plain(values[k]))}" for k in attributes[owner] if values[k] is not None)
+    def safe(value: Column, more: dict[str, str]) -> Column:
+        for plain_, written in {"&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#13;", **more}.items():
+            value = F.replace(value, F.lit(plain_), F.lit(written))
+        return value
 
-        body = [f"    <{c}{of(c)}>{escape(plain(values[c]))}</{c}>\n" for c in children if values[c] is not None]
-        yield f"  <{record}{of('')}>\n{''.join(body)}  </{record}>\n" if body else f"  <{record}{of('')}/>\n"
-    yield f"</{root}>\n"
+    def attributes(owner: str) -> Column:
+        parts = [F.concat(F.lit(f' {c.split("@", 1)[1]}="'), safe(x, {'"': "&quot;", "\n": "&#10;", "\t": "&#9;"}), F.lit('"')) for c, x in texts.items() if c.startswith(f"{owner}@")]
+        return F.concat_ws("", *parts) if parts else F.lit("")
 
+    children = [F.concat(F.lit(f"\n    <{c}"), attributes(c), F.lit(">"), safe(x, {}), F.lit(f"</{c}>")) for c, x in texts.items() if "@" not in c]
+    body = F.concat_ws("", *children) if children else F.lit("")
+    end = F.when(body == "", F.lit("/>")).otherwise(F.concat(F.lit(">"), body, F.lit(f"\n  </{record}>")))
+    return df.select(F.concat(F.lit(f"  <{record}"), attributes(""), end).alias("value"))
 
-def plain(value: Any) -> str:
-    """A value as text: true and false, and times with a space and no needless fraction."""
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, datetime):
-        return value.isoformat(" ")
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e16:
-        return f"{value:.1f}"
-    return str(value)
+
+def _xml_value(value: Column, kind: T.DataType) -> Column:
+    return value.cast("timestamp_ntz").cast("string") if isinstance(kind, T.TimestampType | T.TimestampNTZType) else value.cast("string")
 
 
 _XML_NAME = re.compile(r"^[A-Za-z_][\w.-]*(@[A-Za-z_][\w.-]*)?$|^@[A-Za-z_][\w.-]*$")
@@ -161,8 +157,8 @@ def _write_stream(step: Step, name: str, data: Iterator[bytes]) -> None:
 
 @component("snk.file.xml", {"path": need("path"), "root": opt("text", "records"), "record": opt("text", "record"), "mode": one_of(*MODES, default="overwrite")}, deferred=True)
 def write_xml(step: Step):
-    """An XML file, the inverse of src.file.xml: nulls are left out, nested columns refused. One
-    file has one writer: rows pass the driver a partition at a time."""
+    """An XML file, the inverse of src.file.xml: nulls are left out, nested columns refused. Tasks write
+    the elements of their rows; the files they make are then put together, as bytes."""
 
     def run(df: DataFrame) -> int:
         refuse_existing(step)
@@ -174,9 +170,15 @@ def write_xml(step: Step):
             owner = c.split("@")[0]
             if "@" in c and owner and owner not in df.columns:
                 raise ValueError(f"'{c}' is an attribute of a column that is not there")
-        rows = Counted(df.toLocalIterator())
-        _write_stream(step, "xml", (x.encode() for x in xml_text(rows, df.columns, step["root"], step["record"])))
-        return rows.n
+        seen, made = Observation(), new_path(step.spark, "xml")
+        try:
+            xml_lines(df.observe(seen, F.count(F.lit(1)).alias("n")), step["record"]).write.text(made)
+            head, end = f'<?xml version="1.0" encoding="UTF-8"?>\n<{step["root"]}>\n', f"</{step['root']}>\n"
+            joined(step.spark, list_files(step.spark, f"{made}/part-*"), f"{made}/whole", head, end)
+            replace_file(step.spark, f"{made}/whole", step["path"])
+        finally:
+            delete(step.spark, made)
+        return seen.get["n"]
 
     return run
 

@@ -61,6 +61,24 @@ def replace_file(spark: SparkSession, source: str, target: str) -> None:
         local.delete()
 
 
+def joined(spark: SparkSession, parts: list[str], target: str, head: str = "", end: str = "") -> None:
+    """One file of several, copied by Hadoop's streams, between two texts."""
+    p, fs = hadoop(spark, target)
+    out = fs.create(p)
+    try:
+        out.write(head.encode())
+        for part in parts:
+            q, other = hadoop(spark, part)
+            source = other.open(q)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            finally:
+                source.close()
+        out.write(end.encode())
+    finally:
+        out.close()
+
+
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
     """The files that a path or glob pattern names."""
     p, fs = hadoop(spark, pattern)

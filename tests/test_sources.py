@@ -107,6 +107,21 @@ def test_xml(spark, tmp_path):
     assert again.exceptAll(df).isEmpty() and df.exceptAll(again).isEmpty()
 
 
+def test_xml_values(spark, tmp_path):
+    """Odd characters, times, truth values and nulls come back as texts, from several tasks' files in one."""
+    odd = 'a "b" <c> & \'d\'\n\te'
+    df = spark.range(40).selectExpr("id", "id % 3 = 0 AS flag", "CASE WHEN id % 4 > 0 THEN id / 4.0 END AS part", "timestamp_seconds(id) AS at").withColumn("@key", F.lit(odd)).withColumn("text", F.lit(odd)).withColumn("text@lang", F.when(F.col("id") > 5, "é")).repartition(4)
+    df.createOrReplaceTempView("xml_values")
+    doc = pipeline(("s", "xf.sql", {"query": "SELECT * FROM xml_values"}, []), ("w", "snk.file.xml", {"path": str(tmp_path / "o.xml"), "record": "v"}))
+    assert run(spark, doc).stage("w").rows == {"in": 40}
+    back = {r.id: r for r in read(spark, "src.file.xml", path=str(tmp_path / "o.xml"), record="v").collect()}
+    assert len(back) == 40 and all(r["@key"] == odd and r.text == odd for r in back.values())
+    assert (back["3"].flag, back["4"].part, back["8"].at, back["8"]["text@lang"], back["5"]["text@lang"]) == ("true", None, "1970-01-01 00:00:08", "é", None)
+    assert (tmp_path / "o.xml").read_text().count("<?xml") == 1
+    run(spark, pipeline(("s", "xf.sql", {"query": "SELECT * FROM xml_values WHERE id < 0"}, []), ("w", "snk.file.xml", {"path": str(tmp_path / "e.xml"), "record": "v"})))
+    assert (tmp_path / "e.xml").read_text().split() == ["<?xml", 'version="1.0"', 'encoding="UTF-8"?>', "<records>", "</records>"]
+
+
 @pytest.mark.parametrize(("body", "message"), [("<o><a><b/></a></o>", "too deep"), ("<o><a/><a/></o>", "has two"), ("<o>text<a/></o>", "text of its own"), ("<o><a>", "not well-formed"), ("<o><a>&nope;</a></o>", "not well-formed")])
 def test_xml_that_is_no_table(body, message):
     with pytest.raises(ValueError, match=message):
