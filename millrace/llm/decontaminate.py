@@ -23,7 +23,7 @@ repeat a shingle are not left to fingerprints; their exact similarity decides al
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil, floor
+from math import floor
 
 import numpy as np
 import pyarrow as pa
