@@ -116,19 +116,27 @@ def dedup(step: Step) -> DataFrame:
         return df.dropDuplicates(keys)
     items = [_order_key(x) for x in order_list(step["order_by"])]
     kinds = df.select(*[F.expr(e).alias(f"k{i}") for i, (e, _, _) in enumerate(items)]).schema
-    if all(isinstance(f.dataType, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType) for f in kinds) or not any(d for _, d, _ in items):
-        parts = []
-        for (e, down, nulls_first), f in zip(items, kinds, strict=True):
-            value = F.expr(e)
-            parts.append(F.when(value.isNull(), 0 if nulls_first else 2).otherwise(1))
-            if down:
-                number = isinstance(f.dataType, T.NumericType)
-                value = -value if number else -F.unix_micros(value.cast("timestamp"))
-            parts.append(value)
-        picked = df.groupBy(*[col(k) for k in keys]).agg(F.min_by(F.struct(*[col(c) for c in df.columns]), F.struct(*parts)).alias("row_"))
-        return picked.select("row_.*")
-    over = f"row_number() OVER (PARTITION BY {', '.join(name(k) for k in keys)} ORDER BY {', '.join(order_list(step['order_by']))})"
-    return df.withColumn("rank_", F.expr(over)).where("rank_ = 1").drop("rank_")
+    parts = []
+    for (e, down, nulls_first), f in zip(items, kinds, strict=True):
+        value = F.expr(e)
+        parts += [F.when(value.isNull(), 0 if nulls_first else 2).otherwise(1), _descending(value, f.dataType) if down else value]
+    picked = df.groupBy(*[col(k) for k in keys]).agg(F.min_by(F.struct(*[col(c) for c in df.columns]), F.struct(*parts)).alias("row_"))
+    return picked.select("row_.*")
+
+
+def _descending(value: Column, kind: T.DataType) -> Column:
+    """A value that ascends as the given one descends."""
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(value)
+    if isinstance(kind, T.NumericType):
+        return -value
+    if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
+        return F.bitwise_not(F.unix_micros(value.cast("timestamp")))
+    if isinstance(kind, T.BooleanType):
+        return ~value
+    if isinstance(kind, T.StringType | T.BinaryType):  # bytes inverted; a longer text comes before its beginning
+        return F.concat(F.translate(F.hex(value), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    raise ValueError(f"rows cannot be ordered by {kind.simpleString()} in descending order")
 
 
 def _order_key(item: str) -> tuple[str, bool, bool]:
