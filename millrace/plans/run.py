@@ -70,6 +70,7 @@ class _Runner:
         self.relations: dict[str, DataFrame] = {}
         self.marks = Marks(state)
         self.persisted: list[DataFrame] = []
+        self.written: dict[int, DataFrame] = {}
         self.scratch: list[str] = []
         self.observed: list[tuple[StageReport, str, Observation]] = []
         self.settled: list[Callable[[bool], None]] = []
@@ -90,11 +91,16 @@ class _Runner:
         return Step(stage.id, stage.component.id, dict(stage.props), self.spark, list(by_port.values()), by_port, context, dict(self.relations))
 
     def _held(self, df: DataFrame) -> DataFrame:
-        """A relation that is read more than once here: kept in memory and on disk until the run ends."""
-        if df.storageLevel == StorageLevel.NONE:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self.persisted.append(df)
-        return df
+        """A relation that is read more than once here: written to the shared folder until the run ends,
+        so that its rows are the same for all that read them whatever executors are lost."""
+        if df.storageLevel != StorageLevel.NONE or id(df) in self.written:
+            return df
+        path = new_path(self.spark, "stage")
+        self.scratch.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.written[id(back)] = back
+        return back
 
     def _materialized(self, stage: Stage, df: DataFrame) -> DataFrame:
         how = stage.materialize
@@ -103,13 +109,11 @@ class _Runner:
         if how == "auto" and loose and self.plan.uses(stage.id, "main") > 1:
             how = "disk"
         if how == "memory":
-            df = self._held(df)
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.persisted.append(df)
             df.count()
         elif how == "disk":
-            path = new_path(self.spark, "stage")
-            self.scratch.append(path)
-            df.write.option("compression", "zstd").parquet(path)
-            df = self.spark.read.schema(df.schema).parquet(path)
+            df = self._held(df)
         return df
 
     def _once(self, stage: Stage, report: StageReport) -> None:
@@ -130,7 +134,6 @@ class _Runner:
         outputs["main"] = self._materialized(stage, outputs["main"])
         if not stage.node.policy.is_default and stage.materialize in ("auto", "view"):
             outputs["main"] = self._held(outputs["main"])  # a policy needs to know now whether the stage works
-            outputs["main"].count()
         for port, df in outputs.items():
             if self.counts == "all":
                 n = Observation()
