@@ -146,13 +146,17 @@ class Benchmark:
         return ranked.where(F.col("before") <= F.col("size") - F.ceil(F.lit(self.threshold) * F.col("size") - 1e-9)).select("gram", "hash", "item")
 
     def near(self) -> Callable:
-        """A column function from a text to the hashes of its words, null where it can contain no item."""
+        """A column function from a text to the hashes of its words, null where it can contain no item.
+
+        It is called nondeterministic so that a filter on it stays above it: pushed below, it would be
+        computed once for the filter and once more for its value.
+        """
         found = self.filter
 
         def words(text: pa.Array) -> pa.Array:
             return pa.array([w.tobytes() if len(w) and found.dense(w) else None for w in _words_column(text)], pa.binary())
 
-        return F.arrow_udf(words, "binary")
+        return F.arrow_udf(words, "binary").asNondeterministic()
 
 
 def _hits(found: Filter):
