@@ -62,9 +62,14 @@ class ShardSet:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/_manifest/v{version:08d}")
 
+    def _table(self, runs: list[Row]) -> DataFrame:
+        """The manifest's rows as literals, which takes no Python worker."""
+        rows = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(MANIFEST)]) for r in runs]
+        return self.spark.range(1).select(F.inline(F.array(*rows)))
+
     def _rename(self, runs: list[Row], version: int) -> None:
         made = f"{self.root}/_made/{uuid.uuid4().hex}"
-        self.spark.createDataFrame(runs, MANIFEST).coalesce(1).write.parquet(made)
+        self._table(runs).coalesce(1).write.parquet(made)
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
         Path, Context = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.FileContext  # noqa: N806
         to, files = self._fs(f"{self.root}/_manifest/v{version:08d}")
