@@ -162,7 +162,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.store_texts(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    bounded_batches(spark, "16m")  # images are read side by side: more of them, and more of a size
+    return media.describe(media.store_texts(docs))
 
 
 @query

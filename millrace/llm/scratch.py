@@ -45,6 +45,6 @@ class Scratch:
                 delete(self.spark, path)
 
 
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches of texts by their bytes: ten thousand long documents are no batch for one task."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
