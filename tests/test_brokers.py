@@ -5,6 +5,7 @@ import json
 import socketserver
 import struct
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
@@ -290,6 +291,10 @@ def test_rabbitmq(spark, rabbit, tmp_path):
     state["queue"].append(b'{"n": 9}')
     with pytest.raises(RunFailed):
         run(spark, pipeline(("s", "src.queue.rabbitmq", {"url": url, "queue": "q"}), ("f", "ctl.fail", {"message": "no"})))
+    for _ in range(50):  # the server reads what was sent before the connection was closed
+        if len(state["settled"]) > 1:
+            break
+        time.sleep(0.1)
     assert state["settled"][1:] == [(False, 1)]
     run(spark, pipeline(ROWS, ("w", "snk.queue.rabbitmq", {"url": url, "exchange": "e", "routing_key_column": "g"})))
     assert len(state["published"]) == 25 and {k for _, k, _ in state["published"]} == {"g0", "g1"}

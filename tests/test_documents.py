@@ -48,7 +48,7 @@ def test_defaults_and_checks():
         plan(("a", "src.file.csv", {}))
     with pytest.raises(InvalidProperty, match="blank"):
         plan(("a", "src.file.csv", {"path": " "}))
-    with pytest.raises(InvalidProperty, match="not one of"):
+    with pytest.raises(InvalidProperty, match="no option"):
         plan(SRC, ("j", "snk.file.parquet", {"path": "x", "mode": "maybe"}))
     assert "has no property 'colour'" in plan(("a", "src.file.csv", {"path": "x", "colour": "red"})).warnings[0]
 
@@ -65,10 +65,10 @@ def test_defaults_and_checks():
         ([SRC, ("f", "xf.filter", {"predicate": "true"}, ["a", "a"])], "takes 1 input"),
         ([SRC, ("u", "xf.union", {})], "two inputs"),
         ([SRC, ("j", "xf.join", {"keys": ["k"], "condition": "x"}, ["a", "a"])], "either"),
-        ([SRC, ("j", "xf.join", {"type": "cross", "keys": ["k"]}, ["a", "a"])], "neither"),
+        ([SRC, ("j", "xf.join", {"type": "cross", "keys": ["k"]}, ["a", "a"])], "mean nothing"),
         ([SRC, ("r", "qa.range", {"column": "c"})], "give a minimum"),
         ([SRC, ("c", "xf.ai.chunk", {"column": "t", "size": 5, "overlap": 5})], "smaller than size"),
-        ([SRC, ("c", "xf.ai.redact", {"columns": ["t"], "kinds": ["iban"]})], "not one of"),
+        ([SRC, ("c", "xf.ai.redact", {"columns": ["t"], "kinds": ["iban"]})], "is unknown"),
         ([("s", "src.cloud.s3", {"path": "s3://b/x", "key_id": "k"})], "together"),
     ],
 )
