@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, media, minhash, mixing, quality, sharding, suffixes, warc
+from . import chat, decontaminate, langid, media, minhash, mixing, packing, quality, resampling, sharding, suffixes, warc
 from .samples import fold
 from .scratch import Scratch, bounded_batches, new_path
 
@@ -233,3 +233,17 @@ SELECT doc_id, source, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 8
   strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target, Scratch(spark), buckets=10_000, percent=5, least_words=20, seed=42)
