@@ -9,6 +9,7 @@ near enough: the front of a monotone queue.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 from collections import deque
@@ -68,33 +69,40 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
         self.size, self.most = 0, most_bytes // 2
 
     def _plain(self, part: bytes) -> bytes:
         """The ids of letters or marks that are one pre-token; no rule before the model changes them."""
-        ids = self.known.get(part) or self.old.get(part)
-        if ids is None or ids[-1] & 0x80:
-            text = part.decode() if part.isascii() else part.decode("latin-1").translate(self.letters)
-            ids = struct.pack(f"<{len(found := self.model.tokenize(text))}I", *[t.id for t in found])
-        return ids
+        text = part.decode() if part.isascii() else part.decode("latin-1").translate(self.letters)
+        found = self.model.tokenize(text)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def _learn(self, words: list[bytes]) -> None:
         if self.size > self.most:
-            self.known, self.old, self.size = {}, self.known, 0
-        known, others, size = self.known, [], 0
+            self.known, self.old, self.marks, self.size = {}, self.known, {}, 0
+        known, old, seen, others, size = self.known, self.old, self.marks, [], 0
         for w in set(words):
             if w in known:
                 continue
-            ids = self.old.get(w)
+            ids = old.get(w)
             if ids is None:
                 if not (m := _PLAIN.fullmatch(w)):
                     others.append(w)
                     continue
                 stem, marks = m.groups()
+                ids = b""
                 if stem:
-                    ids = self._plain(stem)
+                    ids = known.get(stem) or old.get(stem)
+                    if ids is None:
+                        known[stem] = ids = self._plain(stem)
+                        size += len(stem) + len(ids) + 150
                 if marks:
-                    ids = self._ended(w, ids + self._plain(marks) if stem else self._plain(marks))
+                    end = seen.get(marks)
+                    if end is None:
+                        seen[marks] = end = self._ended(marks, self._plain(marks))
+                        size += len(marks) + len(end) + 150
+                    ids += end
             known[w] = ids
             size += len(w) + len(ids) + 150
         for w, e in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
@@ -125,6 +133,12 @@ class Encoder:
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process: its tasks go on with the words that earlier ones have learned."""
+    return Encoder(path)
+
+
 def places(sentence: np.ndarray, document: np.ndarray, n: int, length: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Where n tokens may be cut, 0 first, and the penalty of each place.
 
@@ -288,7 +302,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, stream = Encoder(tokenizer), Stream(length, end_id)
+        encoder, stream = encoder_of(tokenizer), Stream(length, end_id)
         high, kind = TaskContext.get().partitionId() << 32, pa.int64()
 
         def batches_of(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
