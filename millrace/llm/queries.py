@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, media, minhash, mixing, packing, quality, resampling, sharding, suffixes, warc
+from . import chat, decontaminate, langid, media, minhash, mixing, packing, quality, repair, resampling, sharding, suffixes, warc
 from .samples import fold
 from .scratch import Scratch, bounded_batches, new_path
 
@@ -247,3 +247,70 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return resampling.resample(docs, target, Scratch(spark), buckets=10_000, percent=5, least_words=20, seed=42)
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, scratch = table(spark, sf_dir, "conversations"), Scratch(spark)
+    summary, lines = repair.repair(repair.damaged(rows), scratch)
+    sha = repair.digests(lines).withColumnRenamed("conv_id", "conv_")
+    found = summary.withColumnRenamed("conv_id", "of")
+    convs = rows.select("conv_id").distinct()
+    out = convs.join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").join(sha, F.col("conv_id").eqNullSafe(F.col("conv_")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# The edits of a turn, with up to three inserts behind them, are rows of `move`; the recursion keeps the
+# least (cost, audit) for each state, with the text it makes.
+ORACLE_SQL["op13_repair"] = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab FROM range(256) t(n)
+), k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), crcs AS (
+  SELECT key, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d FROM (SELECT DISTINCT key FROM k), tab
+), dam AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k JOIN crcs USING (key) WHERE d <> 0
+), num AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM dam
+), f AS (
+  SELECT conv_id, turn, role, text, pos, substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prev,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM num
+), edit(i, j, ini, edit, cost) AS (
+  SELECT i, i, NULL::VARCHAR, 'D', 2 FROM range(4) t(i) UNION ALL
+  SELECT i, CASE WHEN i = 2 THEN 3 ELSE 2 END, NULL::VARCHAR, 'R', 1 FROM range(4) t(i) UNION ALL
+  VALUES (0, 1, 's', 'K', 0), (0, 2, 'u', 'K', 0), (1, 2, 'u', 'K', 0), (3, 2, 'u', 'K', 0), (2, 3, 'a', 'K', 0)
+), ins AS (
+  SELECT i, i AS j, 0 AS n, '' AS said FROM range(4) t(i) UNION ALL
+  SELECT i, CASE WHEN j = 2 THEN 3 ELSE 2 END, n + 1, said || CASE WHEN j = 2 THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' END FROM ins WHERE n < 3
+), move AS (
+  SELECT e.i, n.j, e.j AS mid, e.ini, e.edit, e.cost + 5 * n.n AS cost, e.edit || repeat('I', n.n) AS audit, n.said FROM edit e JOIN ins n ON n.i = e.j
+), r AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, n.j AS state, {'c': 5 * n.n, 'a': repeat('I', n.n), 't': n.said} AS b FROM f, (SELECT j, n, said FROM ins WHERE i = 0) n
+  UNION ALL
+  SELECT r.conv_id, f.pos, m.j, min({'c': r.b.c + m.cost + CASE WHEN m.edit <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END, 'a': r.b.a || m.audit,
+    't': r.b.t || CASE m.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || CASE WHEN m.mid = 3 THEN 'assistant:' ELSE 'user:' END || f.text END || m.said})
+  FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.pos = r.pos + 1
+  JOIN move m ON m.i = r.state AND (m.ini IS NULL OR m.ini = f.ini) AND (m.edit = 'D' OR f.fault IN ('', 'truncated'))
+  GROUP BY r.conv_id, f.pos, m.j
+), s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pos > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM f GROUP BY conv_id
+), done AS (
+  SELECT s.conv_id, min(r.b) AS b FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.pos = s.n WHERE r.state IN (0, 3) GROUP BY s.conv_id
+)
+SELECT c.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate, coalesce(s.truncated, 0)::BIGINT AS truncated,
+  coalesce(s.illegal, 0)::BIGINT AS illegal, coalesce(done.b.c, 0)::BIGINT AS cost, coalesce(done.b.a, '') AS audit, sha256(coalesce(substr(done.b.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
