@@ -63,7 +63,8 @@ class RunFailed(RuntimeError):
 
 
 class _Runner:
-    def __init__(self, spark: SparkSession, plan: Plan, *, counts: str, state: Mapping[str, Any], mask: Callable[[str], str], context: dict[str, Any]):
+    def __init__(self, spark: SparkSession, plan: Plan, *, counts: str, state: Mapping[str, Any], mask: Callable[[str], str], context: dict[str, Any], saves: bool = False):
+        self.saves = saves
         self.spark, self.plan, self.counts, self.mask, self.given = spark, plan, counts, mask, context
         self.report = RunReport(plan.name, warnings=list(plan.warnings))
         self.frames: dict[tuple[str, str], DataFrame] = {}
@@ -84,8 +85,7 @@ class _Runner:
         names = {port: [source, *([by_id[source].node.alias] if by_id[source].node.alias else [])] for port, source, _ in stage.inputs}
         context = {
             **self.given, "names": names, "note": report.notes.append, "held": self._held,
-            "position": self.marks.position(stage.id), "track": lambda df, c: self.marks.track(stage.id, df, c),
-            "track_offsets": lambda df, p, o, saved: self.marks.track_offsets(stage.id, df, p, o, saved),
+            "position": self.marks.position(stage.id), "track": lambda df, c: self._tracked(stage.id, df, c),
             "set_position": lambda value: self.marks.set(stage.id, value), "settle": self.settled.append,
         }
         return Step(stage.id, stage.component.id, dict(stage.props), self.spark, list(by_port.values()), by_port, context, dict(self.relations))
@@ -102,10 +102,18 @@ class _Runner:
         self.written[id(back)] = back
         return back
 
+    def _tracked(self, node: str, df: DataFrame, column: str) -> DataFrame:
+        """An increment whose mark is saved after the run. The source is read once, into the shared folder:
+        the sinks and the mark see the same rows, whatever arrives meanwhile comes after the mark."""
+        if self.saves:
+            df = self._held(df)
+        self.marks.track(node, df, column)
+        return df
+
     def _materialized(self, stage: Stage, df: DataFrame) -> DataFrame:
         how = stage.materialize
-        # Rows drawn at random or in no order must be the same for all that read them.
-        loose = stage.component.id == "xf.sample" or (stage.component.id == "xf.dedup" and not stage.props["order_by"]) or (stage.component.id == "xf.limit")
+        # Rows drawn at random, in no order or by a model must be the same for all that read them.
+        loose = stage.component.id.startswith("xf.ai.") or stage.component.id == "xf.sample" or (stage.component.id == "xf.dedup" and not stage.props["order_by"]) or (stage.component.id == "xf.limit")
         if how == "auto" and loose and self.plan.uses(stage.id, "main") > 1:
             how = "disk"
         if how == "memory":
@@ -129,8 +137,8 @@ class _Runner:
         outputs = made if isinstance(made, dict) else {stage.component.outputs[0]: made}
         if stage.component.kind == "source" and stage.node.incremental:
             column = stage.node.incremental["column"]
-            outputs["main"] = keep_after(outputs["main"], column, self.marks.position(stage.id) or stage.node.incremental.get("start"))
-            self.marks.track(stage.id, outputs["main"], column)
+            after = keep_after(outputs["main"], column, self.marks.position(stage.id) or stage.node.incremental.get("start"))
+            outputs["main"] = self._tracked(stage.id, after, column)
         outputs["main"] = self._materialized(stage, outputs["main"])
         if not stage.node.policy.is_default and stage.materialize in ("auto", "view"):
             outputs["main"] = self._held(outputs["main"])  # a policy needs to know now whether the stage works
@@ -264,7 +272,7 @@ def run(spark: SparkSession, pipeline: Pipeline | Plan, *, resolver: Resolver |
         mask, warnings = resolved.mask, resolved.warnings
         pipeline = compile_pipeline(resolved.pipeline)
     state = store.load(pipeline.name or "pipeline") if store else {}
-    runner = _Runner(spark, pipeline, counts=counts, state=state, mask=mask, context=context or {})
+    runner = _Runner(spark, pipeline, counts=counts, state=state, mask=mask, context=context or {}, saves=store is not None)
     runner.report.warnings += warnings
     try:
         report = runner.run()

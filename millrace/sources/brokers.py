@@ -99,11 +99,24 @@ def kafka_options(p: dict[str, Any]) -> dict[str, str]:
     return out
 
 
-def starting_offsets(topic: str, start: str, saved: dict[str, int] | None) -> str:
-    """Kafka's starting offsets: a saved position by partition, others from `start`."""
-    if not saved:
-        return start
-    return json.dumps({topic: {k: int(v) for k, v in saved.items()}})
+def offset_ranges(first: dict[int, int], end: dict[int, int], saved: dict[int, int], start: str, most: int | None) -> dict[int, tuple[int, int]]:
+    """The offsets of each partition that a run reads, from the first to before the second.
+
+    A saved position goes on where it was; one before the first offset that is still there means lost
+    messages and is an error. Partitions without one begin at `start`. Of `most` messages each
+    partition gets an equal share, and what some do not need goes to the others, so that none starves.
+    """
+    begin = {p: saved.get(p, end[p] if start == "latest" else first[p]) for p in end}
+    for p, at in begin.items():
+        if at < first[p] or at > end[p]:
+            raise ValueError(f"partition {p} has offsets {first[p]} to {end[p]}, but the saved position is {at}: messages were lost")
+    stop, rest = {}, most
+    order = sorted(end, key=lambda p: (end[p] - begin[p], p))
+    for k, p in enumerate(order):
+        n = end[p] - begin[p] if rest is None else min(end[p] - begin[p], -(-rest // (len(order) - k)))
+        stop[p] = begin[p] + n
+        rest = None if rest is None else rest - n
+    return {p: (begin[p], stop[p]) for p in sorted(end)}
 
 
 def _kafka(spark: SparkSession) -> str:
@@ -112,17 +125,42 @@ def _kafka(spark: SparkSession) -> str:
     return "kafka"
 
 
+def topic_offsets(spark: SparkSession, options: dict[str, str], topic: str) -> tuple[dict[int, int], dict[int, int]]:
+    """The first offset of each partition of a topic, and the one after its last, as the brokers tell them."""
+    jvm = spark._jvm
+    settings = jvm.java.util.Properties()
+    for k, v in options.items():
+        settings.put(k.removeprefix("kafka."), v)
+    for side in ("key", "value"):
+        settings.put(f"{side}.deserializer", "org.apache.kafka.common.serialization.ByteArrayDeserializer")
+    consumer = jvm.org.apache.kafka.clients.consumer.KafkaConsumer(settings)
+    try:
+        parts = jvm.java.util.ArrayList()
+        for info in consumer.partitionsFor(topic):
+            parts.add(jvm.org.apache.kafka.common.TopicPartition(topic, info.partition()))
+        told = (consumer.beginningOffsets(parts), consumer.endOffsets(parts))
+        return tuple({p.partition(): int(offsets.get(p)) for p in parts} for offsets in told)
+    finally:
+        consumer.close()
+
+
 @component("src.stream.kafka", {**_KAFKA, "start": one_of("earliest", "latest", default="earliest"), "max_records": opt("integer", 100000), "value_format": FORMATS, "columns": opt("map")}, packages=(_KAFKA_PACKAGE,))
 def read_kafka(step: Step) -> DataFrame:
-    """A topic's messages from the saved offsets to its end; lost messages are an error."""
-    saved = (step.context or {}).get("position")
-    reader = step.spark.read.format(_kafka(step.spark)).options(**kafka_options(step.props), subscribe=step["topic"], endingOffsets="latest", failOnDataLoss="true")
-    df = reader.option("startingOffsets", starting_offsets(step["topic"], step["start"], json.loads(saved) if saved else None)).load()
-    if step["max_records"]:
-        df = df.orderBy("partition", "offset").limit(step["max_records"])
-    messages = df.select("value", F.col("topic").alias("_topic"), F.col("partition").alias("_partition"), F.col("offset").alias("_offset"), F.col("timestamp").alias("_timestamp"), F.decode("key", "UTF-8").alias("_key"))
+    """A topic's messages from the saved offsets to its end as it is now; lost messages are an error.
+
+    The offsets are fixed before anything is read, and those are the next position: what arrives
+    meanwhile is read by the next run. Nothing is sorted; a limit is shared out among the partitions.
+    """
+    saved = json.loads((step.context or {}).get("position") or "{}")
+    options = kafka_options(step.props)
+    source = _kafka(step.spark)
+    first, end = topic_offsets(step.spark, options, step["topic"])
+    ranges = offset_ranges(first, end, {int(k): int(v) for k, v in saved.items()}, step["start"], step["max_records"] or None)
+    bounds = [json.dumps({step["topic"]: {str(p): r[k] for p, r in ranges.items()}}) for k in (0, 1)]
+    df = step.spark.read.format(source).options(**options, subscribe=step["topic"], startingOffsets=bounds[0], endingOffsets=bounds[1], failOnDataLoss="true").load()
     if step.context is not None:
-        step.context["track_offsets"](messages, "_partition", "_offset", saved)
+        step.context["set_position"](json.dumps({str(p): r[1] for p, r in ranges.items()}))
+    messages = df.select("value", F.col("topic").alias("_topic"), F.col("partition").alias("_partition"), F.col("offset").alias("_offset"), F.col("timestamp").alias("_timestamp"), F.decode("key", "UTF-8").alias("_key"))
     return broker_rows(messages, step["value_format"], step["columns"])
 
 

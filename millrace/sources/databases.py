@@ -247,7 +247,7 @@ def _after(step: Step, df: DataFrame) -> DataFrame:
     elif step["max_records"]:
         df = df.limit(step["max_records"])
     if column and step.context is not None:
-        step.context["track"](df, column)
+        df = step.context["track"](df, column)
     kinds = {c: spark_type(k) for c, k in (step["columns"] or {}).items()}
     return typed_columns(df, kinds, lambda d, c, k: cast_column(F.col(f"`{c}`"), d.schema[c].dataType, k).alias(c))
 

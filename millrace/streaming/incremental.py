@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 from datetime import datetime
 from typing import Any
@@ -34,29 +33,24 @@ class Marks:
         return self.saved.get(node)
 
     def track(self, node: str, df: DataFrame, column: str) -> None:
-        self.watched[node] = (df, column, None)
-
-    def track_offsets(self, node: str, df: DataFrame, partition: str, offset: str, saved: str | None) -> None:
-        self.watched[node] = (df, (partition, offset), saved)
+        """df holds what the run has read beyond the mark, and must not change any more: see run()."""
+        self.watched[node] = (df, column)
 
     def set(self, node: str, position: str) -> None:
-        """A position that the source has worked out itself."""
-        self.watched[node] = (None, position, None)
+        """A position that the source has worked out itself before it read."""
+        self.watched[node] = (None, position)
 
     def new(self) -> dict[str, str]:
         """The new positions: the greatest value read, or the old one if nothing was. One aggregate for each source."""
         out = {}
-        for node, (df, what, saved) in self.watched.items():
+        for node, (df, what) in self.watched.items():
             if df is None:
                 out[node] = what
-            elif isinstance(what, str):
-                top = df.agg(F.max(F.col(f"`{what}`"))).first()[0]
-                value = text_of(top) if top is not None else self.position(node)
-                if value is not None:
-                    out[node] = value
-            else:
-                found = {str(r[0]): r[1] + 1 for r in df.groupBy(what[0]).agg(F.max(what[1])).collect()}
-                out[node] = json.dumps({**(json.loads(saved) if saved else {}), **found})
+                continue
+            top = df.agg(F.max(F.col(f"`{what}`"))).first()[0]
+            value = text_of(top) if top is not None else self.position(node)
+            if value is not None:
+                out[node] = value
         return out
 
 

@@ -143,6 +143,41 @@ def test_increments(spark, orders, tmp_path):
     assert len(store.runs("inc")) == 1 and store.load("inc") == {}
 
 
+def test_rows_that_arrive_during_a_run_are_read_by_the_next(spark, tmp_path, monkeypatch):
+    """Between a sink's delivery and the mark, and between two sinks, rows arrive in a view of a database."""
+    import sqlite3
+
+    path = str(tmp_path / "live.db")
+    con = sqlite3.connect(path, isolation_level=None)
+    con.execute("CREATE TABLE t (id INTEGER, at INTEGER)")
+    con.execute("CREATE VIEW v AS SELECT * FROM t")
+    new = iter(range(1000))
+
+    def arrive(n=5):
+        for _ in range(n):
+            i = next(new)
+            con.execute("INSERT INTO t VALUES (?, ?)", (i, 100 + i))
+
+    arrive()
+    from millrace.streaming.incremental import Marks
+
+    plain = Marks.new
+    monkeypatch.setattr(Marks, "new", lambda self: (arrive(3), plain(self))[1])
+    store = Store(tmp_path)
+    doc = pipeline(
+        ("v", "src.db.sqlite", {"connection": path, "table": "v"}, None, {"incremental": {"column": "at"}}),
+        ("a", "snk.test_far", {}, "v"), ("b", "snk.test_far", {}, "v"), name="live",
+    )
+    got = []
+    for _ in range(3):
+        TRIES.clear()
+        run(spark, doc, store=store)
+        assert len(TRIES) == 2 and sorted(TRIES[0]) == sorted(TRIES[1])
+        got += TRIES[0]
+    assert sorted(got) == list(range(11)) and con.execute("SELECT count(*) FROM t").fetchone() == (14,)
+    con.close()
+
+
 def test_state_files(tmp_path):
     store = Store(tmp_path)
     path = tmp_path / ".etl" / "state" / "p.json"

@@ -313,7 +313,7 @@ def test_settings_of_servers():
     assert s3 == {"fs.s3a.bucket.b.access.key": "k", "fs.s3a.bucket.b.secret.key": "s", "fs.s3a.bucket.b.endpoint": "http://localhost:9000", "fs.s3a.bucket.b.connection.ssl.enabled": "false", "fs.s3a.bucket.b.path.style.access": "true"}
     kafka = brokers.kafka_options({"brokers": "b:1", "security": "sasl_tls", "sasl_mechanism": "SCRAM-SHA-256", "username": "u", "password": "p", "ca_cert": None, "timeout_ms": 5})
     assert kafka["kafka.security.protocol"] == "SASL_SSL" and "ScramLoginModule" in kafka["kafka.sasl.jaas.config"]
-    assert json.loads(brokers.starting_offsets("t", "earliest", {"0": 5})) == {"t": {"0": 5}}
+    assert brokers.offset_ranges({0: 0, 1: 3}, {0: 9, 1: 5}, {0: 5}, "earliest", None) == {0: (5, 9), 1: (3, 5)}
     assert "WHEN MATCHED THEN UPDATE SET t.[b] = s.[b]" in databases.merge_statement("t", "t_stage", ["a", "b"], ["a"])
 
 
@@ -355,7 +355,7 @@ def test_limited_increments_read_ties_whole(spark):
     got, sizes, mark = [], [], None
 
     class Step(dict):
-        context = property(lambda self: {"position": mark, "track": lambda df, c: None})
+        context = property(lambda self: {"position": mark, "track": lambda df, c: df})
         __missing__ = lambda self, key: None
 
     for _ in range(8):
@@ -367,3 +367,50 @@ def test_limited_increments_read_ties_whole(spark):
         mark = str(max(r.at for r in part if r.at is not None))
     assert sorted(got) == rows and sizes[0] == 7 and max(sizes) < 25
     assert len(databases._after(Step(max_records=4), df).collect()) == 4
+
+
+def test_kafka_offsets_are_fixed_before_reading(spark, monkeypatch):
+    """Against a topic that grows between any two looks at it: no message is lost or read twice, and no partition starves."""
+    topic = {0: 0, 1: 0, 2: 0}
+    asked, read = [], []
+
+    def offsets(*_):
+        out = dict.fromkeys(topic, 0), dict(topic)
+        for p in topic:
+            topic[p] += 1 + 40 * (p == 0)
+        return out
+
+    class Reader:
+        def format(self, *_):
+            return self
+
+        def options(self, **o):
+            asked.append({k: json.loads(o[k])["t"] for k in ("startingOffsets", "endingOffsets")})
+            return self
+
+        def load(self):
+            rows = [(b"{}", "t", int(p), o, None, b"k") for p, a in asked[-1]["startingOffsets"].items() for o in range(a, asked[-1]["endingOffsets"][p])]
+            read.append([(r[2], r[3]) for r in rows])
+            for p in topic:
+                topic[p] += 1
+            return spark.createDataFrame(rows, "value binary, topic string, partition int, offset long, timestamp timestamp, key binary")
+
+    monkeypatch.setattr(brokers, "topic_offsets", offsets)
+    monkeypatch.setattr(brokers, "_kafka", lambda spark: "kafka")
+    monkeypatch.setattr(brokers, "broker_rows", lambda df, *_: df)
+    position = [None]
+
+    class Step(dict):
+        context = property(lambda self: {"position": position[0], "set_position": lambda x: position.__setitem__(0, x)})
+        spark = type("S", (), {"read": property(lambda self: Reader())})()
+        props = {"brokers": "b:1", "security": "plaintext", "sasl_mechanism": "PLAIN", "username": None, "password": None, "ca_cert": None, "timeout_ms": 5}
+
+    for _ in range(12):
+        df = brokers.read_kafka(Step(topic="t", start="earliest", max_records=12, value_format="json", columns=None))
+        assert df.count() <= 12
+    got = [x for part in read for x in part]
+    assert len(got) == len(set(got))
+    ends = {int(p): o for p, o in json.loads(position[0]).items()}
+    assert sorted(got) == [(p, o) for p in sorted(ends) for o in range(ends[p])] and min(ends.values()) > 15
+    with pytest.raises(ValueError, match="lost"):
+        brokers.offset_ranges({0: 7}, {0: 9}, {0: 5}, "earliest", None)
