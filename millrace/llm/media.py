@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -113,24 +114,31 @@ def describe(stored: DataFrame) -> DataFrame:
     )
 
 
-def _decoded(files: Iterable[bytes | None]) -> Iterator[dict | None]:
-    for data in files:
+def _decoded(media: Iterable[bytes | None]) -> Iterator[list[dict] | None]:
+    for data in media:
+        if data is None:
+            yield None
+            continue
+        out = []
         try:
-            p = webp.decode(data) if data is not None else None
-            yield None if p is None else {"width": p.shape[1], "height": p.shape[0], "rgba": p.tobytes(), "error": None}
-        except (webp.WebPError, IndexError) as e:
-            yield {"width": None, "height": None, "rgba": None, "error": str(e)}
+            for file in webp_batch.files(data):
+                p = webp.decode(file)
+                out.append({"width": p.shape[1], "height": p.shape[0], "rgba": p.tobytes(), "error": None})
+        except (webp.WebPError, IndexError, ValueError, struct.error) as e:
+            out.append({"width": None, "height": None, "rgba": None, "error": str(e)})
+        yield out
 
 
 def decode_column(rows: DataFrame, column: str, output: str = "pixels") -> DataFrame:
-    """rows with `output`: a struct of width, height, rgba bytes and error for each file in `column`.
+    """rows with `output`: for what is in `column` an array of its images, one for each file of those that
+    stand there one after another: structs of width, height, rgba bytes and error.
 
-    A null file gives null; a file that cannot be decoded gives its error and no pixels. Of several
-    files one after another the first is decoded. A column named `output` is replaced; other columns
-    may have any names and are not sent to Python.
+    A null gives null; a file that cannot be decoded gives its error and no pixels, and ends the array, as
+    nobody knows where the next one begins. No bytes give no images. A column named `output` is replaced; other columns may have
+    any names and are not sent to Python.
     """
-    kind = StructType.fromDDL("width int, height int, rgba binary, error string")
-    arrow = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("error", pa.string())])
+    kind = StructType.fromDDL("o array<struct<width: int, height: int, rgba: binary, error: string>>")["o"].dataType
+    arrow = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("error", pa.string())]))
 
     def pixels(files: pa.Array) -> pa.Array:
         return pa.array(list(_decoded(x.as_buffer().to_pybytes() if x.is_valid else None for x in files)), arrow)

@@ -78,6 +78,39 @@ def _features(k: int):
     return run
 
 
+_FEATURES = "doc_id long, n long, digest binary, bands array<long>"
+
+
+def _of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _features, of sets that are there already."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+        bands = [band_keys(sketch(x)) if len(x) else None for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bands"])
+
+
+def _unions(rows: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(id, items): the union of the sets of each id's rows. Shingles are made distinct by (id, shingle)
+    first, so that an id of very many rows is no burden; what is gathered is a document's own set."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sets(k)(batches):
+            for i in range(batch.num_rows):
+                items = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+                for at in range(0, max(len(items), 1), 1 << 16):  # an empty set is a null item
+                    part = pa.array(items[at : at + (1 << 16)]) if len(items) else pa.array([None], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(part), pa.int64()), part], ["id", "item"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort(x.values.to_numpy().astype(np.int64).view(np.uint64)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "items"])
+
+    items = rows.select("doc_id", "text").mapInArrow(exploded, "id long, item long").distinct()
+    return scratch.keep(items.groupBy("id").agg(F.collect_list("item").alias("items")).mapInArrow(packed, "id long, items binary"), "unions")
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,8 +145,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     when a chain of links joins them. component_id is the component's smallest doc_id.
 
     Null, empty and blank texts have an empty set and are linked with nothing. A null doc_id is
-    dropped from the linking and gets a null component. Rows with the same doc_id count as one
-    document whose component is shared. Other columns of docs are not read.
+    dropped from the linking and gets a null component. Rows with the same doc_id are one document: its
+    set is the union of theirs, and its row comes as often as they do. Other columns of docs are not read.
+
+    Shingles are told apart by 64-bit hashes: the chance that two of a million different ones of a pair of
+    documents meet is 3e-8, and a link would change by it only if the pair is within a shingle of the bound.
 
     Equal sets form one class (a grouping combined before its shuffle), so a text copied into a
     third of the rows costs one candidate. Within a band's bucket a first pass compares every class
@@ -125,7 +161,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     in chunks bounded by members and bytes, which emit one link at most for each member.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    feats = scratch.keep(source.mapInArrow(_features(k), "doc_id long, n long, digest binary, bands array<long>"), "minhash")
+    feats = scratch.keep(source.mapInArrow(_features(k), _FEATURES), "minhash")
+    again = scratch.keep(feats.groupBy("doc_id").count().where("doc_id is not null and count > 1"), "again")
+    unions = None if again.isEmpty() else _unions(source.join(again, "doc_id"), k, scratch)
+    if unions is not None:
+        merged = unions.select("id", "items").mapInArrow(_of_items, _FEATURES)
+        feats = scratch.keep(feats.join(again, "doc_id", "left_anti").unionAll(merged.select("doc_id", "n", "digest", "bands")), "minhash")
     classes = (
         feats.where("digest is not null and doc_id is not null")
         .groupBy("digest")
@@ -147,8 +188,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
 
     wanted = shared.select("id").distinct()
     sets = source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-    sets = scratch.keep(sets.mapInArrow(_sets(k), "id long, items binary"), "sets")
-    links = scratch.keep(_confirmed(first, sets, percent), "links")
+    if unions is not None:
+        sets = sets.join(unions.select("id"), "id", "left_anti")
+    sets = sets.mapInArrow(_sets(k), "id long, items binary")
+    sets = scratch.keep(sets if unions is None else sets.unionAll(unions.join(wanted, "id", "left_semi")), "sets")
+    links = found = scratch.keep(_confirmed(first, sets, percent), "links")
 
     labels = scratch.keep(components(links, scratch), "labels")
     rest = scratch.keep(_unsettled(shared.select("key", "id", "n"), labels), "rest")
@@ -158,13 +202,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     more = scratch.keep(_confirmed(second, sets, percent), "links")
     links = links.union(more)
     if not more.isEmpty():
+        scratch.drop(labels)
         labels = scratch.keep(components(links, scratch), "labels")
         rest = scratch.keep(_unsettled(rest.select("key", "id", "n"), labels), "rest")
     last = _by_rare_shingles(rest.select("id", "c").distinct(), sets, percent, scratch)
     final = labels if last is None or last.isEmpty() else scratch.keep(components(links.union(last), scratch), "labels")
-    scratch.drop(shared, first, second, sets, rest)
+    scratch.drop(shared, first, second, sets, rest, found, more, *([last] if last is not None else []), *([labels] if final is not labels else []))
     named = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = feats.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if unions is not None:
+        copies = again.select("doc_id", F.expr("explode(sequence(1, cast(count as int)))").alias("copy"))
+        out = out.join(copies, "doc_id", "left").drop("copy")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -113,17 +113,22 @@ def _plain_records(file: BinaryIO) -> Iterator[_Record]:
         lead = len(head[:end]) - len(head[:end].lstrip(b"\r\n"))
         headers = _headers(head[lead:end])
         start, length = at + end + 4, _length(headers)
+        if start + length > size:
+            raise ValueError("a WARC record ends early")
 
         def block(start: int = start, length: int = length) -> bytes:
             file.seek(start)
-            return file.read(length)
+            data = file.read(length)
+            if len(data) < length:
+                raise ValueError("a WARC record ends early")
+            return data
 
         yield _Record(headers, block)
         at = start + length + 4
 
 
-def _member_size(start: bytes) -> int | None:
-    """The length of a gzip member from its `sl` field, if it has one."""
+def _member_size(start: bytes) -> tuple[int, int] | None:
+    """The length of a gzip member and of what it holds, from its `sl` field if it has one."""
     if len(start) < 12 or start[:3] != b"\x1f\x8b\x08":
         raise ValueError("not a gzip member")
     if not start[3] & 4:
@@ -131,9 +136,9 @@ def _member_size(start: bytes) -> int | None:
     extra, at = start[12 : 12 + struct.unpack_from("<H", start, 10)[0]], 0
     while at + 4 <= len(extra):
         n = struct.unpack_from("<H", extra, at + 2)[0]
-        if extra[at : at + 2] == b"sl" and n == 8:
-            size = struct.unpack_from("<I", extra, at + 4)[0]
-            return size if 0 < size < 0xFFFFFFFF else None
+        if extra[at : at + 2] == b"sl" and n == 8 and at + 12 <= len(extra):
+            size, plain = struct.unpack_from("<II", extra, at + 4)
+            return (size, plain) if 0 < size < 0xFFFFFFFF and 0 < plain < 0xFFFFFFFF else None
         at += 4 + n
     return None
 
@@ -164,35 +169,63 @@ class _Inflating:
         return self.at + self.fed - len(self.inflate.unused_data)
 
 
+class _Block:
+    """A record's block in a member: read when asked for, and passed over otherwise."""
+
+    def __init__(self, source: _Inflating, got: bytes, length: int):
+        self.source, self.got, self.length = source, got, length
+
+    def _next(self) -> bytes:
+        piece = self.source.read()
+        if not piece:
+            raise ValueError("a WARC record ends early")
+        return piece
+
+    def read(self) -> bytes:
+        parts, n = [self.got], len(self.got)
+        while n < self.length:
+            parts.append(self._next())
+            n += len(parts[-1])
+        self.got = b"".join(parts)
+        return self.got[: self.length]
+
+    def rest(self) -> bytes:
+        """What has been inflated of what comes after the block."""
+        got, n = self.got, len(self.got)
+        while n < self.length:
+            got = self._next()
+            n += len(got)
+        return got[len(got) - (n - self.length) :]
+
+
 def _gzip_records(file: BinaryIO) -> Iterator[_Record]:
-    """The records of a file of gzip members. A member is inflated once: as far as its header, further if
-    the block is asked for, and to its end, with nothing kept, if it does not tell its length."""
+    """The records of a file of gzip members, one or more in a member. A member is inflated once: as far as
+    the header of its last record, further if that block is asked for, and to its end, with nothing kept, if
+    it does not tell its lengths."""
     size, at = file.size(), 0
     while at < size:
         file.seek(at)
-        member = _member_size(file.read(4096))
-        source = _Inflating(file, at)
-        plain = b""
-        while b"\r\n\r\n" not in plain:
-            more = source.read()
-            if not more:
-                raise ValueError("a WARC header has no end")
-            plain += more
-        end = plain.find(b"\r\n\r\n")
-        headers = _headers(plain[:end])
-
-        def block(source=source, got=plain[end + 4 :], length=_length(headers)) -> bytes:
-            parts, n = [got], len(got)
-            while n < length:
-                piece = source.read()
-                if not piece:
-                    raise ValueError("a WARC record ends early")
-                parts.append(piece)
-                n += len(piece)
-            return b"".join(parts)[:length]
-
-        yield _Record(headers, block)
-        at = at + member if member is not None else source.end()
+        told = _member_size(file.read(4096))
+        source, plain, before, some = _Inflating(file, at), b"", 0, False
+        while True:
+            while b"\r\n\r\n" not in plain.lstrip(b"\r\n") and (more := source.read()):
+                plain += more
+            lead = len(plain) - len(plain.lstrip(b"\r\n"))
+            end = plain.find(b"\r\n\r\n", lead)
+            if end < 0:
+                if plain.strip() or not some:
+                    raise ValueError("a WARC header has no end")
+                at = source.end()
+                break
+            headers = _headers(plain[lead:end])
+            block = _Block(source, plain[end + 4 :], _length(headers))
+            yield _Record(headers, block.read)
+            some = True
+            before += end + 4 + block.length
+            if told and before + 4 >= told[1]:
+                at += told[0]
+                break
+            plain = block.rest()
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, dict[str, str]]:

@@ -343,16 +343,19 @@ def write(payloads: list[bytes]) -> list[bytes]:
     return [b"".join(x) for x in out]
 
 
-def split(data: bytes) -> list[bytes]:
+def files(data: bytes) -> Iterator[bytes]:
     """The files that stand one after another in data."""
-    out, at = [], 0
+    at = 0
     while at < len(data):
         size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
         if data[at : at + 4] != b"RIFF" or size < 20 or at + size > len(data):
             raise WebPError("not a WebP file")
-        out.append(data[at : at + size])
+        yield data[at : at + size]
         at += size
-    return out
+
+
+def split(data: bytes) -> list[bytes]:
+    return list(files(data))
 
 
 class _Opened:

@@ -248,8 +248,22 @@ def test_decoded_column(spark):
     p = picture()
     df = spark.createDataFrame([(bytearray(plain_file(p)), 1, "old"), (None, 2, "old"), (bytearray(b"junk"), 3, "old")], "file binary, id int, pixels string")
     got = {r.id: r.pixels for r in media.decode_column(df, "file").collect()}
-    assert (got[1].width, got[1].height, bytes(got[1].rgba)) == (37, 23, p.tobytes())
-    assert got[2] is None and got[3].rgba is None and got[3].error
+    (one,) = got[1]
+    assert (one.width, one.height, bytes(one.rgba)) == (37, 23, p.tobytes())
+    assert got[2] is None and got[3][0].rgba is None and got[3][0].error
     other = media.decode_column(df, "file", "out").collect()  # a column called pixels stays
-    assert {r.pixels for r in other} == {"old"} and sum(r.out is not None and r.out.rgba is not None for r in other) == 1
+    assert {r.pixels for r in other} == {"old"} and sum(r.out is not None and r.out[0].rgba is not None for r in other) == 1
     assert media.decode_column(df.limit(0), "file").collect() == []
+
+
+def test_all_files_of_a_column_are_decoded(spark):
+    """A text above 8 KiB is several files, one after another; and whole files before a broken one come back."""
+    text = "".join(chr(97 + (i * i) % 23) for i in range(40_500))
+    stored = media.store_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    (row,) = media.decode_column(stored, "media").collect()
+    samples = b"".join(bytes(p.rgba)[1::4] for p in row.pixels)
+    assert len(row.pixels) == 5 and samples == media.padded(text.encode())
+    two = bytearray(plain_file(picture()))
+    df = spark.createDataFrame([(two + two + b"RIFF",)], "file binary")
+    (row,) = media.decode_column(df, "file").collect()
+    assert [p.error is None for p in row.pixels] == [True, True, False]

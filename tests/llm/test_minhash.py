@@ -78,6 +78,17 @@ def test_empty_table_and_repeated_rows(spark):
     assert [r.component_id for r in result(spark, [(None, "a b c d e"), (2, "a b c d e")])] in ([2, 2], [None, 2])
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """Its set is the union of its rows' sets, as in the SQL: a row that is a copy of nothing is not lost."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, a + " " + b), (4, None), (4, ""), (5, None), (5, a), (None, a), (None, a)]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in result(spark, rows))
+    assert [x for x in got if x[0] != "None"] == [("1", 37, 1, True), ("2", 74, 2, True), ("2", 74, 2, True), ("3", 77, 2, False), ("4", 0, 4, True), ("4", 0, 4, True), ("5", 37, 1, False), ("5", 37, 1, False)]
+    assert len(got) == len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in minhash.one_of_each(df, Scratch(spark), k=4).collect()) == ["1", "2", "2", "4", "4", "None", "None"]
+
+
 @pytest.mark.parametrize(("few", "chunk"), [(32, 256), (2, 3), (0, 256)])
 def test_chains_and_a_large_group_of_near_copies(spark, monkeypatch, few, chunk):
     """Buckets of many classes, of which the pivot is linked with few: rare shingles find the rest, one pair

@@ -146,3 +146,42 @@ def test_pages(spark):
 
 def test_matches_sql(same):
     same(queries.QUERIES["op1_warc"], queries.ORACLE_SQL["op1_warc"])
+
+
+def _read(path):
+    from pyarrow import fs
+
+    with fs.LocalFileSystem().open_input_file(str(path)) as f:
+        records = warc._gzip_records(f) if str(path).endswith("gz") else warc._plain_records(f)
+        return [(r.headers["warc-record-id"], warc.payload_of(r.headers, r.block())[0]) if wanted else (r.headers["warc-record-id"], None) for r, wanted in ((r, not r.headers["warc-record-id"].endswith("odd>")) for r in records)]
+
+
+def _records(sizes):
+    rows = [{"record_type": "resource", "record_id": f"<{i}{'odd' if i % 2 else ''}>", "payload": bytes([65 + i % 26]) * n, "payload_digest": "00" * 20} for i, n in enumerate(sizes)]
+    want = [(r["record_id"], None if r["record_id"].endswith("odd>") else r["payload"]) for r in rows]
+    return [warc.encode_record(r) for r in rows], want
+
+
+@pytest.mark.parametrize("told", [True, False])
+@pytest.mark.parametrize("per_member", [3, 7])
+def test_several_records_in_a_member(tmp_path, told, per_member):
+    """Three records a member, or the whole file in one, whether members tell their lengths or not, and blocks read or passed over."""
+    records, want = _records([10, 0, 200_000, 70_000, 5, 300_000, 1])
+    path = tmp_path / "x.warc.gz"
+    parts = [b"".join(records[i : i + per_member]) for i in range(0, len(records), per_member)]
+    path.write_bytes(b"".join(warc.member(p) if told else gzip.compress(p) for p in parts))
+    assert _read(path) == want
+    path.write_bytes(path.read_bytes()[:-200])
+    with pytest.raises(ValueError):
+        _read(path)
+
+
+def test_files_cut_short(tmp_path):
+    records, want = _records([100, 50, 4000])
+    path, data = tmp_path / "x.warc", b"".join(records)
+    path.write_bytes(data)
+    assert _read(path) == want
+    for at in (len(data) - 3000, len(data) - 4100, len(records[0]) + 30):  # in a block, in a header, in the second header
+        path.write_bytes(data[:at])
+        with pytest.raises(ValueError, match=r"ends early|no end"):
+            _read(path)
