@@ -97,7 +97,7 @@ add("dedup_text_descending", [PART, ("d", "xf.dedup", {"keys": ["p_brand"], "ord
 add("sort_limit", [ORDERS, ("s", "xf.sort", {"by": "o_totalprice DESC, o_orderkey"}), ("l", "xf.limit", {"count": 100, "offset": 10})], "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 10")
 add(
     "sort_nulls_last",
-    [EVENTS, ("d", "xf.derive", {"expressions": "nullif(user_id % 5, 0) AS g"}), ("s", "xf.sort", {"by": "g, event_id"}), ("l", "xf.limit", {"count": 1000000, "offset": 100})],
+    [EVENTS, ("d", "xf.derive", {"expressions": "nullif(user_id % 5, 0) AS g"}), ("s", "xf.sort", {"by": "g, event_id"}), ("l", "xf.limit", {"offset": 100})],
     "SELECT * FROM (SELECT *, nullif(user_id % 5, 0) AS g FROM events) ORDER BY g NULLS LAST, event_id OFFSET 100",
 )
 add(
@@ -185,6 +185,56 @@ for name, call, order in (
         [ORDERS, ("w", "xf.window", {"expression": call, "output_column": "seen", "partition_by": ["o_custkey"], "order_by": order}), ("s", "xf.select", {"columns": ["o_orderkey", "seen"]})],
         f"SELECT o_orderkey, {call} OVER (PARTITION BY o_custkey ORDER BY {order}) AS seen FROM orders".replace("ntile(4) OVER", "(ntile(4) OVER").replace("ORDER BY o_totalprice, o_orderkey) AS seen", "ORDER BY o_totalprice, o_orderkey))::INTEGER AS seen" if name == "window_ntile" else "ORDER BY o_totalprice, o_orderkey) AS seen"),
     )
+for name, call, order in (
+    ("window_all_row_number", "row_number()", "o_totalprice DESC, o_orderkey"),
+    ("window_all_rank", "rank()", "o_orderpriority, o_orderstatus"),
+    ("window_all_dense_rank", "dense_rank()", "o_orderdate DESC"),
+    ("window_all_percent_rank", "percent_rank()", "o_orderdate"),
+    ("window_all_cume_dist", "cume_dist()", "nullif(o_orderpriority, '2-HIGH')"),
+    ("window_all_ntile", "ntile(7)", "o_totalprice, o_orderkey"),
+    ("window_all_running_sum", "sum(o_custkey)", "o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"),
+    ("window_all_running_count", "count(nullif(o_orderstatus, 'F'))", "o_orderstatus"),
+    ("window_all_running_max", "max(o_totalprice)", "o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"),
+    ("window_all_lag", "lag(o_orderkey, 3, -1)", "o_orderdate, o_orderkey"),
+    ("window_all_lead", "lead(o_totalprice)", "o_orderdate, o_orderkey"),
+):
+    _NULLS = order.replace(" ROWS BETWEEN", " NULLS LAST ROWS BETWEEN") if " ROWS " in order else f"{order} NULLS LAST"
+    add(
+        name,
+        [ORDERS, ("w", "xf.window", {"expression": call, "output_column": "seen", "order_by": order}), ("s", "xf.select", {"columns": ["o_orderkey", "seen"]})],
+        f"SELECT o_orderkey, ({call} OVER (ORDER BY {_NULLS})){'::BIGINT' if call.startswith('sum') else '::INTEGER' if 'rank()' in call and 'percent' not in call or 'row_number' in call or 'ntile' in call else ''} AS seen FROM orders",
+    )
+add("window_all_total", [ORDERS, ("w", "xf.window", {"expression": "count(*)", "output_column": "seen"}), ("s", "xf.select", {"columns": ["o_orderkey", "seen"]})], "SELECT o_orderkey, count(*) OVER () AS seen FROM orders")
+# The event last seen before each order of the year in which the events lie, a third of which is one user's.
+_ASOF = [
+    EVENTS,
+    ORDERS,
+    ("e", "xf.sql", {"query": "SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 50 END AS k, ts, event_id FROM events"}, "events"),
+    ("o", "xf.sql", {"query": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 60 END AS k, date_add('microsecond', o_orderkey * 1000003 % 2592000000000, TIMESTAMP '2024-01-01') AS at, o_orderkey FROM orders".replace("date_add('microsecond', o_orderkey * 1000003 % 2592000000000, TIMESTAMP '2024-01-01')", "timestamp_micros(1704067200000000 + o_orderkey * 1000003 % 2592000000000)::TIMESTAMP_NTZ")}, "orders"),
+]
+_ASOF_SQL = """SELECT o.k, o.at, o_orderkey, e.ts, e.event_id FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 60 END AS k, make_timestamp(1704067200000000 + o_orderkey * 1000003 % 2592000000000) AS "at", o_orderkey FROM orders) o
+    {} JOIN (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 50 END AS k, ts, event_id FROM events) e ON o.k = e.k AND o.at {} e.ts"""
+for name, kind, word, strict in (("join_asof", "asof", "ASOF", False), ("join_asof_left", "asof_left", "ASOF LEFT", False), ("join_asof_strict", "asof", "ASOF", True)):
+    add(name, [*_ASOF, ("j", "xf.join", {"type": kind, "keys": ["k"], "left_on": "at", "right_on": "ts", "strict": strict}, {"left": "o", "right": "e"})], _ASOF_SQL.format(word, ">" if strict else ">="))
+add(
+    "join_positional",
+    [CUSTOMER, SUPPLIER, ("c", "xf.select", {"columns": ["c_custkey", "c_acctbal"]}, "customer"), ("s", "xf.select", {"columns": ["s_suppkey", "s_acctbal"]}, "supplier"), ("j", "xf.join", {"type": "positional", "left_on": "c_acctbal DESC, c_custkey", "right_on": "s_acctbal DESC, s_suppkey"}, {"left": "c", "right": "s"})],
+    "SELECT c_custkey, c_acctbal, s_suppkey, s_acctbal FROM (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) FULL JOIN (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier) USING (r)",
+)
+# The events within a time of each order's, from a minute to two days long.
+_SPANS = "SELECT o_orderkey, ts_from, ts_from + CASE o_orderkey % 5 WHEN 0 THEN INTERVAL '2 days' WHEN 1 THEN INTERVAL '1 minute' WHEN 2 THEN INTERVAL '3 hours' ELSE INTERVAL '10 minutes' END AS ts_to FROM (SELECT o_orderkey, {} AS ts_from FROM orders WHERE o_orderkey % 20 = 0)"
+add(
+    "join_range",
+    [
+        EVENTS,
+        ORDERS,
+        ("spans", "xf.sql", {"query": _SPANS.format("timestamp_micros(1704067200000000 + o_orderkey * 1000003 % 2592000000000)::TIMESTAMP_NTZ").replace(" WHERE o_orderkey % 20 = 0", "")}, "orders"),
+        ("e", "xf.select", {"columns": ["event_id", "ts"]}, "events"),
+        ("j", "xf.join", {"type": "range", "condition": "ts >= ts_from AND ts < ts_to"}, {"left": "e", "right": "spans"}),
+        ("a", "xf.aggregate", {"aggregations": "count(*) AS n, min(event_id) AS low, max(event_id) AS high, sum(event_id)::BIGINT AS total", "group_by": ["o_orderkey"]}),
+    ],
+    f"SELECT o_orderkey, count(*) AS n, min(event_id) AS low, max(event_id) AS high, sum(event_id)::BIGINT AS total FROM events JOIN ({_SPANS.format('make_timestamp(1704067200000000 + o_orderkey * 1000003 % 2592000000000)').replace(' WHERE o_orderkey % 20 = 0', '')}) ON ts >= ts_from AND ts < ts_to GROUP BY o_orderkey",
+)
 _KINDS = ["click", "error", "purchase", "signup", "view"]
 add(
     "pivot",

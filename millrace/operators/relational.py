@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.dialect import name, order_list, spark_type, split_list, translate
 from ..registry import Step, component, need, one_of, opt
+from . import ordered
 
 
 def col(c: str) -> Column:
@@ -151,14 +152,21 @@ def sort(step: Step) -> DataFrame:
     return step.df.orderBy(*[F.expr(e).desc_nulls_first() if d and f else F.expr(e).desc_nulls_last() if d else F.expr(e).asc_nulls_first() if f else F.expr(e).asc_nulls_last() for e, d, f in map(_order_key, order_list(step["by"]))])
 
 
-@component("xf.limit", {"count": need("integer"), "offset": opt("integer", 0)})
+def _limit_check(node: str, p: dict) -> None:
+    from ..registry import InvalidProperty
+
+    if p["count"] is None and not p["offset"]:
+        raise InvalidProperty(node, "count", "is required")
+
+
+@component("xf.limit", {"count": opt("integer"), "offset": opt("integer", 0)}, check=_limit_check)
 def limit(step: Step) -> DataFrame:
-    """`count` rows after `offset`."""
+    """`count` rows after `offset`, or all rows after it if there is an offset alone."""
     for p in ("count", "offset"):
-        if step[p] < 0:
+        if (step[p] or 0) < 0:
             raise step.bad(p, "must not be negative")
     df = step.df.offset(step["offset"]) if step["offset"] else step.df
-    return df.limit(step["count"])
+    return df if step["count"] is None else df.limit(step["count"])
 
 
 @component("xf.sample", {"size": need("number"), "unit": one_of("rows", "percent", default="rows"), "seed": opt("integer", 0)})
@@ -180,36 +188,92 @@ def sample(step: Step) -> DataFrame:
     return drawn.orderBy(F.rand(step["seed"] + 1)).limit(n)
 
 
+_ORDERED = {"asof", "asof_left", "positional", "range"}
+
+
 def _join_check(node: str, p: dict) -> None:
     from ..registry import InvalidProperty
 
-    if p["type"] == "cross":
+    kind = p["type"]
+    needed = {"asof": ("left_on", "right_on"), "asof_left": ("left_on", "right_on"), "positional": ("left_on", "right_on"), "range": ("condition",)}.get(kind, ())
+    for prop in needed:
+        if not p[prop]:
+            raise InvalidProperty(node, prop, f"is required for a join of type {kind}")
+    if kind == "range" and not _BETWEEN.fullmatch(p["condition"]):
+        raise InvalidProperty(node, "condition", "of a range join is: point >= low AND point < high (or >, <=), with plain column names")
+    if kind in _ORDERED:
+        return
+    if kind == "cross":
         if p["keys"] or p["condition"]:
             raise InvalidProperty(node, "type", "keys or a condition mean nothing to a cross join")
     elif bool(p["keys"]) == bool(p["condition"]):
         raise InvalidProperty(node, "keys", "give either keys or a condition")
 
 
-@component("xf.join", {"type": one_of("inner", "left", "right", "full", "outer", "cross", default="inner"), "keys": opt("strings"), "condition": opt("sql")}, inputs=("left", "right"), check=_join_check)
+_BETWEEN = re.compile(r"\s*(\w+)\s*(>=?)\s*(\w+)\s+AND\s+(\w+)\s*(<=?)\s*(\w+)\s*", re.I)
+
+
+def _apart(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """right with its columns renamed that left has too, but for the keys."""
+    taken = {*left.columns, *right.columns}
+    for c in [c for c in right.columns if c in left.columns and c not in keys]:
+        n = next(i for i in range(1, len(taken) + 2) if f"{c}_{i}" not in taken)
+        right = right.withColumnRenamed(c, f"{c}_{n}")
+        taken.add(f"{c}_{n}")
+    return right
+
+
+def _ordered_join(step: Step, left: DataFrame, right: DataFrame) -> DataFrame:
+    held, keys = (step.context or {}).get("held", lambda df: df), step["keys"] or []
+    if step["type"] == "positional":
+        orders = [[_order_key(x) for x in order_list(step[p])] for p in ("left_on", "right_on")]
+        plain = right.columns
+        right = _apart(left, right, ())
+        new = dict(zip(plain, right.columns, strict=True))
+        return ordered.positional_join(left, right, orders[0], [(new.get(e.strip("`\""), e), d, f) for e, d, f in orders[1]], held)
+    if step["type"] == "range":
+        point, lower, low, again, upper, high = _BETWEEN.fullmatch(step["condition"]).groups()
+        if point != again:
+            raise step.bad("condition", "both sides are of the same column")
+        must_have(step, "condition", left, [point])
+        must_have(step, "condition", right, [low, high])
+        if {low, high} & set(left.columns):
+            raise step.bad("condition", "both inputs have a column of that name")
+        return ordered.range_join(left, _apart(left, right, ()), point, low, high, low_open=lower == ">", high_open=upper == "<")
+    must_have(step, "left_on", left, [*keys, step["left_on"]])
+    must_have(step, "right_on", right, [*keys, step["right_on"]])
+    at = right.columns.index(step["right_on"])
+    right = _apart(left, right, keys)
+    return ordered.asof_join(left, right, keys, step["left_on"], right.columns[at], held, strict=bool(step["strict"]), keep=step["type"] == "asof_left")
+
+
+@component(
+    "xf.join",
+    {
+        "type": one_of("inner", "left", "right", "full", "outer", "cross", "asof", "asof_left", "positional", "range", default="inner"), "keys": opt("strings"), "condition": opt("sql"),
+        "left_on": opt(doc="asof: the time of the left side; positional: its order"), "right_on": opt(), "strict": opt("bool", False),
+    },
+    inputs=("left", "right"), check=_join_check,
+)
 def join(step: Step) -> DataFrame:
     """Rows of both sides by equal keys (each key appears once) or by a condition over their node ids.
 
     The strategy is Spark's: broadcast below its threshold, sort-merge with skewed keys split above.
+
+    asof takes for each left row the last right row of the same keys not later than it (strict: earlier),
+    positional puts rows side by side in the orders left_on and right_on, range takes a left column between
+    two right ones. See ordered.py for how these are spread over tasks.
     """
     left, right = step.by_port["left"], step.by_port["right"]
     how = "full" if step["type"] == "outer" else step["type"]
+    if how in _ORDERED:
+        return _ordered_join(step, left, right)
     if how == "cross":
         return unique_names(left.crossJoin(right))
     if step["keys"]:
         must_have(step, "keys", left, step["keys"])
         must_have(step, "keys", right, step["keys"])
-        clash = [c for c in right.columns if c in left.columns and c not in step["keys"]]
-        taken = {*left.columns, *right.columns}
-        for c in clash:
-            n = next(i for i in range(1, len(taken) + 2) if f"{c}_{i}" not in taken)
-            right = right.withColumnRenamed(c, f"{c}_{n}")
-            taken.add(f"{c}_{n}")
-        return left.join(right, step["keys"], how)
+        return left.join(_apart(left, right, step["keys"]), step["keys"], how)
     names = step.context["names"]  # each side under its node's id and alias
     condition = translate(step["condition"])
     a, b = (next((n for n in names[p] if re.search(rf"(?<!\w){re.escape(n)}`?\s*\.", condition)), names[p][0]) for p in ("left", "right"))
@@ -226,8 +290,14 @@ def aggregate(step: Step) -> DataFrame:
 
 @component("xf.window", {"expression": need("sql"), "output_column": need(), "partition_by": opt("strings", ()), "order_by": opt("sql")})
 def window(step: Step) -> DataFrame:
-    """One more column: the expression over each partition, in order."""
+    """One more column: the expression over each partition, in order.
+
+    Without partition_by numbers, ranks, neighbours and aggregates up to the current row are found by all
+    tasks (see ordered.py); other frames and functions have one task then, as in any window of Spark's.
+    """
     must_have(step, "partition_by", step.df, step["partition_by"])
+    if not step["partition_by"] and (made := _over_all(step)) is not None:
+        return made
     parts = []
     if step["partition_by"]:
         parts.append("PARTITION BY " + ", ".join(name(c) for c in step["partition_by"]))
@@ -245,6 +315,20 @@ def window(step: Step) -> DataFrame:
     return unique_names(step.df.select("*", made))
 
 
+def _over_all(step: Step) -> DataFrame | None:
+    expression, keys, frame = translate(step["expression"]), None, "range"
+    if step["order_by"]:
+        text, frame = ordered.split_frame(step["order_by"])
+        keys = [(translate(e), d, f) for e, d, f in map(_order_key, order_list(text))]
+    elif not re.match(r"\s*(sum|count|avg|min|max)\b", expression, re.I):
+        return None
+    df = step.df
+    if "over_" in df.columns or any(re.fullmatch(r"(key\d+|part|tie|rows|own|sum|count|min|max|dense|keys)_(of_|before_)?", c) for c in df.columns):
+        return None
+    made = ordered.over_all(df, expression, keys, frame, (step.context or {}).get("held", lambda x: x))
+    return None if made is None else unique_names(made.withColumnRenamed("over_", step["output_column"]) if step["output_column"] not in df.columns else made.toDF(*df.columns, step["output_column"]))
+
+
 @component("xf.pivot", {"on": need("strings"), "values": need("strings"), "using": need("sql"), "group_by": opt("strings")})
 def pivot(step: Step) -> DataFrame:
     """One column for each listed value of `on` (each combination, if there are several), holding the
