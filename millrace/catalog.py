@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from . import catalog_remote
 from .functions.text import PATTERNS
 from .model import pipeline
+from .operators.similarity import nearest
 from .plans.compile import compile_pipeline
 from .plans.lineage import lineage
 from .plans.run import frames, preview, run
-from .storage import list_files, new_path, replace_file
+from .storage import list_files, new_path, replace_file, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -420,6 +421,13 @@ SELECT stage, 'in' AS port, count(*) AS rows FROM (SELECT CASE WHEN regexp_match
 """
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to each whose id is divisible by 20, among all."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    found = nearest(rows, rows.where("vec_id % 20 = 0"), 10, lambda df: written(spark, df, "nearest"), key="vec_id")
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "place")
+
+
 def _previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that a preview of a node shows, with no sink run."""
     steps = [("nation", "src.file.parquet", {"path": f"{sf_dir}/nation.parquet"}), ("f", "xf.filter", {"predicate": "n_regionkey = 2"}), ("out", "snk.file.parquet", {"path": new_path(spark, "previewed")})]
@@ -461,8 +469,23 @@ def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, pipeline(("back", "src.lake.delta", {"path": root}), name="delta"))["back"]
 
 
-QUERIES |= {"preview": _previewed, "lineage": _lineage, "delta_log": _delta, **catalog_remote.QUERIES}
+add(
+    "cosine_similarity",
+    [
+        table("embeddings"),
+        ("next", "xf.sql", {"query": "SELECT vec_id - 1 AS vec_id, embedding AS other FROM embeddings"}, "embeddings"),
+        ("j", "xf.join", {"type": "inner", "keys": ["vec_id"]}, {"left": "embeddings", "right": "next"}),
+        ("d", "xf.derive", {"expressions": "round(array_cosine_similarity(embedding, other), 6) AS similarity"}),
+        ("s", "xf.select", {"columns": ["vec_id", "label", "similarity"]}),
+    ],
+    """SELECT a.vec_id, a.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+)
+QUERIES |= {"embedding_neighbours": _neighbours, "preview": _previewed, "lineage": _lineage, "delta_log": _delta, **catalog_remote.QUERIES}
 ORACLE_SQL |= {
+    "embedding_neighbours": """SELECT query, id, round(similarity, 6) AS similarity, place::INTEGER AS place FROM (
+      SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS place FROM (
+        SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0))
+      WHERE place <= 10""",
     "preview": "SELECT * FROM nation WHERE n_regionkey = 2",
     "lineage": "SELECT * FROM (VALUES ('nation', 'main', 'check'), ('check', 'main', 'out'), ('check', 'rejected', 'rest'), ('nation.parquet', 'reads', 'nation'), ('out', 'writes', 'out'), ('rest', 'writes', 'rest')) AS t(origin, kind, target)",
     "delta_log": "SELECT * FROM orders WHERE o_orderstatus <> 'O' OR o_totalprice > 50000",

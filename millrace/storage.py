@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +28,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read from there."""
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hadoop(spark: SparkSession, path: str):
     """(Path, FileSystem) of a path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
