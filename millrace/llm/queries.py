@@ -249,6 +249,47 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, target, Scratch(spark), buckets=10_000, percent=5, least_words=20, seed=42)
 
 
+
+# The CRC-32 of a run of words is made of those of its words: that of what comes before is taken on by as
+# many zero bytes as the next word has. 3916222277 is the CRC-32 of a space.
+ORACLE_SQL["op12_resampling"] = r"""
+WITH tab AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab FROM range(256) t(n)
+), given AS (
+  SELECT 0 AS part, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), w AS (
+  SELECT part, id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM given
+), places AS (
+  SELECT part, id, r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+), bytes AS (
+  SELECT word, hex(encode(word)) AS h, strlen(word) AS n FROM (SELECT DISTINCT word FROM places)
+), crcs AS (
+  SELECT word, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(n), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM bytes, tab
+), one AS (
+  SELECT part, id, r, i, n, crc FROM places JOIN crcs USING (word)
+), two AS (
+  SELECT a.part, a.id, a.r, b.i, b.n, b.crc AS own, xor(list_reduce(list_prepend(xor(xor(a.crc >> 8, tab[(a.crc & 255) + 1]), 3916222277), range(b.n)), lambda c, k: xor(c >> 8, tab[(c & 255) + 1])), b.crc) AS crc
+  FROM one a JOIN one b ON b.r = a.r AND b.i = a.i + 1, tab
+), three AS (
+  SELECT a.part, a.id, a.r, b.i, xor(list_reduce(list_prepend(xor(xor(a.crc >> 8, tab[(a.crc & 255) + 1]), 3916222277), range(b.n)), lambda c, k: xor(c >> 8, tab[(c & 255) + 1])), b.crc) AS crc
+  FROM two a JOIN one b ON b.r = a.r AND b.i = a.i + 1, tab
+), f AS (
+  SELECT part, id, r, crc % 10000 AS bucket FROM one UNION ALL SELECT part, id, r, crc % 10000 FROM two UNION ALL SELECT part, id, r, crc % 10000 FROM three
+), total AS (SELECT count(*) FILTER (WHERE part = 0)::DOUBLE AS s, count(*) FILTER (WHERE part = 1)::DOUBLE AS t FROM f
+), gain AS (
+  SELECT bucket, floor(1000 * ln((count(*) FILTER (WHERE part = 1) + 1)::DOUBLE * (any_value(total.s) + 10000) / ((count(*) FILTER (WHERE part = 0) + 1)::DOUBLE * (any_value(total.t) + 10000))))::BIGINT AS gain FROM f, total GROUP BY bucket
+), sums AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN gain USING (bucket) WHERE part = 0 GROUP BY r),
+scored AS (
+  SELECT id AS doc_id, r, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN sums USING (r) WHERE part = 0
+), ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
 @query
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, scratch = table(spark, sf_dir, "conversations"), Scratch(spark)

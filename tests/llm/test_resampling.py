@@ -104,3 +104,7 @@ def test_edge_cases(spark):
         assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
         assert Counter(map(tuple, got.collect())) == brute(docs, texts, percent=10)
     assert resampling.resample(rows, target, Scratch(spark), least_words=1000).where(F.col("rank").isNotNull()).isEmpty()
+
+
+def test_matches_sql(same):
+    same(queries.QUERIES["op12_resampling"], queries.ORACLE_SQL["op12_resampling"])
