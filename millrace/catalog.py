@@ -170,6 +170,20 @@ add(
     [LINEITEM, ("a", "xf.aggregate", {"aggregations": "quantile_cont(l_quantity, 0.25) AS low, median(l_quantity) AS middle, quantile_disc(l_quantity, 0.9) AS high, mode(l_linestatus) AS usual, list_sort(list(DISTINCT l_returnflag)) AS flags, string_agg(DISTINCT l_returnflag, '') AS joined, arg_min(l_shipdate, l_orderkey * 10 + l_linenumber) AS first_ship, bool_or(l_tax > 0.07) AS taxed, round(stddev_samp(l_quantity), 6) AS spread", "group_by": ["l_linenumber"]}), ("s", "xf.sql", {"query": "SELECT l_linenumber, low, middle, high, cardinality(flags) AS flags, length(joined) AS joined, taxed, spread FROM a"})],
     "SELECT l_linenumber, quantile_cont(l_quantity, 0.25) AS low, median(l_quantity) AS middle, quantile_disc(l_quantity, 0.9) AS high, count(DISTINCT l_returnflag)::INTEGER AS flags, length(string_agg(DISTINCT l_returnflag, ''))::INTEGER AS joined, bool_or(l_tax > 0.07) AS taxed, round(stddev_samp(l_quantity), 6) AS spread FROM lineitem GROUP BY l_linenumber",
 )
+for name, by in (("quantiles_all", []), ("quantiles_by_group", ["g"])):
+    # A group of a third of the rows, one of nulls; and all rows as one group.
+    _ITEMS = "round(median(l_extendedprice), 4) AS middle, round(quantile_cont(l_extendedprice, 0.999), 4) AS most, quantile_disc(l_partkey, 0.25) AS part, quantile_disc(l_shipdate, 0.75) AS late, round(median(l_tax * l_quantity) FILTER (WHERE l_returnflag = 'R'), 6) AS taxed, count(*) AS n"
+    _GROUP = "CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE nullif(l_suppkey % 7, 2) END AS g"
+    add(
+        name,
+        [
+            LINEITEM,
+            ("d", "xf.derive", {"expressions": _GROUP}),
+            ("a", "xf.aggregate", {"aggregations": _ITEMS.replace("round(", "").replace(", 4)", "").replace(", 6)", ""), "group_by": by}),
+            ("r", "xf.sql", {"query": f"SELECT {''.join(x + ', ' for x in by)}round(middle, 4) AS middle, round(most, 4) AS most, part, late, round(taxed, 6) AS taxed, n FROM a"}),
+        ],
+        f"SELECT {''.join(x + ', ' for x in by)}{_ITEMS} FROM (SELECT *, {_GROUP} FROM lineitem) {'GROUP BY g' if by else ''}",
+    )
 for name, sets in (("rollup", "ROLLUP (l_returnflag, l_linestatus)"), ("cube", "CUBE (l_returnflag, l_linestatus)"), ("grouping_sets", "GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())")):
     _SETS = f"SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS whole, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY {sets}"
     add(name, [LINEITEM, ("q", "xf.sql", {"query": _SETS})], _SETS.replace("grouping(l_returnflag)", "grouping(l_returnflag)::TINYINT"))

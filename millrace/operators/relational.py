@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.dialect import name, order_list, spark_type, split_list, translate
 from ..registry import Step, component, need, one_of, opt
-from . import ordered
+from . import ordered, selection
 
 
 def col(c: str) -> Column:
@@ -171,21 +171,16 @@ def limit(step: Step) -> DataFrame:
 
 @component("xf.sample", {"size": need("number"), "unit": one_of("rows", "percent", default="rows"), "seed": opt("integer", 0)})
 def sample(step: Step) -> DataFrame:
-    """Exactly that many rows, or that share of them rounded, drawn at random.
-
-    A Bernoulli draw of slightly more rows than wanted comes first, so that a small part of a large
-    relation is ordered: eight deviations more, which falls short once in 10^15 draws.
-    """
+    """Exactly that many rows, or that share of them rounded, drawn at random (see selection.py)."""
     size = float(step["size"])
     if size < 0 or (step["unit"] == "percent" and size > 100):
         raise step.bad("size", "is out of range")
-    total = step.df.count()
-    n = min(total, round(total * size / 100) if step["unit"] == "percent" else int(size))
-    if n == 0 or n == total:
-        return step.df if n else step.df.limit(0)
-    share = min(1.0, (n + 8 * n**0.5 + 64) / total)
-    drawn = step.df.sample(share, seed=step["seed"]) if share < 0.5 else step.df
-    return drawn.orderBy(F.rand(step["seed"] + 1)).limit(n)
+    return selection.sampled(step.df, size, step["unit"] == "percent", step["seed"], _held(step))
+
+
+def _held(step: Step):
+    """What writes a DataFrame for the rest of the run; outside a run it stays as it is."""
+    return (step.context or {}).get("held", lambda df: df)
 
 
 _ORDERED = {"asof", "asof_left", "positional", "range"}
@@ -224,7 +219,7 @@ def _apart(left: DataFrame, right: DataFrame, keys) -> DataFrame:
 
 
 def _ordered_join(step: Step, left: DataFrame, right: DataFrame) -> DataFrame:
-    held, keys = (step.context or {}).get("held", lambda df: df), step["keys"] or []
+    held, keys = _held(step), step["keys"] or []
     if step["type"] == "positional":
         orders = [[_order_key(x) for x in order_list(step[p])] for p in ("left_on", "right_on")]
         plain = right.columns
@@ -282,10 +277,13 @@ def join(step: Step) -> DataFrame:
 
 @component("xf.aggregate", {"aggregations": need("sql"), "group_by": opt("strings", ())})
 def aggregate(step: Step) -> DataFrame:
-    """A select list of aggregates for each group; without group_by one row, of an empty input too."""
+    """A select list of aggregates for each group; without group_by one row, of an empty input too.
+
+    An item that is an exact quantile, a median or a mode is found by all tasks together (see
+    selection.py); within a longer expression it is Spark's, which has a group's values in one task.
+    """
     must_have(step, "group_by", step.df, step["group_by"])
-    made = [F.expr(x) for x in sql_list(step["aggregations"])]
-    return step.df.groupBy(*[col(c) for c in step["group_by"]]).agg(*made)
+    return selection.aggregated(step.df, list(step["group_by"]), sql_list(step["aggregations"]), _held(step))
 
 
 @component("xf.window", {"expression": need("sql"), "output_column": need(), "partition_by": opt("strings", ()), "order_by": opt("sql")})
@@ -325,7 +323,7 @@ def _over_all(step: Step) -> DataFrame | None:
     df = step.df
     if "over_" in df.columns or any(re.fullmatch(r"(key\d+|part|tie|rows|own|sum|count|min|max|dense|keys)_(of_|before_)?", c) for c in df.columns):
         return None
-    made = ordered.over_all(df, expression, keys, frame, (step.context or {}).get("held", lambda x: x))
+    made = ordered.over_all(df, expression, keys, frame, _held(step))
     return None if made is None else unique_names(made.withColumnRenamed("over_", step["output_column"]) if step["output_column"] not in df.columns else made.toDF(*df.columns, step["output_column"]))
 
 
