@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.dialect import spark_type
 from ..operators.relational import cast_column
 from ..registry import InvalidProperty, Step, component, need, one_of, opt
-from ..storage import list_files, new_path
+from ..storage import list_files, new_path, written
 from .files import _as_text, in_file_order, naive_times, narrow_dates, typed_columns
 
 HTTP = {
@@ -295,58 +295,94 @@ def read_graphql(step: Step) -> DataFrame:
     return _api(step, "graphql")
 
 
-def send_batches(df: DataFrame, size: int, send: Any) -> int:
-    """Rows in batches of `size` to send(list of JSON texts), in order, by one task; returns how many.
+SINK = {"batch_size": opt("integer", 100), "tasks": opt("integer", 1), "key_header": opt("text", "Idempotency-Key")}
 
-    An API takes its requests one after another; the task that sends fails with the number of rows
-    that were delivered before.
-    """
-    lines = df.coalesce(1).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
 
-    def run(batches: Iterator[Any]) -> Iterator[Any]:
+def _sink_check(node: str, p: dict) -> None:
+    _rest_check(node, p)
+    for name in ("batch_size", "tasks"):
+        if p[name] < 1:
+            raise InvalidProperty(node, name, "must be positive")
+
+
+def _batches(df: DataFrame, size: int, tasks: int) -> DataFrame:
+    """A row for each batch of rows, as JSON texts: its key, the part of df it is from, its place there."""
+    import uuid
+
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    delivery = uuid.uuid4().hex
+
+    def cut(frames: Iterator[Any]) -> Iterator[Any]:
+        import itertools
+
         import pandas as pd
+        from pyspark import TaskContext
 
-        done, held = 0, []
+        part, lines = TaskContext.get().partitionId(), (line for frame in frames for line in frame["value"])
+        for number in itertools.count():
+            batch = list(itertools.islice(lines, size))
+            if not batch:
+                return
+            yield pd.DataFrame({"key": [f"{delivery}-{part}-{number}"], "part": [part], "number": [number], "lines": [batch]})
 
-        def flush() -> None:
-            nonlocal done, held
-            try:
-                send(held)
-            except Exception as e:
-                raise RuntimeError(f"after {done} rows were delivered: {e}") from e
-            done, held = done + len(held), []
+    return (rows.coalesce(1) if tasks == 1 else rows.repartition(tasks)).mapInPandas(cut, "key string, part int, number long, lines array<string>")
+
+
+def send_batches(step: Step, send: Any) -> Any:
+    """What delivers a DataFrame by send(client, list of JSON texts), and returns the number of rows.
+
+    Rows are cut into batches and written before the first is sent. So a batch has the same rows and the
+    same key whenever it is sent: by a task that Spark starts again or a second time, by a retry of the
+    request, or by a retry of the node. A service that heeds the key's header takes it once; one that
+    does not may see the batches of a failed task again. One task sends in the order of the rows; more
+    send side by side, in no order. A failure tells how many rows that task had delivered.
+    """
+    p, tasks, cut = dict(step.props), step["tasks"], []
+
+    def deliver(df: DataFrame) -> int:
+        if not cut:
+            held = (step.context or {}).get("held", lambda x: written(x.sparkSession, x, "batches"))
+            cut.append(held(_batches(df, p["batch_size"], tasks)))
+
+        def run(frames: Iterator[Any]) -> Iterator[Any]:
+            import pandas as pd
+
+            done, client = 0, Client(p)
+            for frame in frames:
+                for key, lines in zip(frame["key"], frame["lines"], strict=True):
+                    client.headers[p["key_header"]] = key
+                    try:
+                        send(client, list(lines))
+                    except Exception as e:
+                        raise RuntimeError(f"after {done} rows were delivered: {e}") from e
+                    done += len(lines)
+            yield pd.DataFrame({"sent": [done]})
 
-        for batch in batches:
-            for line in batch["value"]:
-                held.append(line)
-                if len(held) == size:
-                    flush()
-        if held:
-            flush()
-        yield pd.DataFrame({"sent": [done]})
+        placed = cut[0].coalesce(1).sortWithinPartitions("part", "number") if tasks == 1 else cut[0].repartition(tasks)
+        return sum(r[0] for r in placed.select("key", "lines").mapInPandas(run, "sent long").collect())
 
-    return sum(r[0] for r in lines.mapInPandas(run, "sent long").collect())
+    return deliver
 
 
-@component("snk.saas.rest", {**HTTP, "method": one_of("POST", "PUT", "PATCH", default="POST"), "batch_size": opt("integer", 100), "wrap": opt()}, check=_rest_check, deferred=True)
+@component("snk.saas.rest", {**HTTP, **SINK, "method": one_of("POST", "PUT", "PATCH", default="POST"), "wrap": opt()}, check=_sink_check, deferred=True)
 def write_rest(step: Step):
     """Rows to an HTTP API in batches: an array for each, an object for batches of one row, under `wrap` if given."""
     p = dict(step.props)
 
-    def send(lines: list[str]) -> None:
+    def send(client: Client, lines: list[str]) -> None:
         rows = [json.loads(x) for x in lines]
         body: Any = rows[0] if p["batch_size"] == 1 else rows
-        Client(p).send(p["url"], p["method"], json.dumps({p["wrap"]: body} if p["wrap"] else body).encode())
+        client.send(p["url"], p["method"], json.dumps({p["wrap"]: body} if p["wrap"] else body).encode())
 
-    return lambda df: send_batches(df, p["batch_size"], send)
+    return send_batches(step, send)
 
 
-@component("snk.saas.graphql", {**HTTP, "mutation": need("code"), "rows_variable": opt("text", "rows"), "batch_size": opt("integer", 100), "variables": opt(), "retry_codes": opt("text", "THROTTLED,RATE_LIMITED")}, check=_rest_check, deferred=True)
+@component("snk.saas.graphql", {**HTTP, **SINK, "mutation": need("code"), "rows_variable": opt("text", "rows"), "variables": opt(), "retry_codes": opt("text", "THROTTLED,RATE_LIMITED")}, check=_sink_check, deferred=True)
 def write_graphql(step: Step):
     """Rows to a GraphQL mutation in batches, always as a list."""
     p = dict(step.props)
 
-    def send(lines: list[str]) -> None:
-        graphql_call(Client(p), p, p["mutation"], {**json.loads(p["variables"] or "{}"), p["rows_variable"]: [json.loads(x) for x in lines]})
+    def send(client: Client, lines: list[str]) -> None:
+        graphql_call(client, p, p["mutation"], {**json.loads(p["variables"] or "{}"), p["rows_variable"]: [json.loads(x) for x in lines]})
 
-    return lambda df: send_batches(df, p["batch_size"], send)
+    return send_batches(step, send)

@@ -257,6 +257,60 @@ def test_rest_sink(spark, server):
     assert [len(b["records"]) for p, b in sent if p == "/in"] == [2, 2, 1] and report.stage("w").rows == {"in": 5}
 
 
+@pytest.fixture
+def ledger():
+    """A service that takes a key's rows once. Of the requests numbered in `fail` it takes the rows and says that it did not."""
+    taken, requests, fail = {}, [], {}
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            rows, key = body if self.path == "/rest" else body["variables"]["rows"], self.headers["Idempotency-Key"]
+            requests.append(key)
+            assert taken.setdefault(key, rows) == rows  # a key always comes with the same rows
+            self.send_response(fail.get(len(requests), 200))
+            self.end_headers()
+            self.wfile.write(b'{"data": {}}')
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", taken, requests, fail
+    s.shutdown()
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+@pytest.mark.parametrize(("name", "path", "props"), [("snk.saas.rest", "/rest", {}), ("snk.saas.graphql", "/graphql", {"mutation": "mutation { put }"})])
+def test_no_row_is_delivered_twice(spark, ledger, name, path, props, tasks):
+    """The second request is taken but answered by 503, as a lost answer; the fourth by 400, which fails the task and so the node, tried again."""
+    url, taken, requests, fail = ledger
+    fail |= {2: 503, 4: 400}
+    node = ("w", name, {"url": url + path, "batch_size": 4, "tasks": tasks, "retry_backoff_ms": 1, **props}, None, {"policy": {"retryAttempts": 1, "retryBackoffMs": 1}})
+    query = ("q", "xf.sql", {"query": "SELECT id, uuid() AS drawn FROM range(0, 30, 1, 2)"}, [])
+    report = run(spark, pipeline(query, node))
+    sent = [r["id"] for rows in taken.values() for r in rows]
+    assert sorted(sent) == list(range(30)) and report.stage("w").rows == {"in": 30} and report.stage("w").attempts == 2
+    assert len(requests) > len(taken) and (tasks > 1 or sent == sorted(sent))
+
+
+def test_batches_sent_again_are_the_same(spark, ledger):
+    """What a second task for the same part would send, though the rows are drawn anew whenever they are computed."""
+    from millrace.registry import Step, load
+    from millrace.sources.apis import write_rest
+
+    url, taken, requests, _ = ledger
+    step = Step("w", "snk.saas.rest", load()["snk.saas.rest"].values("w", {"url": url + "/rest", "batch_size": 3}, []), spark)
+    deliver = write_rest(step)
+    df = spark.range(10).selectExpr("id", "uuid() AS drawn")
+    assert deliver(df) == deliver(df) == 10
+    assert len(requests) == 8 and sum(map(len, taken.values())) == 10
+    assert write_rest(step)(df.limit(0)) == 0 and len(requests) == 8
+    with pytest.raises(InvalidProperty, match="positive"):
+        load()["snk.saas.rest"].values("w", {"url": url, "tasks": 0}, [])
+
+
 def test_graphql(spark, server):
     url, sent, _ = server
     df = read(spark, "src.saas.graphql", url=url + "/graphql", query="query($after: String) { orders }", records="orders/edges", pagination="relay")
