@@ -36,7 +36,10 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import binary, mix
 
-GRAM, HOT, BLOCK_BYTES, SORT_BYTES = 32, 1000, 8 << 20, 4 << 20
+GRAM, BLOCK_BYTES, SORT_BYTES = 32, 8 << 20, 4 << 20
+#: Contents around so many copies of a place are some 11 MB, a small part of a bucket. Window by window they are 30 times as
+#: much, so a bound that a larger corpus soon passes makes the shuffle grow faster than the corpus.
+HOT = 1 << 16
 #: Bytes of corpus for each bucket: what a bucket's task holds are the contents around flagged places of so much text.
 BUCKET_BYTES = 128 << 20
 _STEP = 1 << 16

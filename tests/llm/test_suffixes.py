@@ -142,3 +142,22 @@ def test_repeated_ids_have_one_order(spark):
     rows = [(7, passage + "one"), (7, passage + "two"), (7, passage + "three"), (None, passage), (7, passage + "one")]
     found = [result(spark, [rows[i] for i in order]) if None not in [rows[i][0] for i in order] else None for order in ([0, 1, 2, 4], [4, 2, 1, 0], [1, 0, 4, 2])]
     assert found[0] == found[1] == found[2] and sum(r[2] == 0 for r in found[0]) == 1
+
+
+def test_a_passage_in_over_a_thousand_documents_is_not_sent_by_windows(spark):
+    """Window by window it takes 30 times the bytes, and ever more of a growing corpus is passed by a low bound."""
+    passage = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:7] for i in range(20))
+    rows = [(i, f"{i:05d} {passage} {i * 7:06d}") for i in range(1200)]
+    kinds = []
+
+    class Watched(Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            if name == "contents":
+                kinds.extend(r.kind for r in out.select("kind").collect())
+            return out
+
+    df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long").repartition(3)
+    got = suffixes.remove_repeats(df, Watched(spark)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == brute(rows)
+    assert 1 in kinds and 2 not in kinds
