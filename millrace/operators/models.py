@@ -207,13 +207,15 @@ def extract(step: Step) -> DataFrame:
 
 
 def hashed_vector(text: str, dimensions: int) -> np.ndarray:
-    """A unit vector of hashed words: the embedding without a model, for tests."""
+    """A unit vector of hashed words: the embedding without a model, for tests. Where nothing is left of the
+    words, as there are none or they cancel out, the text as a whole counts as one."""
     out = np.zeros(dimensions, np.float32)
     for word in re.findall(r"\w+", text.lower()):
         h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         out[h % dimensions] += 1 if h >> 63 else -1
-    norm = float(np.linalg.norm(out))
-    return out / norm if norm else out
+    if not out.any():
+        out[int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % dimensions] = 1
+    return out / float(np.linalg.norm(out))
 
 
 @component(

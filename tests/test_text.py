@@ -3,6 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions.text import cut, redact
+from millrace.operators.models import hashed_vector
 
 CASES = [
     # what is found
@@ -58,3 +59,13 @@ def test_chunks_hold_every_word_and_fit(text, size, overlap):
     assert all(0 < len(c) <= size for c in chunks)
     if overlap == 0:
         assert "".join("".join(chunks).split()) == "".join(text.split())
+
+
+@given(st.text(min_size=1, max_size=40), st.integers(1, 16))
+def test_hashed_vectors_are_of_unit_length(text, dimensions):
+    assert abs(float((hashed_vector(text, dimensions) ** 2).sum()) - 1) < 1e-5
+
+
+def test_words_that_cancel_out_have_a_vector():
+    texts = ["Thtiorti thstin eresly edingnt.", "Thlyanes the aton ea.", "..."]
+    assert [round(float((hashed_vector(x, 16) ** 2).sum()), 5) for x in texts] == [1, 1, 1]
