@@ -14,7 +14,7 @@ from millrace.model import pipeline
 from millrace.plans import RunFailed, run
 from millrace.plans.run import frames
 from millrace.registry import InvalidProperty
-from millrace.sources import brokers, databases, files, lakes
+from millrace.sources import apis, brokers, databases, files, lakes
 from millrace.sources.documents import column_letters, column_number, xml_records
 
 
@@ -251,6 +251,27 @@ def test_rest_limits_and_authentication(spark, server):
         read(spark, "src.saas.rest", url=url, auth="bearer")
 
 
+def test_paging_has_no_end_but_the_last_page(monkeypatch):
+    """More than 1,000 pages are read; services that lead in circles, or give one page for ever, are errors."""
+    base = {"auth": "none", "query": None, "records": "", "page_param": "page", "page_start": 1, "offset_param": "offset", "cursor_path": "next", "cursor_param": "cursor", "method": "GET", "body": None, "max_pages": None, "url": "http://x/", "size_param": None, "page_size": None}
+    asked = lambda url: dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(url).query))
+
+    def pages(style, answer, **more):
+        monkeypatch.setattr(apis.Client, "send", lambda self, url, *rest: (json.dumps(answer(asked(url))).encode(), {}))
+        return list(apis.rest_pages({**base, "pagination": style, **more}))
+
+    some = lambda at: list(range(at, min(at + 2, 2403)))
+    assert pages("offset", lambda q: some(int(q["offset"])), page_size=2) == list(range(2403))
+    assert pages("page", lambda q: [7] * 2 if int(q["page"]) < 900 else [7], page_size=2) == [7] * (2 * 899 + 1)
+    assert len(pages("cursor", lambda q: {"r": [1], "next": int(q.get("cursor", 0)) + 1 if int(q.get("cursor", 0)) < 1500 else None}, records="r")) == 1501
+    with pytest.raises(RuntimeError, match="does not move on"):
+        pages("cursor", lambda q: {"r": [1], "next": (int(q.get("cursor", 0)) + 1) % 5 + 1}, records="r")
+    with pytest.raises(RuntimeError, match="does not move on"):
+        pages("offset", lambda q: [1, 2], page_size=2)
+    with pytest.raises(RuntimeError, match="max_pages"):
+        pages("offset", lambda q: [1, 2], page_size=2, max_pages=3)
+
+
 def test_rest_sink(spark, server):
     url, sent, _ = server
     report = write(spark, "SELECT id, 'x' AS v FROM range(5)", "snk.saas.rest", url=url + "/in", batch_size=2, wrap="records")
