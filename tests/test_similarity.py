@@ -55,3 +55,24 @@ def test_far_cells_are_not_seen(spark, monkeypatch):
     found = similarity.nearest(df, df.where("id % 50 = 0"), 4, held)
     assert found.count() == 40 * 4 and seen[0] <= 4 * 160  # of 80,000 pairs, in four blocks of a cell
 
+
+
+def test_visits_are_not_broadcast(spark):
+    """What every query asks of every cell is far more than the queries; it must not pass the driver."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=12).tolist()) for i in range(400)], "id long, embedding array<double>").repartition(4)
+    seen, blocks = [], []
+
+    def held(x):
+        if "asked" in x._jdf.queryExecution().optimizedPlan().toString():
+            seen.append(x._jdf.queryExecution().executedPlan().toString())
+        out = written(spark, x, "t")
+        if "radius" in x.columns:
+            blocks.append(out.count())
+        return out
+
+    found = similarity.nearest(df, df.where("id % 20 = 0"), 3, held)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for p in (*seen, plan):
+        assert not any("cell" in line for line in p.splitlines() if "BroadcastHashJoin" in line)
+    assert seen and "SortMergeJoin" in plan
