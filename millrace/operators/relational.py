@@ -165,10 +165,22 @@ def limit(step: Step) -> DataFrame:
     for p in ("count", "offset"):
         if (step[p] or 0) < 0:
             raise step.bad(p, "must not be negative")
+    if step["offset"] and step["count"] is None:
+        return _after(step, step["offset"])
     df = step.df.offset(step["offset"]) if step["offset"] else step.df
     return df if step["count"] is None else df.limit(step["count"])
 
 
+def _after(step: Step, n: int) -> DataFrame:
+    """All rows but the first n, in their order. Spark's own OFFSET without a limit puts all rows into one task;
+    here rows get a number that grows along the order, and only the first n numbers meet."""
+    (at,) = ordered.free(step.df, "at_")
+    rows = _held(step)(step.df.withColumn(at, F.monotonically_increasing_id()))
+    last = rows.select(at).orderBy(at).limit(n).agg(F.max(at)).first()[0]
+    kept = rows if last is None else rows.where(F.col(at) > last)
+    return kept.orderBy(at).drop(at)
+
+
 @component("xf.sample", {"size": need("number"), "unit": one_of("rows", "percent", default="rows"), "seed": opt("integer", 0)})
 def sample(step: Step) -> DataFrame:
     """Exactly that many rows, or that share of them rounded, drawn at random (see selection.py)."""

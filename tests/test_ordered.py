@@ -142,3 +142,13 @@ def test_join_properties_are_checked(spark, tmp_path):
     for props, message in (({"type": "asof"}, "left_on"), ({"type": "range", "condition": "x = y"}, "range join"), ({"type": "positional"}, "left_on")):
         with pytest.raises(Exception, match=message):
             frames(spark, pipeline(src, ("j", "xf.join", props, {"left": "a", "right": "a"})))
+
+
+def test_an_offset_alone_is_no_single_task(spark, tmp_path):
+    """The rows after the first n of an order, in that order, dealt to tasks."""
+    spark.range(0, 5000, 1, 4).selectExpr("id * 7919 % 5000 AS x").write.parquet(str(tmp_path / "a"))
+    for n in (1, 1234, 4999, 6000):
+        steps = (("a", "src.file.parquet", {"path": str(tmp_path / "a")}), ("s", "xf.sort", {"by": "x DESC"}), ("l", "xf.limit", {"offset": n}))
+        df = frames(spark, pipeline(*steps))["l"]
+        assert "Offset" not in df._jdf.queryExecution().executedPlan().toString()
+        assert [r.x for r in df.collect()] == list(range(4999 - n, -1, -1))
