@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..registry import Step, component, need, one_of, opt
-from ..storage import delete, exists, list_files, new_path, read_text, replace_file
+from ..storage import delete, exists, joined, joined_parquet, list_files, new_path, read_text, replace_file
 
 MODES = ("overwrite", "error_if_exists")
 CODECS = {"lz4": "lz4_raw"}
@@ -135,26 +135,33 @@ def refuse_existing(step: Step) -> None:
         raise FileExistsError(f"{step['path']} exists")
 
 
-def one_file(spark: SparkSession, df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
-    """Writes df as one file: beside the target first, then moved over it."""
+Join = Callable[[SparkSession, list[str], str], None]
+
+
+def one_file(spark: SparkSession, df: DataFrame, path: str, write: Callable[[DataFrame, str], None], join: Join = joined) -> None:
+    """Writes df as one file: tasks write files beside the target, which are put together as they are and
+    then moved over it. No task has more than its own rows."""
     made = new_path(spark, "sink")
     try:
-        write(df.coalesce(1), made)
-        parts = [x for x in list_files(spark, f"{made}/part-*")]
+        write(df, f"{made}/parts")
+        parts = list_files(spark, f"{made}/parts/part-*")
         if not parts:
             raise OSError(f"nothing was written for {path}")
-        replace_file(spark, parts[0], path)
+        whole = f"{made}/whole"
+        join(spark, parts, whole)
+        replace_file(spark, whole, path)
     finally:
         delete(spark, made)
 
 
-def deliver(step: Step, df: DataFrame, write: Callable[[DataFrame, str], None]) -> None:
-    """One file, or with layout=folder a folder of one for each task, which is what scales."""
+def deliver(step: Step, df: DataFrame, write: Callable[[DataFrame, str], None], join: Join = joined, part: Callable[[DataFrame, str], None] | None = None) -> None:
+    """One file, or with layout=folder a folder of one for each task. `part` writes the files that join
+    puts together, where these are not those of a folder."""
     refuse_existing(step)
     if step["layout"] == "folder":
         write(df, step["path"])
     else:
-        one_file(step.spark, df, step["path"], write)
+        one_file(step.spark, df, step["path"], part or write, join)
 
 
 _SINK = {"path": need("path"), "mode": one_of(*MODES, default="overwrite"), "layout": one_of("file", "folder", default="file", doc="one file, or a folder written by all tasks")}
@@ -164,7 +171,7 @@ _SINK = {"path": need("path"), "mode": one_of(*MODES, default="overwrite"), "lay
 def write_parquet(step: Step):
     """A Parquet file."""
     codec = CODECS.get(step["compression"], step["compression"])
-    return lambda df: deliver(step, df, lambda d, p: d.write.mode("overwrite").option("compression", codec).parquet(p))
+    return lambda df: deliver(step, df, lambda d, p: d.write.mode("overwrite").option("compression", codec).parquet(p), joined_parquet)
 
 
 def plain_times(df: DataFrame) -> DataFrame:
@@ -182,7 +189,25 @@ def plain_times(df: DataFrame) -> DataFrame:
 def write_csv(step: Step):
     """A CSV file; quotes are doubled, null is empty and an empty text is quoted."""
     options = {"header": step["header"], "sep": step["delimiter"], "escape": '"', "emptyValue": '""', "nullValue": ""}
-    return lambda df: deliver(step, plain_times(df), lambda d, p: d.write.mode("overwrite").options(**options).csv(p))
+
+
+    def write(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").options(**options).csv(path)
+
+    def rows(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").options(**{**options, "header": False}).csv(path)
+
+    def run(df: DataFrame) -> None:
+        df = plain_times(df)
+
+        def join(spark: SparkSession, parts: list[str], whole: str) -> None:
+            head = f"{whole}-head"
+            write(spark.createDataFrame([], df.schema).coalesce(1), head)
+            joined(spark, [*(list_files(spark, f"{head}/part-*") if step["header"] else []), *parts], whole)
+
+        deliver(step, df, write, join, rows)
+
+    return run
 
 
 @component("snk.file.jsonl", _SINK)
@@ -193,21 +218,18 @@ def write_jsonl(step: Step):
 
 @component("snk.file.json", {k: v for k, v in _SINK.items() if k != "layout"})
 def write_json(step: Step):
-    """A file with one JSON array of objects, which one task writes; snk.file.jsonl writes folders."""
+    """A file with one JSON array of objects."""
 
     def write(df: DataFrame, path: str) -> None:
-        lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
-        numbered = lines.withColumn("at", F.monotonically_increasing_id())
-        last = numbered.agg(F.max("at")).first()[0]
-        if last is None:
-            df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
-            return
-        lead, end = F.when(F.col("at") == 0, "[\n\t").otherwise("\t"), F.when(F.col("at") == last, "\n]").otherwise(",")
-        numbered.select(F.concat(lead, "value", end).alias("value")).write.mode("overwrite").text(path)
+        lines = df.select(F.concat(F.lit("\t"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})).alias("value"))
+        lines.write.mode("overwrite").option("lineSep", ",\n").text(path)
+
+    def join(spark: SparkSession, parts: list[str], whole: str) -> None:
+        joined(spark, parts, whole, "[\n", "\n]\n", 2)
 
     def run(df: DataFrame) -> None:
         refuse_existing(step)
-        one_file(step.spark, plain_times(df).coalesce(1), step["path"], write)
+        one_file(step.spark, plain_times(df), step["path"], write, join)
 
     return run
 
