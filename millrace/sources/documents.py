@@ -9,23 +9,33 @@ import zipfile
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 from decimal import Decimal
+from itertools import chain, islice
 from typing import Any
 from xml.etree import ElementTree
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..registry import Step, component, need, one_of, opt
-from ..storage import Counted, delete, hadoop, joined, list_files, new_path, replace_file
+from ..storage import delete, joined, list_files, new_path, replace_file
 from .apis import read_staged, staged
 from .files import MODES, in_file_order, refuse_existing
 
 
+#: Bytes that a parser is given at once.
+_PIECE = 1 << 20
+
+
 def xml_records(data: bytes, record: str) -> list[dict[str, str]]:
+    return list(each_xml_record(data, record))
+
+
+def each_xml_record(data: bytes, record: str) -> Iterator[dict[str, str]]:
     """A dict for each element called `record`: @attribute, child, child@attribute.
 
     An empty child is an empty text. A child within a child, a repeated child and text beside
@@ -73,11 +83,14 @@ def xml_records(data: bytes, record: str) -> list[dict[str, str]]:
             fail(f"<{record}> holds text of its own beside its children")
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
-    try:
-        parser.Parse(data, True)
-    except expat.ExpatError as e:
-        raise ValueError(f"not well-formed XML: {e}") from None
-    return out
+    whole = memoryview(data)
+    for at in range(0, len(whole) + 1, _PIECE):
+        try:
+            parser.Parse(bytes(whole[at : at + _PIECE]), at + _PIECE > len(whole))
+        except expat.ExpatError as e:
+            raise ValueError(f"not well-formed XML: {e}") from None
+        yield from out
+        out.clear()
 
 
 def _parsed(step: Step, parse) -> str:
@@ -87,12 +100,12 @@ def _parsed(step: Step, parse) -> str:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows = iter(parse(bytes(content)))
                 try:
-                    rows = parse(bytes(content))
+                    while block := [json.dumps(r, ensure_ascii=False) for r in islice(rows, 10000)]:
+                        yield pd.DataFrame({"value": block})
                 except ValueError as e:
                     raise ValueError(f"{path}: {e}") from None
-                for at in range(0, len(rows), 10000):
-                    yield pd.DataFrame({"value": [json.dumps(r, ensure_ascii=False) for r in rows[at : at + 10000]]})
 
     return staged(step.spark, files.mapInPandas(run, "value string"))
 
@@ -101,7 +114,7 @@ def _parsed(step: Step, parse) -> str:
 def read_xml(step: Step) -> DataFrame:
     """A row for each `record` element of XML files; no match is no error."""
     record = step["record"]
-    path = _parsed(step, lambda data: xml_records(data, record))
+    path = _parsed(step, lambda data: each_xml_record(data, record))
     if step["columns"]:
         return read_staged(step.spark, path, step["columns"])
     df = step.spark.read.options(primitivesAsString=True, mode="FAILFAST").json(path)
@@ -140,21 +153,6 @@ def _flat(step: Step, df: DataFrame) -> None:
             raise ValueError(f"column '{f.name}' is nested and cannot be written")
 
 
-def _write_stream(step: Step, name: str, data: Iterator[bytes]) -> None:
-    """Writes a file beside its target and moves it there when it is whole."""
-    made = new_path(step.spark, name)
-    p, fs = hadoop(step.spark, made)
-    out = fs.create(p)
-    try:
-        for piece in data:
-            out.write(piece)
-        out.close()
-        replace_file(step.spark, made, step["path"])
-    except BaseException:
-        delete(step.spark, made)
-        raise
-
-
 @component("snk.file.xml", {"path": need("path"), "root": opt("text", "records"), "record": opt("text", "record"), "mode": one_of(*MODES, default="overwrite")}, deferred=True)
 def write_xml(step: Step):
     """An XML file, the inverse of src.file.xml: nulls are left out, nested columns refused. Tasks write
@@ -228,17 +226,18 @@ def xlsx_rows(data: bytes, sheet: str | None) -> Iterator[list[Any]]:
         raise ValueError(f"there is no sheet '{sheet}'; there are {', '.join(sheets)}")
     target = sheets[sheet] if sheet is not None else next(iter(sheets.values()))
     path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    row_, cell_, value_, text_ = (f"{{{_NS['m']}}}{x}" for x in ("row", "c", "v", "t"))
     with book.open(path) as stream:
         for _, row in ElementTree.iterparse(stream):
-            if row.tag != f"{{{_NS['m']}}}row":
+            if row.tag != row_:
                 continue
             cells: list[Any] = []
-            for c in row.iterfind("m:c", _NS):
+            for c in row.iterfind(cell_):
                 at = column_number(c.get("r")) if c.get("r") else len(cells)
                 cells += [None] * (at + 1 - len(cells))
-                kind, v = c.get("t", "n"), c.findtext("m:v", None, _NS)
+                kind, v = c.get("t", "n"), c.findtext(value_)
                 if kind == "inlineStr":
-                    cells[at] = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
+                    cells[at] = "".join(t.text or "" for t in c.iter(text_))
                 elif v is None:
                     continue
                 elif kind == "s":
@@ -257,15 +256,15 @@ def xlsx_rows(data: bytes, sheet: str | None) -> Iterator[list[Any]]:
             yield cells
 
 
-def xlsx_records(data: bytes, sheet: str | None, header: bool) -> list[dict[str, Any]]:
+def xlsx_records(data: bytes, sheet: str | None, header: bool) -> Iterator[dict[str, Any]]:
     rows = xlsx_rows(data, sheet)
     first = next(rows, [])
     names = [str(x) if header and x is not None else column_letters(i) for i, x in enumerate(first)]
-    out = [] if header else [dict(zip(names, first, strict=True))]
+    if not header:
+        yield dict(zip(names, first, strict=True))
     for cells in rows:
         if any(x is not None for x in cells):
-            out.append({n: (cells[i] if i < len(cells) else None) for i, n in enumerate(names)})
-    return out
+            yield {n: (cells[i] if i < len(cells) else None) for i, n in enumerate(names)}
 
 
 @component("src.file.excel", {"path": need("path"), "sheet": opt(), "header": opt("bool", True)})
@@ -298,9 +297,14 @@ def _cell(value: Any) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
 
-def xlsx_bytes(rows: Iterator[Any], columns: list[str], sheet: str, header: bool) -> bytes:
+#: Rows of a sheet, its header among them. A fixed value of the format.
+SHEET = 1 << 20
+
+
+def xlsx_bytes(rows: Iterator[Any], columns: list[str], sheet: str, header: bool, comment: bytes = b"") -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.comment = comment
         for name, body in _PARTS.items():
             book.writestr(name, f'<?xml version="1.0" encoding="UTF-8"?>{body}')
         book.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{_NS["m"]}" xmlns:r="{_NS["r"]}"><sheets><sheet name={quoteattr(sheet)} sheetId="1" r:id="r1"/></sheets></workbook>')
@@ -308,24 +312,56 @@ def xlsx_bytes(rows: Iterator[Any], columns: list[str], sheet: str, header: bool
             f.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_NS["m"]}"><sheetData>'.encode())
             if header:
                 f.write(f"<row>{''.join(map(_cell, columns))}</row>".encode())
-            for n, row in enumerate(rows):
-                if n + header >= 1 << 20:
-                    raise ValueError("a sheet holds 1048576 rows at most")
+            for row in rows:
                 f.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
             f.write(b"</sheetData></worksheet>")
     return out.getvalue()
 
 
+def _books(columns: list[str], sheet: str, header: bool, most: int):
+    """A partition's rows as workbooks of `most` rows at most, one at least, without their last byte: it is a
+    line's end, the comment of the archive, and Spark's text writer adds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for at in range(0, b.num_rows, 1000) for r in zip(*(c.slice(at, 1000).to_pylist() for c in b.columns), strict=True))
+        following = next(rows, None)
+        while True:
+            given = islice(chain([] if following is None else [following], rows), most)
+            book = xlsx_bytes(given, columns, sheet, header, b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([book[:-1]], pa.binary())], ["book"])
+            following = next(rows, None)
+            if following is None:
+                return
+
+    return run
+
+
 @component("snk.file.excel", {"path": need("path"), "mode": one_of(*MODES, default="overwrite"), "header": opt("bool", True), "sheet": opt("text", "Sheet1")})
 def write_excel(step: Step):
-    """An xlsx file of one sheet, which holds a million rows at most."""
+    """An xlsx file of one sheet. A sheet holds 1,048,576 rows; more make a folder of that name with as many
+    files as they need, each with the header, which src.file.excel reads as it does one file. Tasks write them."""
 
     def run(df: DataFrame) -> int:
         refuse_existing(step)
         _flat(step, df)
         rows = df.select(*[F.col(f"`{f.name}`").cast("timestamp_ntz") if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`") for f in df.schema.fields])
-        counted = Counted(rows.toLocalIterator())
-        _write_stream(step, "excel", iter([xlsx_bytes(counted, df.columns, step["sheet"], step["header"])]))
-        return counted.n
+        most, made, staged_ = SHEET - step["header"], new_path(step.spark, "excel"), new_path(step.spark, "excel")
+        try:
+            rows.write.option("maxRecordsPerFile", 100000).parquet(staged_)  # small files, for many tasks to read
+            rows = step.spark.read.schema(rows.schema).parquet(staged_)
+            n = rows.count()
+            books = -(-n // most)
+            parts = rows.coalesce(4 * books if books > 1 else 1) if n else step.spark.createDataFrame([], rows.schema).repartition(1)
+            texts = parts.mapInArrow(_books(df.columns, step["sheet"], step["header"], most), "book binary").select(F.col("book").cast("string"))
+            texts.write.option("maxRecordsPerFile", 1).text(made)
+            found = list_files(step.spark, f"{made}/part-*")
+            if books > 1:
+                for i, file in enumerate(found):
+                    replace_file(step.spark, file, f"{made}/whole/part-{i:05d}.xlsx")
+            replace_file(step.spark, f"{made}/whole" if books > 1 else found[0], step["path"])
+        finally:
+            for x in (made, staged_):
+                delete(step.spark, x)
+        return n
 
     return run

@@ -4,8 +4,10 @@ import json
 import sqlite3
 import threading
 import urllib.parse
+import zipfile
 from decimal import Decimal
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from millrace.model import pipeline
 from millrace.plans import RunFailed, run
 from millrace.plans.run import frames
 from millrace.registry import InvalidProperty
-from millrace.sources import apis, brokers, databases, files, lakes
+from millrace.sources import apis, brokers, databases, documents, files, lakes
 from millrace.sources.documents import column_letters, column_number, xml_records
 
 
@@ -80,6 +82,30 @@ def test_json_arrays(spark, tmp_path):
         read(spark, "src.file.json", path=str(path))
 
 
+@pytest.mark.parametrize("kind", ["csv", "jsonl", "json", "parquet"])
+def test_one_file_is_written_by_several_tasks(spark, tmp_path, kind):
+    """The same rows in the same order, one file, with parts that are empty; no task has all rows."""
+    rows = "SELECT id, CASE WHEN id % 7 > 0 THEN concat('a \"b\", ', id) END AS t FROM range(0, 40, 1, 5) WHERE id NOT BETWEEN 8 AND 23 AND id < 32"
+    taken = []
+    whole = files.one_file
+
+    def watched(spark, df, path, write, *join):
+        def counted(d, p):
+            write(d, p)
+            taken.append(len(list(Path(p.removeprefix("file://")).glob("part-*"))))
+
+        return whole(spark, df, path, counted, *join)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(files, "one_file", watched)
+        write(spark, rows, f"snk.file.{kind}", path=str(tmp_path / "o"))
+    assert (tmp_path / "o").is_file() and taken[0] > 1
+    back = read(spark, f"src.file.{kind}", path=str(tmp_path / "o"))
+    assert [tuple(r) for r in back.collect()] == [tuple(r) for r in spark.sql(rows).collect()]
+    if kind == "csv":
+        assert (tmp_path / "o").read_text().count("id,t") == 1
+
+
 def test_excel(spark, tmp_path):
     path = tmp_path / "o.xlsx"
     assert write(spark, ROWS, "snk.file.excel", path=str(path), sheet="Data & more").stage("w").rows == {"in": 3}
@@ -91,6 +117,21 @@ def test_excel(spark, tmp_path):
     assert [column_number(x) for x in ("A1", "Z9", "AA1", "BC2")] == [0, 25, 26, 54] and column_letters(54) == "BC"
 
 
+def test_excel_of_more_rows_than_a_sheet_holds(spark, tmp_path, monkeypatch):
+    """A folder of workbooks, each with the header; nothing is left out, and one file again if rows are few."""
+    monkeypatch.setattr(documents, "SHEET", 8)
+    path = tmp_path / "o.xlsx"
+    many = "SELECT id, CASE WHEN id % 5 > 0 THEN concat('t', id) END AS t FROM range(0, 100, 1, 3)"
+    assert write(spark, many, "snk.file.excel", path=str(path)).stage("w").rows == {"in": 100}
+    assert path.is_dir() and len(list(path.glob("*.xlsx"))) >= 15
+    assert sorted(r.id for r in read(spark, "src.file.excel", path=str(path)).collect()) == list(range(100))
+    for book in path.glob("*.xlsx"):
+        assert zipfile.ZipFile(book).testzip() is None and zipfile.ZipFile(book).comment == b"\n"
+    for n in (7, 0):
+        write(spark, f"{many} WHERE id < {n}", "snk.file.excel", path=str(path))
+        assert path.is_file() and len(list(documents.xlsx_records(path.read_bytes(), None, True))) == n
+
+
 XML = """<?xml version="1.0"?><r xmlns:n="u"><n:o id="1" k="v"><a>x &amp; &#65;<![CDATA[<y>]]></a><b c="7"/></n:o><other/><o id="2"/></r>"""
 
 
