@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sqlite3
+import tempfile
 from collections.abc import Iterator
 from datetime import date, datetime
 from decimal import Decimal
@@ -11,6 +12,7 @@ from pathlib import Path
 from typing import Any
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.dialect import spark_type
 from ..operators.relational import cast_column
 from ..registry import InvalidProperty, Step, component, need, one_of, opt
-from ..storage import Counted
+from ..storage import Counted, delete, hadoop, list_files, new_path
 from .files import typed_columns
 from .lakes import has_format
 
@@ -184,20 +186,40 @@ def _to_sqlite(value: Any) -> Any:
     return value if value is None or isinstance(value, int | float | str | bytes | bytearray) else str(value)
 
 
+def _by_files(df: DataFrame) -> Iterator[Any]:
+    """The rows of df from files that tasks write, one file after another; rows with nested values or
+    intervals, whose text is that of Spark's rows, come from Spark itself."""
+    if any(isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.DayTimeIntervalType | T.YearMonthIntervalType) for f in df.schema.fields):
+        yield from df.toLocalIterator()
+        return
+    spark, made = df.sparkSession, new_path(df.sparkSession, "sqlite")
+    plain = df.select(*[F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f"c{i}") if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
+    try:
+        plain.write.parquet(made)
+        for file in list_files(spark, f"{made}/part-*"):
+            with tempfile.TemporaryDirectory() as near:
+                source, fs = hadoop(spark, file)
+                fs.copyToLocalFile(False, source, hadoop(spark, f"file://{near}/rows.parquet")[0], True)
+                for batch in pq.ParquetFile(f"{near}/rows.parquet").iter_batches(10000):
+                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    finally:
+        delete(spark, made)
+
+
 _SQLITE_NAMES = {"long": "BIGINT", "integer": "INTEGER", "short": "INTEGER", "byte": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "binary": "BLOB", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
 
 @component("snk.db.sqlite", _WRITE)
 def write_sqlite(step: Step):
-    """Rows to a table of an SQLite file in one transaction. The file has one writer: rows pass the
-    driver a partition at a time."""
+    """Rows to a table of an SQLite file in one transaction. The file has one writer, the driver's process:
+    tasks write the rows to the shared folder, and it takes them from there a batch at a time."""
 
     def run(df: DataFrame) -> int:
         Path(step["connection"]).parent.mkdir(parents=True, exist_ok=True)
         con = sqlite3.connect(step["connection"], isolation_level=None)
         table = _quoted(step["table"])
         try:
-            rows = Counted(df.toLocalIterator())
+            rows = Counted(_by_files(df))
             con.execute("BEGIN")
             if step["mode"] == "overwrite":
                 con.execute(f"DROP TABLE IF EXISTS {table}")

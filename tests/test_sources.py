@@ -169,6 +169,17 @@ def test_xml_that_is_no_table(body, message):
         xml_records(f"<r>{body}</r>".encode(), "o")
 
 
+def test_sqlite_rows_do_not_come_as_results(spark, tmp_path, monkeypatch):
+    """The sink takes rows from files of several tasks; types and nulls stay, and no folder is left."""
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a: pytest.fail("rows were sent to the driver"))
+    db = str(tmp_path / "d.sqlite")
+    assert write(spark, ROWS, "snk.db.sqlite", connection=db, table="t").stage("w").rows == {"in": 3}
+    got = dict((r[0], r[1:]) for r in sqlite3.connect(db).execute("SELECT * FROM t"))
+    assert got == {1: ('a,"b"', "2026-01-04 10:05:00", "2026-01-05", 1.5, 1), 2: (None,) * 5, 3: ("", "2026-01-04 10:05:00.250000", "1999-12-31", -2, 0)}
+    write(spark, "SELECT id AS a, id AS b FROM range(0, 30000, 1, 5)", "snk.db.sqlite", connection=db, table="t")
+    assert [r[0] for r in sqlite3.connect(db).execute("SELECT a FROM t ORDER BY rowid")] == list(range(30000))
+
+
 def test_sqlite(spark, tmp_path):
     db = str(tmp_path / "x" / "d.sqlite")
     write(spark, ROWS, "snk.db.sqlite", connection=db, table="my table")
