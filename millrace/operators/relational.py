@@ -208,6 +208,13 @@ def _join_check(node: str, p: dict) -> None:
             raise InvalidProperty(node, prop, f"is required for a join of type {kind}")
     if kind == "range" and not _BETWEEN.fullmatch(p["condition"]):
         raise InvalidProperty(node, "condition", "of a range join is: point >= low AND point < high (or >, <=), with plain column names")
+    if p["aggregations"]:
+        if kind != "range":
+            raise InvalidProperty(node, "aggregations", "go with a join of type range; xf.aggregate follows others")
+        if bad := [x for x in sql_list(p["aggregations"]) if not ordered.total_of(x)]:
+            raise InvalidProperty(node, "aggregations", f"of a range join are count, sum, min and max of a column or expression, with a name; xf.aggregate takes others: {bad[0]}")
+    elif p["group_by"]:
+        raise InvalidProperty(node, "group_by", "goes with aggregations")
     if kind in _ORDERED:
         return
     if kind == "cross":
@@ -246,7 +253,11 @@ def _ordered_join(step: Step, left: DataFrame, right: DataFrame) -> DataFrame:
         must_have(step, "condition", right, [low, high])
         if {low, high} & set(left.columns):
             raise step.bad("condition", "both inputs have a column of that name")
-        return ordered.range_join(left, _apart(left, right, ()), point, low, high, low_open=lower == ">", high_open=upper == "<")
+        opened = {"low_open": lower == ">", "high_open": upper == "<"}
+        if step["aggregations"]:
+            must_have(step, "group_by", right, step["group_by"])
+            return ordered.range_totals(left, right, point, low, high, list(map(ordered.total_of, sql_list(step["aggregations"]))), list(step["group_by"]), held, **opened)
+        return ordered.range_join(left, _apart(left, right, ()), point, low, high, **opened)
     must_have(step, "left_on", left, [*keys, step["left_on"]])
     must_have(step, "right_on", right, [*keys, step["right_on"]])
     at = right.columns.index(step["right_on"])
@@ -259,6 +270,7 @@ def _ordered_join(step: Step, left: DataFrame, right: DataFrame) -> DataFrame:
     {
         "type": one_of("inner", "left", "right", "full", "outer", "cross", "asof", "asof_left", "positional", "range", default="inner"), "keys": opt("strings"), "condition": opt("sql"),
         "left_on": opt(doc="asof: the time of the left side; positional: its order"), "right_on": opt(), "strict": opt("bool", False),
+        "aggregations": opt("sql", doc="range: totals of the left rows in the intervals, in place of the pairs"), "group_by": opt("strings", (), doc="range: columns of the right side that the totals are grouped by"),
     },
     inputs=("left", "right"), check=_join_check,
 )
@@ -269,7 +281,8 @@ def join(step: Step) -> DataFrame:
 
     asof takes for each left row the last right row of the same keys not later than it (strict: earlier),
     positional puts rows side by side in the orders left_on and right_on, range takes a left column between
-    two right ones. See ordered.py for how these are spread over tasks.
+    two right ones. With aggregations of left columns, grouped by right ones, range gives what xf.aggregate
+    would after it, and no pairs are made. See ordered.py for how these are spread over tasks.
     """
     left, right = step.by_port["left"], step.by_port["right"]
     how = "full" if step["type"] == "outer" else step["type"]

@@ -136,6 +136,57 @@ def test_range_join(spark, kind, opened):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "timestamp_ntz"])
+@pytest.mark.parametrize("opened", [(False, False), (True, True), (False, True)])
+def test_range_totals(spark, kind, opened, monkeypatch):
+    """The totals of the pairs, without the pairs: blocks of 8 points and lookups in several shares; many points in one
+    place, values near the limits of their types, null values and keys, intervals of all lengths, most of them one interval."""
+    monkeypatch.setattr(ordered, "_BLOCK", 8)
+    monkeypatch.setattr(ordered, "_LOOKUPS", 16)
+    rng = random.Random(8)
+    number = (lambda x: float(x)) if kind == "double" else (lambda x: x)
+    points = [(None if i % 7 == 0 else rng.choice([i, (1 << 62) + i, -(1 << 62) - i]), number(500 if i % 3 == 0 else rng.randrange(-1000, 1000)), i / 8) for i in range(400)] + [(900, None, 1.0)]
+    spans = [(i % 50 if i % 11 else None, number(a), number(a + rng.choice([-5, 0, 1, 2, 7, 64, 900, 3000]))) for i in range(120) for a in [rng.randrange(-1500, 1500)]]
+    spans += [(90, None, number(3)), (91, number(0), None), (92, number(5000), number(6000)), *[(93, number(499), number(500))] * 60, (94, number(-9000), number(9000))]
+    plain = kind if kind != "timestamp_ntz" else "long"
+    a, b = spark.createDataFrame(points, f"id long, p {plain}, x double"), spark.createDataFrame(spans, f"rows_ long, lo {plain}, hi {plain}")
+    if kind == "timestamp_ntz":
+        time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+        a, b = a.withColumn("p", time("p")), b.withColumn("lo", time("lo")).withColumn("hi", time("hi"))
+    items = [ordered.total_of(x) for x in ("count(*) AS n", "count(id) AS ids", "min(id) AS low", "max(id) AS high", "CAST(sum(id % 1000003) AS BIGINT) AS total", "sum(x * 2) AS xs", "min(x) AS least")]
+    got = ordered.range_totals(a, b, "p", "lo", "hi", items, ["rows_"], written(spark), low_open=opened[0], high_open=opened[1])
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    pairs = ordered.range_join(a, b, "p", "lo", "hi", low_open=opened[0], high_open=opened[1])
+    aggregates = [F.expr(x) for x in ("count(*) AS n", "count(id) AS ids", "min(id) AS low", "max(id) AS high", "sum(id % 1000003) AS total", "sum(x * 2) AS xs", "min(x) AS least")]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = rows(pairs.groupBy("rows_").agg(*aggregates))
+    assert rows(got) == want and len(want) > 20 and got.columns == ["rows_", "n", "ids", "low", "high", "total", "xs", "least"]
+    whole = ordered.range_totals(a, b, "p", "lo", "hi", items, [], written(spark), low_open=opened[0], high_open=opened[1])
+    assert rows(whole) == rows(pairs.agg(*aggregates))
+    for empty in ((a.limit(0), b), (a, b.limit(0))):
+        assert ordered.range_totals(*empty, "p", "lo", "hi", items, ["rows_"], written(spark)).count() == 0
+        assert ordered.range_totals(*empty, "p", "lo", "hi", items, [], written(spark)).first()[:3] == (0, 0, None)
+
+
+def test_range_totals_keep_whole_sums(spark):
+    """Sums that fit come out although those of the points around do not; others are errors, as in Spark."""
+    a = spark.createDataFrame([(i, (-1) ** (i // 3) * ((1 << 63) - 5)) for i in range(12)], "p long, v long")
+    b = spark.createDataFrame([(i, i, i) for i in range(12)] + [(20, 2, 3), (21, 0, 2)], "k long, lo long, hi long")
+    items = [ordered.total_of("sum(v) AS total")]
+    got = ordered.range_totals(a, b.where("k < 21"), "p", "lo", "hi", items, ["k"], written(spark))
+    assert {r.k: r.total for r in got.collect()} == {i: (-1) ** (i // 3) * ((1 << 63) - 5) for i in range(12)} | {20: 0}
+    with pytest.raises(Exception, match="OVERFLOW|OUT_OF_RANGE"):
+        ordered.range_totals(a, b, "p", "lo", "hi", items, ["k"], written(spark)).collect()
+
+
+def test_join_range_makes_no_pairs(spark, data):
+    """The query's largest join is one of blocks and lookups: two for an interval at most."""
+    from millrace import catalog
+
+    plan = catalog.QUERIES["join_range"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "level_" not in plan
+
+
 def test_join_properties_are_checked(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "a"))
     src = ("a", "src.file.parquet", {"path": str(tmp_path / "a")})
@@ -144,6 +195,14 @@ def test_join_properties_are_checked(spark, tmp_path):
             frames(spark, pipeline(src, ("j", "xf.join", props, {"left": "a", "right": "a"})))
 
 
+@pytest.mark.parametrize(("props", "message"), [({"type": "range", "aggregations": "count(DISTINCT id) AS n"}, "xf.aggregate"), ({"type": "range", "aggregations": "median(id) AS n"}, "xf.aggregate"), ({"type": "range", "group_by": ["id"]}, "goes with"), ({"type": "inner", "aggregations": "count(*) AS n"}, "type range")])
+def test_totals_of_a_range_join_are_checked(spark, tmp_path, props, message):
+    spark.range(3).write.parquet(str(tmp_path / "a"))
+    src = ("a", "src.file.parquet", {"path": str(tmp_path / "a")})
+    with pytest.raises(Exception, match=message):
+        frames(spark, pipeline(src, ("j", "xf.join", {"condition": "id >= lo AND id < hi", **props}, {"left": "a", "right": "a"})))
+
+
 def test_an_offset_alone_is_no_single_task(spark, tmp_path):
     """The rows after the first n of an order, in that order, dealt to tasks."""
     spark.range(0, 5000, 1, 4).selectExpr("id * 7919 % 5000 AS x").write.parquet(str(tmp_path / "a"))
