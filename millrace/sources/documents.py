@@ -1,4 +1,5 @@
-"""XML and Excel files, read by tasks a file at a time through Spark's own file reader."""
+"""XML and Excel files. XML is read by tasks a split of a file at a time, Excel a file at a time, through
+Spark's own file readers."""
 
 from __future__ import annotations
 
@@ -6,18 +7,21 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 from decimal import Decimal
-from itertools import chain, islice
+from itertools import chain, groupby, islice
 from typing import Any
 from xml.etree import ElementTree
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,28 +31,24 @@ from .apis import read_staged, staged
 from .files import MODES, in_file_order, refuse_existing
 
 
-#: Bytes that a parser is given at once.
-_PIECE = 1 << 20
-
-
 def xml_records(data: bytes, record: str) -> list[dict[str, str]]:
-    return list(each_xml_record(data, record))
+    return list(each_xml_record([data], record))
 
 
-def each_xml_record(data: bytes, record: str) -> Iterator[dict[str, str]]:
-    """A dict for each element called `record`: @attribute, child, child@attribute.
+def each_xml_record(pieces: Iterable[bytes], record: str, encoding: str | None = None, shift: int = 0) -> Iterator[dict[str, str]]:
+    """A dict for each element called `record` of a document in pieces: @attribute, child, child@attribute.
 
     An empty child is an empty text. A child within a child, a repeated child and text beside
-    children cannot be columns and are errors that name their byte.
+    children cannot be columns and are errors that name their byte, counted from `shift`.
     """
     out: list[dict[str, str]] = []
-    parser = expat.ParserCreate()
+    parser = expat.ParserCreate(encoding)
     parser.buffer_text = True
     row: dict[str, str] | None = None
     field: str | None = None
 
     def fail(what: str) -> None:
-        raise ValueError(f"{what} at byte {parser.CurrentByteIndex}")
+        raise ValueError(f"{what} at byte {parser.CurrentByteIndex + shift}")
 
     def local(name: str) -> str:
         return name.rsplit(":", 1)[-1]
@@ -83,16 +83,227 @@ def each_xml_record(data: bytes, record: str) -> Iterator[dict[str, str]]:
             fail(f"<{record}> holds text of its own beside its children")
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
-    whole = memoryview(data)
-    for at in range(0, len(whole) + 1, _PIECE):
+    for piece, last in chain(((p, False) for p in pieces), [(b"", True)]):
         try:
-            parser.Parse(bytes(whole[at : at + _PIECE]), at + _PIECE > len(whole))
+            parser.Parse(piece, last)
         except expat.ExpatError as e:
-            raise ValueError(f"not well-formed XML: {e}") from None
+            raise ValueError(f"not well-formed XML: {e}{f', counted from byte {shift}' if shift else ''}") from None
         yield from out
         out.clear()
 
 
+#: A whole tag, or a comment, CDATA or instruction without a "<" in it: closing, name, empty.
+_TAG = re.compile(rb"""<(?:!--[^<]*?-->|!\[CDATA\[[^<]*?\]\]>|\?[^<]*?\?>|(/?)([^\s/<>!?"'=]+)(?:\s(?:[^<>"'/]|/(?!>)|"[^<"]*"|'[^<']*')*)?(/?)>)""")
+_ENCODING = re.compile(rb"""^\s*<\?xml[^<>]*?\sencoding\s*=\s*["']([\w.-]+)["']""")
+#: Open elements of a split, and bytes of a record that began before it, that are kept; splits with more are not parsed apart.
+_DEEP, _HEAD = 1000, 1 << 20
+_PACKED = re.compile(r"\.(gz|bz2|deflate|lz4|snappy|zst)$")
+
+
+def _local(name: bytes) -> bytes:
+    return name.rsplit(b":", 1)[-1]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], bytes]]:
+    """The bytes of splits, a batch at a time, each with its file and start. Rows are what lies between two "<"."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, starts = (batch.column(i).to_numpy() for i in (0, 1))
+        cuts = [0, *(np.nonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1]))[0] + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = (int(files[a]), int(starts[a]))
+            data = b"<".join(batch.column(2).slice(a, b - a).to_pylist())
+            yield key, data if key != last and key[1] == 0 else b"<" + data
+            last = key
+
+
+@dataclass(frozen=True)
+class _Split:
+    """What a split of a file does to the elements open around it: whether all its markup is tags, or has no
+    "<" within; elements it closes that it did not open, and leaves open; the bytes up to the first such end
+    of a record, and which of those ends that is."""
+
+    file: int
+    start: int
+    size: int
+    regular: bool
+    closes: list[bytes]
+    opens: list[bytes]
+    head: bytes | None
+    ends: int
+    encoding: str | None
+
+
+_SPLIT = "file long, start long, size long, regular boolean, closes array<binary>, opens array<binary>, head binary, ends int, encoding string"
+
+
+def _outline(record: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, start), group in groupby(_pieces(batches), lambda x: x[0]):
+            size, regular, ends, encoding, head = 0, True, 0, None, None
+            closes: list[bytes] = []
+            opens: list[bytes] = []
+            before: bytearray | None = bytearray()
+            for _, data in group:
+                if size == 0 and start == 0 and (m := _ENCODING.match(data)):
+                    encoding = m[1].decode()
+                size += len(data)
+                if not regular:
+                    continue
+                tags = 0
+                for m in _TAG.finditer(data):
+                    tags += 1
+                    if (name := m[2]) is None:
+                        continue
+                    if not m[1]:
+                        if not m[3]:
+                            opens.append(name)
+                    elif opens:
+                        regular &= opens.pop() == name
+                    else:
+                        closes.append(name)
+                        if before is not None and _local(name) == record:
+                            head, ends, before = bytes(before) + data[: m.end()], len(closes), None
+                regular &= tags == data.count(b"<") and b"\0" not in data and max(len(opens), len(closes)) <= _DEEP
+                if before is not None:
+                    before = before + data if len(before) + len(data) <= _HEAD else None
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array([x], pa.int64()) for x in (file, start, size)), pa.array([regular]), *(pa.array([x if regular else []], pa.list_(pa.binary())) for x in (closes, opens)),
+                    pa.array([head], pa.binary()), pa.array([ends], pa.int32()), pa.array([encoding], pa.string()),
+                ],
+                names=[x.split()[0] for x in _SPLIT.split(", ")],
+            )
+
+    return run
+
+
+@dataclass(frozen=True)
+class _Place:
+    """How a split is parsed as a document of its own: elements opened before it and closed after it, bytes of
+    it that belong to the split before, bytes of the next that belong to it, and its place in the file."""
+
+    before: bytes = b""
+    skip: int = 0
+    after: bytes = b""
+    shift: int = 0
+    encoding: str | None = None
+
+
+def xml_places(splits: list[_Split], record: bytes) -> list[_Place] | None:
+    """The places of all splits of a file in their order, or None if it has to be parsed from its beginning: for
+    markup that holds "<", such as some CDATA, a DOCTYPE, a record as long as a split, or what is no document."""
+    if len(splits) == 1:
+        return [_Place()]
+    encoding = splits[0].encoding
+    if not all(s.regular for s in splits) or (not record.isascii() and (encoding or "utf-8").lower() != "utf-8"):
+        return None
+    stack: list[bytes] = []
+    outer: list[list[bytes]] = []
+    heads: list[bytes] = []
+    for i, s in enumerate(splits):
+        inside = next((n for n, x in enumerate(stack) if _local(x) == record), None)
+        outer.append(stack[:inside])
+        heads.append(s.head or b"" if inside is not None else b"")
+        if (i > 0 and not outer[i]) or (inside is not None and (s.head is None or s.ends != len(stack) - inside)):
+            return None
+        for name in s.closes:
+            if not stack or stack.pop() != name:
+                return None
+        stack += s.opens
+    if stack:
+        return None
+    outer.append([])
+    heads.append(b"")
+    out, at = [], 0
+    for i, s in enumerate(splits):
+        before = b"".join(b"<%s>" % x for x in outer[i])
+        after = heads[i + 1] + b"".join(b"</%s>" % x for x in reversed(outer[i + 1]))
+        out.append(_Place(before, len(heads[i]), after, at + len(heads[i]) - len(before), encoding if i else None))
+        at += s.size
+    return out
+
+
+def _placed(pieces: Iterator[bytes], place: _Place) -> Iterator[bytes]:
+    yield place.before
+    skip = place.skip
+    for data in pieces:
+        yield data[skip:]
+        skip = max(skip - len(data), 0)
+    yield place.after
+
+
+def _rows_of(record: str, places: dict[tuple[int, int], _Place], names: dict[int, str]):
+    """The records of splits as JSON lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in groupby(_pieces(batches), lambda x: x[0]):
+            if key not in places:
+                raise RuntimeError(f"{names[key[0]]} was split otherwise when it was read before")
+            rows = each_xml_record(_placed((x[1] for x in group), places[key]), record, places[key].encoding, places[key].shift)
+            try:
+                while block := [json.dumps(r, ensure_ascii=False) for r in islice(rows, 1000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.string())], ["value"])
+            except ValueError as e:
+                raise ValueError(f"{names[key[0]]}: {e}") from None
+
+    return run
+
+
+@contextmanager
+def _with_conf(spark: SparkSession, conf: dict[str, str]):
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _parsed_xml(step: Step, record: str) -> str:
+    """The files' records as JSON lines in the shared folder, parsed by a task for each split of a file.
+
+    Spark's text reader splits files, at "<" here. A first pass finds what each split opens and closes,
+    which tells what is open where a split begins; a second parses each split within that. A record that
+    lies across two splits is parsed with the first. A file for which that cannot be told is parsed by one
+    task from its beginning, a batch at a time.
+    """
+    spark, path = step.spark, new_path(step.spark, "staged")
+    kept = {"spark.sql.files.minPartitionNum": str(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism), "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+    def tokens() -> DataFrame:
+        read = spark.read.option("lineSep", "<").text(step["path"])
+        columns = {"file": F.xxhash64("_metadata.file_path"), "start": F.col("_metadata.file_block_start"), "value": F.col("value").cast("binary")}
+        return read.select(*[c.alias(n) for n, c in columns.items()])
+
+    with _with_conf(spark, kept):
+        listed = spark.read.format("binaryFile").load(step["path"]).select(F.xxhash64("_metadata.file_path").alias("file"), "path", "length").collect()
+        names, lengths = {r.file: r.path for r in listed}, {r.file: r.length for r in listed}
+        found = [_Split(**r.asDict()) for r in tokens().mapInArrow(_outline(record.encode()), _SPLIT).collect()]
+        places: dict[tuple[int, int], _Place] = {}
+        whole: list[int] = []
+        for file, group in groupby(sorted(found, key=lambda s: (s.file, s.start)), lambda s: s.file):
+            splits = list(group)
+            if given := xml_places(splits, record.encode()):
+                places |= {(s.file, s.start): p for s, p in zip(splits, given, strict=True)}
+            else:
+                whole.append(file)
+                places[file, 0] = _Place()
+            if lengths[file] - sum(s.size for s in splits) in (1, 4) and not _PACKED.search(names[file]):  # 3 bytes are a mark at its beginning
+                last = file, splits[-1].start if given else 0
+                places[last] = replace(places[last], after=places[last].after + b"<")  # a reader of lines leaves out the last end of a line
+        tokens().where(~F.col("file").isin(whole)).mapInArrow(_rows_of(record, places, names), "value string").write.text(path)
+    if whole:
+        most = max(sum(s.size for s in found if s.file == x) for x in whole)
+        with _with_conf(spark, kept | {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.maxPartitionBytes": str(most + (1 << 20))}):
+            tokens().where(F.col("file").isin(whole)).mapInArrow(_rows_of(record, places, names), "value string").write.mode("append").text(path)
+    return path
+
+
 def _parsed(step: Step, parse) -> str:
     """The files' records as JSON lines in the shared folder."""
     files = step.spark.read.format("binaryFile").load(step["path"]).select("path", "content")
@@ -114,7 +325,7 @@ def _parsed(step: Step, parse) -> str:
 def read_xml(step: Step) -> DataFrame:
     """A row for each `record` element of XML files; no match is no error."""
     record = step["record"]
-    path = _parsed(step, lambda data: each_xml_record(data, record))
+    path = _parsed_xml(step, record)
     if step["columns"]:
         return read_staged(step.spark, path, step["columns"])
     df = step.spark.read.options(primitivesAsString=True, mode="FAILFAST").json(path)

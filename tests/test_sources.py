@@ -1,6 +1,7 @@
 """Sources and sinks: files of every format, and APIs against servers in this process."""
 
 import json
+import random
 import sqlite3
 import threading
 import urllib.parse
@@ -9,6 +10,7 @@ from decimal import Decimal
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,94 @@ def test_xml_that_is_no_table(body, message):
         xml_records(f"<r>{body}</r>".encode(), "o")
 
 
+def xml_document(rng, n, odd):
+    """Records of all shapes below two elements; odd ones hold markup that is none."""
+    out = ['<?xml version="1.0" encoding="UTF-8"?>\n<!-- a > b --><?go on?><r a="x>y" b=\'"/>\'><n:l>']
+    for i in range(n):
+        out.append(rng.choice([
+            f'<o id="{i}"/>', f'<o id="{i}"><a>t &gt; &#233; é {i}</a><b c=">/>" /></o >', f"<n:o><o>{i}</o><a><![CDATA[x ] > ]]></a></n:o>\n", f"<o><a>{'long ' * rng.randrange(40)}</a><!-- in --></o>",
+            f"<p><q><o><a>{i}</a></o></q></p>text", "<other/>", *([f"<!-- <o> --><o><a><![CDATA[</o><o>{i}]]></a></o>", f"<?x <o ?><o><a>{i}</a></o>"] if odd else []),
+        ]))
+    return "".join([*out, "</n:l></r>\n<!-- end -->"]).encode()
+
+
+def xml_batches(data, starts, rng):
+    """What Spark's reader gives of a document in splits: what lies between two "<", in batches of some rows."""
+    rows = data.split(b"<")
+    at = 0
+    for start, end in zip(starts, [*starts[1:], len(data) + 1], strict=True):
+        mine = []
+        while rows and at < end or (rows and at == 0):
+            mine.append(rows.pop(0))
+            at += len(mine[-1]) + 1
+        while mine:
+            some, mine = mine[: (n := rng.randrange(1, 9))], mine[n:]
+            yield pa.RecordBatch.from_arrays([pa.array([7] * len(some), pa.int64()), pa.array([start] * len(some), pa.int64()), pa.array(some, pa.binary())], ["file", "start", "value"])
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_xml_in_splits_is_the_whole_document(odd):
+    """Splits anywhere, within records, fields and tags, give the records of the whole in their order, or are found to need it."""
+    rng = random.Random(5)
+    parted = 0
+    for n in [*range(0, 80, 2), 300]:
+        data = xml_document(rng, n, odd)
+        want = xml_records(data, "o")
+        starts = [0, *sorted(rng.sample(range(1, len(data)), rng.randrange(1, 6)))]
+        found = [documents._Split(**r) for b in documents._outline(b"o")(xml_batches(data, starts, rng)) for r in b.to_pylist()]
+        assert sum(s.size for s in found) == len(data)
+        if (places := documents.xml_places(found, b"o")) is None:
+            continue
+        parted += 1
+        given = {(s.file, s.start): p for s, p in zip(found, places, strict=True)}
+        got = [json.loads(x) for b in documents._rows_of("o", given, {7: "f"})(xml_batches(data, starts, rng)) for x in b.column(0).to_pylist()]
+        assert got == want
+    assert odd or parted > 12
+
+
+@pytest.mark.parametrize("bad", ["<r><l><o><a>1</b></o></l></r>", "<r><l><o/><o/></r></l>", "<r><l><o/></l></r><r/>", "<r><l><o/></l></r>x", "<r><l><o/><o/></l>", "<r><l><o>t<a/></o></l></r>", "<r><l><o><a/><a/></o></l></r>", "<r><l><o><a><b/></a></o></l></r>", "<r><l><o/></l></l></r>", "<r><l></l></r></r>", "<r><l><o/><?xml version='1.0'?></l></r>"])
+def test_xml_in_splits_has_the_same_errors(bad):
+    rng = random.Random(9)
+    data = bad.encode()
+    for at in range(1, len(data)):
+        starts = [0, at]
+        found = [documents._Split(**r) for b in documents._outline(b"o")(xml_batches(data, starts, rng)) for r in b.to_pylist()]
+        if places := documents.xml_places(found, b"o"):
+            given = {(s.file, s.start): p for s, p in zip(found, places, strict=True)}
+            with pytest.raises(ValueError, match="f: "):
+                list(documents._rows_of("o", given, {7: "f"})(xml_batches(data, starts, rng)))
+    with pytest.raises(ValueError):
+        xml_records(data, "o")
+
+
+def test_one_xml_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Splits of one file are parsed by tasks of their own; files that cannot be split come whole, each with all records."""
+    staged, real, rng = [], documents._parsed_xml, random.Random(3)
+    monkeypatch.setattr(documents, "_parsed_xml", lambda *a: staged.append(real(*a)) or staged[-1])
+    folder = tmp_path / "a b é"
+    folder.mkdir()
+    plain, odd = xml_document(rng, 400, False), xml_document(rng, 200, True)
+    latin = '<?xml version="1.0" encoding="iso-8859-1"?><r>'.encode() + b"<o><a>\xe9</a></o>" * 300 + b"</r>"
+    files = {"plain": plain, "odd": odd, "latin": latin, "wide": latin.decode("latin-1").replace("iso-8859-1", "utf-16").encode("utf-16"), "type": b'<!DOCTYPE r [<!ENTITY e "<o/>x">]>' + b"<r>" + b"<o><a>1</a></o>" * 300 + b"</r>"}
+    for name, data in files.items():
+        (folder / f"{name}.xml").write_bytes(data)
+    conf = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "1"}
+    with documents._with_conf(spark, conf):
+        for name, data in files.items():
+            rows = read(spark, "src.file.xml", path=str(folder / f"{name}.xml"), record="o")
+            want = xml_records(data, "o")
+            assert sorted(str(sorted((k, v) for k, v in r.asDict().items() if v is not None)) for r in rows.collect()) == sorted(str(sorted(r.items())) for r in want)
+            parts = [p for p in Path(staged[-1].removeprefix("file://")).glob("part-*") if p.stat().st_size]
+            assert len(parts) > 3 if name in ("plain", "latin") else len(parts) == 1
+        both = read(spark, "src.file.xml", path=str(folder), record="o", columns={"a": "VARCHAR"})
+        assert both.count() == sum(len(xml_records(x, "o")) for x in files.values())
+        for name, data in {"cut": plain[:9000], "more": plain + b"<"}.items():
+            (tmp_path / f"{name}.xml").write_bytes(data)
+            with pytest.raises(Exception, match=f"{name}.xml: not well-formed"):
+                read(spark, "src.file.xml", path=str(tmp_path / f"{name}.xml"), record="o")
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
 def test_sqlite_rows_do_not_come_as_results(spark, tmp_path, monkeypatch):
     """The sink takes rows from files of several tasks; types and nulls stay, and no folder is left."""
     monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a: pytest.fail("rows were sent to the driver"))
